@@ -4,6 +4,8 @@ A span is ``struct<start:int, end:int, entity_type:string, text:string,
 score:double, source:string, prio:int>``; ``prio`` is the global tie order
 (regex patterns 0..5, gazetteer labels 10.., scored recognisers 20..), which
 reproduces the layer-then-pattern order a stable sort would keep.
+
+Builders return Spark SQL expression text (see ``shroud.functions.text``).
 """
 
 from __future__ import annotations
@@ -14,62 +16,34 @@ from pyspark.sql import functions as F
 SPAN_FIELDS = "start:int,end:int,entity_type:string,text:string,score:double,source:string,prio:int"
 SPAN_TYPE = f"struct<{SPAN_FIELDS}>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
+EMPTY_SPANS = f"cast(array() as {SPANS_TYPE})"
 
 
 def empty_spans() -> Column:
-    return F.array().cast(SPANS_TYPE)
-
-
-def to_spans(located: Column, entity_type: Column | str, score: Column | float,
-             source: str, prio: Column | int) -> Column:
-    """Turn ``array<struct<start,end,text>>`` into span structs with constant attributes."""
-    et = entity_type if isinstance(entity_type, Column) else F.lit(entity_type)
-    sc = score if isinstance(score, Column) else F.lit(float(score))
-    pr = prio if isinstance(prio, Column) else F.lit(int(prio))
-    return F.transform(
-        located,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            et.alias("entity_type"),
-            s["text"].alias("text"),
-            sc.cast("double").alias("score"),
-            F.lit(source).alias("source"),
-            pr.cast("int").alias("prio"),
-        ),
-    )
-
-
-def span_struct(start: Column, end: Column, entity_type: Column, text: Column,
-                score: Column, source: Column, prio: Column) -> Column:
-    return F.struct(
-        start.cast("int").alias("start"),
-        end.cast("int").alias("end"),
-        entity_type.alias("entity_type"),
-        text.alias("text"),
-        score.cast("double").alias("score"),
-        source.alias("source"),
-        prio.cast("int").alias("prio"),
-    )
-
-
-def sort_spans(spans: Column) -> Column:
+    return F.expr(EMPTY_SPANS)
+
+
+def span_sql(start: str, end: str, etype: str, text: str, score: str, source: str, prio: str) -> str:
+    return (f"named_struct('start', cast({start} as int), 'end', cast({end} as int), 'entity_type', {etype}, "
+            f"'text', {text}, 'score', cast({score} as double), 'source', {source}, 'prio', cast({prio} as int))")
+
+
+def to_spans_sql(located: str, etype_sql: str, score_sql: str, source: str, prio: int, v: str = "ts") -> str:
+    """``array<struct<start,end,text>>`` -> span structs; ``score_sql`` may refer to
+    ``{v}.start`` / ``{v}.end`` / ``{v}.text`` of the located match."""
+    return (f"transform({located}, {v} -> "
+            f"{span_sql(f'{v}.start', f'{v}.`end`', etype_sql, f'{v}.text', score_sql, repr(source), str(prio))})")
+
+
+def sort_spans_sql(spans: str, v: str = "ss") -> str:
     """Order by (start, -length, -score, prio) without a comparator lambda:
     the key is the leading fields of a wrapper struct."""
-    keyed = F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("k_start"),
-            (s["start"] - s["end"]).alias("k_neglen"),
-            (-s["score"]).alias("k_negscore"),
-            s["prio"].alias("k_prio"),
-            s.alias("s"),
-        ),
-    )
-    return F.transform(F.array_sort(keyed), lambda k: k["s"])
-
-
-def resolve_overlaps(spans: Column) -> Column:
+    keyed = (f"transform({spans}, {v} -> named_struct('k_start', {v}.start, 'k_neglen', {v}.start - {v}.`end`, "
+             f"'k_negscore', -{v}.score, 'k_prio', {v}.prio, 's', {v}))")
+    return f"transform(array_sort({keyed}), {v}k -> {v}k.s)"
+
+
+def resolve_overlaps_sql(spans: str, v: str = "ro") -> str:
     """Left-to-right fold over the sorted spans, comparing only with the last kept one.
 
     An overlapping candidate replaces the last kept span when it is longer, or
@@ -77,18 +51,17 @@ def resolve_overlaps(spans: Column) -> Column:
     reference's rule, chains included (A<B<C keeps C even though A and C are
     disjoint).
     """
-
-    def step(acc, c):
-        last = F.element_at(acc, -1)
-        overlaps = (c["start"] < last["end"]) & (last["start"] < c["end"])
-        clen = c["end"] - c["start"]
-        llen = last["end"] - last["start"]
-        better = (clen > llen) | ((clen == llen) & (c["score"] > last["score"]))
-        replaced = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(c))
-        return (
-            F.when(F.size(acc) == 0, F.array(c))
-            .when(overlaps, F.when(better, replaced).otherwise(acc))
-            .otherwise(F.concat(acc, F.array(c)))
-        )
-
-    return F.aggregate(sort_spans(spans), empty_spans(), step)
+    acc, c = f"{v}acc", f"{v}c"
+    last = f"element_at({acc}, -1)"
+    overlaps = f"({c}.start < {last}.`end` AND {last}.start < {c}.`end`)"
+    clen, llen = f"({c}.`end` - {c}.start)", f"({last}.`end` - {last}.start)"
+    better = f"({clen} > {llen} OR ({clen} = {llen} AND {c}.score > {last}.score))"
+    replaced = f"concat(slice({acc}, 1, size({acc}) - 1), array({c}))"
+    step = (f"({acc}, {c}) -> CASE WHEN size({acc}) = 0 THEN array({c}) "
+            f"WHEN {overlaps} THEN (CASE WHEN {better} THEN {replaced} ELSE {acc} END) "
+            f"ELSE concat({acc}, array({c})) END")
+    return f"aggregate({sort_spans_sql(spans, v + 's')}, {EMPTY_SPANS}, {step})"
+
+
+def resolve_overlaps(spans: str) -> Column:
+    return F.expr(resolve_overlaps_sql(spans))

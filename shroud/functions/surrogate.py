@@ -12,70 +12,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
-from shroud.functions.text import normalize
+from shroud.functions.text import luhn_check_digit_sql, normalize_sql
 
 
-def consistency_key(entity_type: Column, original: Column) -> Column:
+def consistency_key_sql(etype: str, original: str) -> str:
     """TYPE::lower(strip(original))."""
-    return F.concat_ws("::", entity_type, normalize(original))
+    return f"concat_ws('::', {etype}, {normalize_sql(original)})"
 
 
-def salt_for(scope: str = "corpus", doc_id: Column | None = None, salt: str = P.SURROGATE_SALT) -> Column:
-    """Corpus scope -> one salt; document scope -> salt::doc_id."""
-    if scope == "document":
-        return F.concat(F.lit(salt), F.lit("::"), doc_id.cast("string"))
-    return F.lit(salt)
+def consistency_key(etype: str, original: str) -> Column:
+    return F.expr(consistency_key_sql(etype, original))
 
 
-def _pick(pool: list[str], h: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in pool]), (h % len(pool) + 1).cast("int"))
+def salt_sql(scope: str = "corpus", doc_id: str = "doc_id", salt: str = P.SURROGATE_SALT) -> str:
+    """Corpus scope -> one salt; document scope -> salt::doc_id."""
+    if scope == "document":
+        return f"concat('{salt}', '::', cast({doc_id} as string))"
+    return f"'{salt}'"
 
 
-def _lp(c: Column, n: int) -> Column:
-    return F.lpad(c.cast("string"), n, "0")
+def _pool(pool: list[str]) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in pool) + ")"
 
 
-def luhn_check_digit(payload: Column) -> Column:
-    n = F.length(payload)
+def _pick(pool: list[str], h: str) -> str:
+    return f"element_at({_pool(pool)}, cast({h} % {len(pool)} + 1 as int))"
 
-    def add(acc, j):
-        d = F.substring(payload, n - j, F.lit(1)).cast("int")
-        dbl = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return acc + F.when(j % 2 == 0, dbl).otherwise(d)
 
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
-    return (10 - s % 10) % 10
+def _lp(x: str, n: int) -> str:
+    return f"lpad(cast({x} as string), {n}, '0')"
 
 
-def surrogate(entity_type: Column, original: Column, salt: Column | None = None,
-              as_of: str = P.SURROGATE_AS_OF) -> Column:
+def surrogate_sql(etype: str, original: str, salt: str | None = None, as_of: str = P.SURROGATE_AS_OF) -> str:
     """The synthetic value for (type, original).
 
     h0..h3 are the four 8-hex-digit groups of the md5 as unsigned 32-bit numbers.
     """
-    salt = salt if salt is not None else F.lit(P.SURROGATE_SALT)
-    md = F.md5(F.concat(salt, F.lit("::"), consistency_key(entity_type, original)))
-    h = [F.conv(F.substring(md, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(4)]
-    payload = F.concat(F.lit("4"), _lp(h[0] % 10000000, 7), _lp(h[1] % 10000000, 7))
-    first = _pick(P.FIRST_NAMES, h[0])
-    last = _pick(P.LAST_NAMES, h[1])
-    return (
-        F.when(entity_type == "PERSON", F.concat(first, F.lit(" "), last))
-        .when(entity_type == "EMAIL", F.concat(F.lower(first), F.lit("."), F.lower(last),
-                                               (h[2] % 100).cast("string"), F.lit("@"),
-                                               _pick(P.EMAIL_DOMAINS, h[3])))
-        .when(entity_type == "PHONE", F.concat(F.lit("("), (200 + h[0] % 800).cast("string"),
-                                               F.lit(") 555-"), _lp(h[1] % 10000, 4)))
-        .when(entity_type == "ORG", F.concat(_pick(P.COMPANY_WORDS, h[0]), F.lit(" "),
-                                             _pick(P.COMPANY_SUFFIXES, h[1])))
-        .when(entity_type == "ADDRESS", _pick(P.CITIES, h[0]))
-        .when(entity_type == "SSN", F.concat(_lp(1 + h[0] % 665, 3), F.lit("-"), _lp(1 + h[1] % 99, 2),
-                                             F.lit("-"), _lp(1 + h[2] % 9999, 4)))
-        .when(entity_type == "CREDIT_CARD", F.concat(payload, luhn_check_digit(payload).cast("string")))
-        .when(entity_type == "DATE_OF_BIRTH",
-              F.date_format(F.date_sub(F.to_date(F.lit(as_of)), (6575 + h[0] % 22645).cast("int")), "MM/dd/yyyy"))
-        .when(entity_type == "IP_ADDRESS", F.concat(F.lit("10."), (h[0] % 256).cast("string"), F.lit("."),
-                                                    (h[1] % 256).cast("string"), F.lit("."),
-                                                    (1 + h[2] % 254).cast("string")))
-        .otherwise(F.concat(F.lit("[REDACTED_"), entity_type, F.lit("]")))
-    )
+    salt = salt or f"'{P.SURROGATE_SALT}'"
+    md = f"md5(concat({salt}, '::', {consistency_key_sql(etype, original)}))"
+    h = [f"cast(conv(substring({md}, {8 * i + 1}, 8), 16, 10) as bigint)" for i in range(4)]
+    first, last = _pick(P.FIRST_NAMES, h[0]), _pick(P.LAST_NAMES, h[1])
+    payload = f"concat('4', {_lp(f'{h[0]} % 10000000', 7)}, {_lp(f'{h[1]} % 10000000', 7)})"
+    return f"""(CASE
+  WHEN {etype} = 'PERSON' THEN concat({first}, ' ', {last})
+  WHEN {etype} = 'EMAIL' THEN concat(lower({first}), '.', lower({last}), cast({h[2]} % 100 as string), '@', {_pick(P.EMAIL_DOMAINS, h[3])})
+  WHEN {etype} = 'PHONE' THEN concat('(', cast(200 + {h[0]} % 800 as string), ') 555-', {_lp(f'{h[1]} % 10000', 4)})
+  WHEN {etype} = 'ORG' THEN concat({_pick(P.COMPANY_WORDS, h[0])}, ' ', {_pick(P.COMPANY_SUFFIXES, h[1])})
+  WHEN {etype} = 'ADDRESS' THEN {_pick(P.CITIES, h[0])}
+  WHEN {etype} = 'SSN' THEN concat({_lp(f'1 + {h[0]} % 665', 3)}, '-', {_lp(f'1 + {h[1]} % 99', 2)}, '-', {_lp(f'1 + {h[2]} % 9999', 4)})
+  WHEN {etype} = 'CREDIT_CARD' THEN concat({payload}, cast({luhn_check_digit_sql(payload)} as string))
+  WHEN {etype} = 'DATE_OF_BIRTH' THEN date_format(date_sub(DATE'{as_of}', cast(6575 + {h[0]} % 22645 as int)), 'MM/dd/yyyy')
+  WHEN {etype} = 'IP_ADDRESS' THEN concat('10.', cast({h[0]} % 256 as string), '.', cast({h[1]} % 256 as string), '.', cast(1 + {h[2]} % 254 as string))
+  ELSE concat('[REDACTED_', {etype}, ']') END)"""
+
+
+def surrogate(etype: str, original: str, salt: str | None = None) -> Column:
+    return F.expr(surrogate_sql(etype, original, salt))

@@ -1,10 +1,10 @@
 """Scalar text expressions: strip / normalise / digits / Luhn / regex matches with offsets.
 
-All functions take and return ``Column`` objects, so they run inside the JVM
-(whole-stage codegen where Spark supports it, interpreted higher-order
-functions elsewhere) and can be applied to a lambda variable as well as to a
-top-level column.  Offsets are 0-based and half-open, counted in code points,
-the same unit as Spark's ``length`` / ``substring``.
+Every builder returns Spark SQL expression *text* (``*_sql``) so that a whole
+expression tree crosses from Python to the JVM in one call (``F.expr``); the
+thin Column wrappers are for top-level use.  All of it runs inside the JVM.
+Offsets are 0-based and half-open, counted in code points, the same unit as
+Spark's ``length`` / ``substring``.
 """
 
 from __future__ import annotations
@@ -15,64 +15,72 @@ from pyspark.sql import functions as F
 LOCATED_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
-def strip(c: Column) -> Column:
+def q(pattern: str) -> str:
+    """A raw SQL string literal (no escape processing); patterns hold no quote."""
+    assert "'" not in pattern
+    return f"r'{pattern}'"
+
+
+def strip_sql(c: str) -> str:
     """Remove leading and trailing Unicode white space (Spark ``trim`` only drops spaces)."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return f"regexp_replace({c}, {q(r'(?U)\A\s+|\s+\z')}, '')"
 
 
-def normalize(c: Column) -> Column:
+def normalize_sql(c: str) -> str:
     """strip, then lower case: the matching and consistency key of a value."""
-    return F.lower(strip(c))
+    return f"lower({strip_sql(c)})"
 
 
-def non_blank(c: Column) -> Column:
-    """True when the text holds at least one non-white-space character."""
-    return c.rlike(r"(?U)\S")
+def non_blank_sql(c: str) -> str:
+    return f"({c} rlike {q(r'(?U)\S')})"
 
 
-def digits_only(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\D", "")
+def digits_only_sql(c: str) -> str:
+    return f"regexp_replace({c}, {q(r'(?U)\D')}, '')"
 
 
-def luhn_ok(digits: Column) -> Column:
+def luhn_ok_sql(d: str, v: str = "lh") -> str:
     """Luhn check over a digit string; fewer than 13 digits is never valid.
 
     From the right, every second digit is doubled (minus 9 above 9); the sum
-    must be divisible by 10.  Pure JVM: ``sequence`` + ``aggregate``.
+    must be divisible by 10.  ``v`` names the lambda variables (unique per nesting).
     """
-    n = F.length(digits)
+    dig = f"cast(substring({d}, length({d}) - {v}i, 1) as int)"
+    body = f"CASE WHEN {v}i % 2 = 1 THEN (CASE WHEN {dig} * 2 > 9 THEN {dig} * 2 - 9 ELSE {dig} * 2 END) ELSE {dig} END"
+    total = f"aggregate(sequence(0, length({d}) - 1), 0, ({v}a, {v}i) -> {v}a + {body})"
+    return f"(CASE WHEN length({d}) >= 13 THEN {total} % 10 = 0 ELSE false END)"
 
-    def add(acc, i):
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return acc + F.when(i % 2 == 1, doubled).otherwise(d)
 
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
-    return F.when(n >= 13, total % 10 == 0).otherwise(F.lit(False))
+def luhn_check_digit_sql(p: str, v: str = "lc") -> str:
+    """Digit that makes ``p || digit`` pass the Luhn check."""
+    dig = f"cast(substring({p}, length({p}) - {v}j, 1) as int)"
+    body = f"CASE WHEN {v}j % 2 = 0 THEN (CASE WHEN {dig} * 2 > 9 THEN {dig} * 2 - 9 ELSE {dig} * 2 END) ELSE {dig} END"
+    s = f"aggregate(sequence(0, length({p}) - 1), 0, ({v}a, {v}j) -> {v}a + {body})"
+    return f"((10 - {s} % 10) % 10)"
 
 
-def guard_expr(text: Column, guard: tuple[str, str] | None) -> Column | None:
+def guard_sql(text: str, guard: tuple[str, str] | None) -> str | None:
     if guard is None:
         return None
     kind, arg = guard
     if kind == "contains":
-        return F.instr(text, arg) > 0
-    return text.rlike("(?U)" + arg)
+        return f"(instr({text}, '{arg}') > 0)"
+    return f"({text} rlike {q('(?U)' + arg)})"
 
 
-def regex_matches(text: Column, jpattern: str, guard: Column | None = None) -> Column:
+def regex_matches_sql(text: str, jpattern: str, guard: str | None = None) -> str:
     """All non-overlapping, leftmost-first matches of a Java pattern (array<string>).
 
     ``guard`` is a necessary condition for any match; rows failing it skip the
     pattern entirely.
     """
-    m = F.regexp_extract_all(text, F.lit(jpattern), F.lit(0))
+    m = f"regexp_extract_all({text}, {q(jpattern)}, 0)"
     if guard is not None:
-        m = F.when(guard, m).otherwise(F.array().cast("array<string>"))
+        m = f"CASE WHEN {guard} THEN {m} ELSE cast(array() as array<string>) END"
     return m
 
 
-def locate_matches(text: Column, matches: Column, jpattern: str) -> Column:
+def locate_matches_sql(text: str, matches: str, jpattern: str, v: str = "lm") -> str:
     """Attach offsets to the matches of ``jpattern`` in ``text``.
 
     ``split(text, p, -1)`` yields the gaps between the same matches, so the
@@ -81,20 +89,35 @@ def locate_matches(text: Column, matches: Column, jpattern: str) -> Column:
     exists.  Never ``locate(match)``: the first occurrence of the matched text
     need not be the match itself.
     """
-    n = F.size(matches)
-    gaps = F.split(text, jpattern, -1)
-    pairs = F.zip_with(
-        F.slice(gaps, 1, n),
-        matches,
-        lambda g, m: F.struct(F.length(g).alias("gl"), m.alias("mt")),
-    )
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(LOCATED_TYPE).alias("out"))
-
-    def step(acc, x):
-        start = acc["pos"] + x["gl"]
-        end = start + F.length(x["mt"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["mt"].alias("text"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    located = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(n > 0, located).otherwise(F.array().cast(LOCATED_TYPE))
+    n = f"size({matches})"
+    pairs = (f"zip_with(slice(split({text}, {q(jpattern)}, -1), 1, {n}), {matches}, "
+             f"({v}g, {v}m) -> named_struct('gl', length({v}g), 'mt', {v}m))")
+    zero = f"named_struct('pos', 0, 'out', cast(array() as {LOCATED_TYPE}))"
+    start = f"{v}acc.pos + {v}x.gl"
+    end = f"{start} + length({v}x.mt)"
+    step = (f"({v}acc, {v}x) -> named_struct('pos', {end}, 'out', concat({v}acc.out, "
+            f"array(named_struct('start', {start}, 'end', {end}, 'text', {v}x.mt))))")
+    folded = f"aggregate({pairs}, {zero}, {step}, {v}acc -> {v}acc.out)"
+    return f"(CASE WHEN {n} > 0 THEN {folded} ELSE cast(array() as {LOCATED_TYPE}) END)"
+
+
+# Column wrappers -------------------------------------------------------------------
+
+def strip(c: str) -> Column:
+    return F.expr(strip_sql(c))
+
+
+def normalize(c: str) -> Column:
+    return F.expr(normalize_sql(c))
+
+
+def non_blank(c: str) -> Column:
+    return F.expr(non_blank_sql(c))
+
+
+def digits_only(c: str) -> Column:
+    return F.expr(digits_only_sql(c))
+
+
+def luhn_ok(d: str) -> Column:
+    return F.expr(luhn_ok_sql(d))

@@ -18,7 +18,7 @@ KEY = ["entity_type", "norm"]
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.select("entity_type", normalize(F.col("text")).alias("norm"))
+    return df.select("entity_type", normalize("text").alias("norm"))
 
 
 def eval_types(gt: DataFrame, preds: DataFrame) -> DataFrame:

@@ -12,36 +12,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
-from shroud.functions.text import normalize, strip
+from shroud.functions.text import normalize_sql, strip_sql
 from shroud.operators.detect import (
     detect_gazetteer,
     detect_regex,
     detect_scored,
     explode_spans,
-    label_table,
-    map_labels,
 )
 from shroud.operators.resolve import resolve_segment_spans
 
 ALL_LAYERS = ("regex", "gazetteer", "scored")
 
 
+def map_labels_inline_sql(spans: str, pairs=None) -> str:
+    """B4 inside a span array: the fixed label table as a literal map; unmapped labels dropped."""
+    pairs = pairs if pairs is not None else P.SCORED_LABEL_MAP
+    labels = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in pairs) + ")"
+    mapped = (f"transform({spans}, ml -> named_struct('start', ml.start, 'end', ml.`end`, "
+              f"'entity_type', try_element_at({labels}, ml.entity_type), 'text', ml.text, 'score', ml.score, "
+              f"'source', ml.source, 'prio', ml.prio))")
+    return f"filter({mapped}, mf -> mf.entity_type IS NOT NULL)"
+
+
+def row_local_spans(segments: DataFrame, layers: tuple[str, ...] = ("regex", "scored")) -> DataFrame:
+    """Regex and scored layers for each segment row as one ``spans`` array column (no shuffle)."""
+    df = segments
+    arrays = []
+    if "regex" in layers:
+        df = detect_regex(df, out="_r")
+        arrays.append("_r")
+    if "scored" in layers:
+        df = detect_scored(df, out="_s")
+        arrays.append(map_labels_inline_sql("_s"))
+    col = f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
+    return df.select("*", F.expr(col).alias("spans")).drop("_r", "_s")
+
+
 def candidate_spans(segments: DataFrame, dictionary: DataFrame | None = None,
                     layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame:
-    """Union of the layers as one relational span table (regex, gazetteer, scored)."""
+    """Union of the layers as one relational span table (regex, gazetteer, scored).
+
+    The row-local layers are exploded together in one pass over the segments;
+    the gazetteer layer is a join and joins the union as a second branch.
+    """
     seg = segments.select("doc_id", "segment_index", "text")
     parts = []
-    row_local = [l for l in layers if l in ("regex", "scored")]
+    row_local = tuple(l for l in layers if l in ("regex", "scored"))
     if row_local:
-        df = seg
-        if "regex" in layers:
-            df = detect_regex(df, out="_r")
-        if "scored" in layers:
-            df = detect_scored(df, out="_s")
-        if "regex" in layers:
-            parts.append(explode_spans(df, "_r"))
-        if "scored" in layers:
-            parts.append(map_labels(explode_spans(df, "_s"), label_table(segments.sparkSession)))
+        parts.append(explode_spans(row_local_spans(seg, row_local)))
     if "gazetteer" in layers and dictionary is not None:
         parts.append(detect_gazetteer(seg, dictionary))
     out = parts[0]
@@ -50,25 +68,31 @@ def candidate_spans(segments: DataFrame, dictionary: DataFrame | None = None,
     return out
 
 
-def blocklist_condition(text: Column) -> Column:
+def blocklist_sql(text: str) -> str:
     """True for spans whose normalised text is a blocklisted term."""
-    return normalize(text).isin(*P.IGNORED_ENTITIES)
+    return f"({normalize_sql(text)} IN (" + ", ".join(f"'{w}'" for w in P.IGNORED_ENTITIES) + "))"
 
 
-def short_name_condition(etype: Column, text: Column) -> Column:
+def short_name_sql(etype: str, text: str) -> str:
     """PERSON / ORG / ADDRESS with at most two characters after stripping."""
-    return etype.isin(*P.SHORT_NAME_TYPES) & (F.length(strip(text)) <= 2)
+    types = ", ".join(f"'{t}'" for t in P.SHORT_NAME_TYPES)
+    return f"({etype} IN ({types}) AND length({strip_sql(text)}) <= 2)"
 
 
-def numeric_dob_condition(etype: Column, source: Column, text: Column) -> Column:
+def numeric_dob_sql(etype: str, source: str, text: str) -> str:
     """A date of birth from a non-regex layer that is all digits (unstripped)."""
-    return (etype == "DATE_OF_BIRTH") & (source != "regex") & text.rlike(r"(?U)\A\d+\z")
+    return f"({etype} = 'DATE_OF_BIRTH' AND {source} <> 'regex' AND {text} rlike r'(?U)\\A\\d+\\z')"
+
+
+def keep_sql(etype: str, source: str, text: str) -> str:
+    """B6-B8 combined: True for spans that survive the filters."""
+    return (f"NOT {blocklist_sql(text)} AND NOT {short_name_sql(etype, text)} "
+            f"AND NOT {numeric_dob_sql(etype, source, text)}")
 
 
 def filter_spans(spans: DataFrame) -> DataFrame:
     """B6-B8 as one row-local filter (the blocklist is a fixed list: an InSet lookup)."""
-    t, e, s = F.col("text"), F.col("entity_type"), F.col("source")
-    return spans.where(~blocklist_condition(t) & ~short_name_condition(e, t) & ~numeric_dob_condition(e, s, t))
+    return spans.where(F.expr(keep_sql("entity_type", "source", "text")))
 
 
 def hybrid_spans(segments: DataFrame, dictionary: DataFrame | None = None,
@@ -81,7 +105,7 @@ def predictions(resolved: DataFrame) -> DataFrame:
     """The prediction records - text stripped, empty ones dropped,
     offsets left as detected."""
     return (
-        resolved.withColumn("text", strip(F.col("text")))
+        resolved.withColumn("text", F.expr(strip_sql("text")))
         .where(F.length("text") > 0)
         .select("doc_id", "segment_index", "start", "end", "entity_type", "text", "score", "source")
     )

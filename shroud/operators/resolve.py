@@ -14,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shroud.functions.spans import resolve_overlaps, span_struct
+from shroud.functions.spans import resolve_overlaps_sql
 from shroud.operators.detect import SPAN_COLUMNS
 
 KEYS = ("doc_id", "segment_index")
 
 
 def _span_col():
-    return span_struct(*[F.col(c) for c in SPAN_COLUMNS])
+    return F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+                    "entity_type", "text", F.col("score").cast("double").alias("score"), "source",
+                    F.col("prio").cast("int").alias("prio"))
 
 
 def resolve_segment_spans(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -29,7 +31,8 @@ def resolve_segment_spans(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> Dat
     is bounded by that row's size; the shuffle moves spans only, never text."""
     grouped = spans.groupBy(*keys).agg(F.collect_list(_span_col()).alias("_c"))
     return (
-        grouped.select(*keys, F.explode(resolve_overlaps(F.col("_c"))).alias("s"))
+        grouped.select(*keys, F.explode_outer(F.expr(resolve_overlaps_sql("_c"))).alias("s"))
+        .where(F.col("s").isNotNull())
         .select(*keys, *[F.col(f"s.{c}").alias(c) for c in SPAN_COLUMNS])
     )
 

@@ -232,13 +232,13 @@ def regex_ctes(types=None) -> tuple[str, str]:
     return ",".join(ctes), "regex_spans"
 
 
-def _values(rows, cols) -> str:
+def _values(rows, cols, alias) -> str:
     vals = ", ".join("(" + ", ".join(lit(v) if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {vals}) AS t({', '.join(cols)})"
+    return f"(VALUES {vals}) AS {alias}({', '.join(cols)})"
 
 
 def label_values() -> str:
-    return _values(P.SCORED_LABEL_MAP, ["label", "mapped"])
+    return _values(P.SCORED_LABEL_MAP, ["label", "mapped"], "lm")
 
 
 def scored_ctes(threshold=P.CONFIDENCE_THRESHOLD) -> str:
@@ -263,14 +263,14 @@ def scored_ctes(threshold=P.CONFIDENCE_THRESHOLD) -> str:
     ctes.append(f"scored_raw AS (SELECT * FROM scored_all {thr})")
     ctes.append(f"""scored_spans AS (
   SELECT s.doc_id, s.segment_index, s."start", s."end", lm.mapped AS entity_type, s.text, s.score, s.source, s.prio
-  FROM scored_raw s JOIN {label_values()} lm ON s.entity_type = lm.label
+  FROM scored_raw s JOIN {label_values()} ON s.entity_type = lm.label
 )""")
     return ",".join(ctes)
 
 
 def gazetteer_ctes() -> str:
     ner = _values([(lab, et, GAZETTEER_PRIO_BASE + i) for i, (lab, et) in enumerate(P.NER_LABEL_MAP)],
-                  ["label", "etype", "prio"])
+                  ["label", "etype", "prio"], "l")
     return f"""
 dict_raw AS (
   SELECT c_name AS entry, 'PERSON' AS label FROM customer
@@ -280,7 +280,7 @@ dict_raw AS (
 ),
 dict AS (
   SELECT d.entry, l.etype AS entity_type, l.prio, len(regexp_extract_all(d.entry, {lit(TOKEN)})) AS n_tokens
-  FROM dict_raw d JOIN {ner} l ON d.label = l.label
+  FROM dict_raw d JOIN {ner} ON d.label = l.label
   WHERE d.entry IS NOT NULL AND len(regexp_extract_all(d.entry, {lit(TOKEN)})) > 0
 ),
 ns AS (SELECT unnest(range(1, (SELECT max(n_tokens) FROM dict) + 1)) AS n),
@@ -513,7 +513,7 @@ GROUP BY l.doc_id"""
                                  f'{normalize("text")} AS norm FROM candidates')
     q["label_map"] = with_(base_ctes(), scored_ctes()) + """
 SELECT s.doc_id, s.segment_index, s."start", s."end", s.entity_type AS label, lm.mapped AS entity_type, s.score
-FROM scored_raw s JOIN """ + label_values() + " lm ON s.entity_type = lm.label"
+FROM scored_raw s JOIN """ + label_values() + " ON s.entity_type = lm.label"
     q["score_threshold"] = with_(base_ctes(), scored_ctes()) + \
         '\nSELECT doc_id, segment_index, "start", "end", entity_type AS label, score FROM scored_raw'
     q["blocklist_filter"] = _filter_report(blocklisted("text"))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
-from shroud.functions.spans import resolve_overlaps
-from shroud.functions.surrogate import consistency_key, salt_for, surrogate
-from shroud.functions.text import digits_only, luhn_ok, normalize, strip
+from shroud.functions.spans import resolve_overlaps_sql
+from shroud.functions.surrogate import consistency_key, surrogate
+from shroud.functions.text import digits_only_sql, locate_matches_sql, luhn_ok_sql, normalize, regex_matches_sql, strip
 from shroud.operators import detect as D
 from shroud.operators import evaluate as E
 from shroud.operators import hybrid as H
@@ -109,7 +109,7 @@ def q_redacted_documents(spark, sf):
 def q_normalize_values(spark, sf):
     c = candidates(spark, sf)
     return _long(c.select("doc_id", "segment_index", "start", "entity_type",
-                          strip(F.col("text")).alias("stripped"), normalize(F.col("text")).alias("norm")),
+                          strip("text").alias("stripped"), normalize("text").alias("norm")),
                  "segment_index", "start")
 
 
@@ -133,26 +133,25 @@ def _filter_report(flag):
         c = candidates(spark, sf)
         return c.groupBy("entity_type", "source").agg(
             F.count(F.lit(1)).alias("n_in"),
-            F.sum(F.when(flag(c), 1).otherwise(0)).cast("long").alias("n_removed"))
+            F.sum(F.when(F.expr(flag), 1).otherwise(0)).cast("long").alias("n_removed"))
     return q
 
 
-q_blocklist_filter = _filter_report(lambda c: H.blocklist_condition(F.col("text")))
-q_short_name_filter = _filter_report(lambda c: H.short_name_condition(F.col("entity_type"), F.col("text")))
-q_numeric_dob_filter = _filter_report(
-    lambda c: H.numeric_dob_condition(F.col("entity_type"), F.col("source"), F.col("text")))
+q_blocklist_filter = _filter_report(H.blocklist_sql("text"))
+q_short_name_filter = _filter_report(H.short_name_sql("entity_type", "text"))
+q_numeric_dob_filter = _filter_report(H.numeric_dob_sql("entity_type", "source", "text"))
 
 
 def q_luhn_valid_cards(spark, sf):
     """B9-B10 over every card-shaped candidate (before the Luhn filter)."""
     seg = segments(spark, sf)
     etype, pat, ic = P.REGEX_PATTERNS[3]
-    from shroud.functions.text import locate_matches, regex_matches
     jp = P.java_pattern(pat, ic)
-    m = seg.select("doc_id", "segment_index", "text", regex_matches(F.col("text"), jp).alias("_m"))
-    loc = m.select("doc_id", "segment_index", F.explode(locate_matches(F.col("text"), F.col("_m"), jp)).alias("c"))
+    m = seg.select("doc_id", "segment_index", "text", F.expr(regex_matches_sql("text", jp)).alias("_m"))
+    loc = m.select("doc_id", "segment_index", F.explode_outer(F.expr(locate_matches_sql("text", "_m", jp))).alias("c"))
+    loc = loc.where(F.col("c").isNotNull())
     return _long(loc.select("doc_id", "segment_index", F.col("c.start").alias("start"), F.col("c.text").alias("text"),
-                            luhn_ok(digits_only(F.col("c.text"))).alias("luhn_ok")), "segment_index", "start")
+                            F.expr(luhn_ok_sql(digits_only_sql("c.text"))).alias("luhn_ok")), "segment_index", "start")
 
 
 def q_span_text_check(spark, sf):
@@ -224,17 +223,9 @@ def q_overlap_pairs(spark, sf):
 
 def _row_local_resolved(spark, sf):
     """Regex + scored layers resolved inside each segment row: no shuffle at all."""
-    df = D.detect_regex(segments(spark, sf), out="_r")
-    df = D.detect_scored(df, out="_s")
-    labels = F.create_map(*[F.lit(x) for pair in P.SCORED_LABEL_MAP for x in pair])
-    mapped = F.filter(
-        F.transform(F.col("_s"), lambda s: s.withField("entity_type", F.try_element_at(labels, s["entity_type"]))),
-        lambda s: s["entity_type"].isNotNull())
-    allspans = F.concat(F.col("_r"), mapped)
-    kept = F.filter(allspans, lambda s: ~H.blocklist_condition(s["text"])
-                    & ~H.short_name_condition(s["entity_type"], s["text"])
-                    & ~H.numeric_dob_condition(s["entity_type"], s["source"], s["text"]))
-    return df.withColumn("spans", resolve_overlaps(kept))
+    df = H.row_local_spans(segments(spark, sf))
+    kept = f"filter(spans, kp -> {H.keep_sql('kp.entity_type', 'kp.source', 'kp.text')})"
+    return df.withColumn("spans", F.expr(resolve_overlaps_sql(kept)))
 
 
 def q_resolve_overlaps(spark, sf):
@@ -266,18 +257,18 @@ def q_first_occurrence(spark, sf):
 def q_consistency_keys(spark, sf):
     p = preds(spark, sf)
     return _long(p.select("doc_id", "segment_index", "start",
-                          consistency_key(F.col("entity_type"), F.col("text")).alias("key")), "segment_index", "start")
+                          consistency_key("entity_type", "text").alias("key")), "segment_index", "start")
 
 
 def q_surrogates(spark, sf):
     p = preds(spark, sf).select("entity_type", F.col("text").alias("original")).distinct()
-    return p.select("entity_type", "original", surrogate(F.col("entity_type"), F.col("original")).alias("surrogate"))
+    return p.select("entity_type", "original", surrogate("entity_type", "original").alias("surrogate"))
 
 
 def _surrogate_of(etype):
     def q(spark, sf):
         p = preds(spark, sf).where(F.col("entity_type") == etype).select(F.col("text").alias("original")).distinct()
-        return p.select("original", surrogate(F.lit(etype), F.col("original")).alias("surrogate"))
+        return p.select("original", surrogate(f"'{etype}'", "original").alias("surrogate"))
     return q
 
 
@@ -296,7 +287,7 @@ def q_surrogate_fallback(spark, sf):
     """E13 over raw scored labels: labels that are not entity types get a placeholder."""
     sc = D.explode_spans(D.detect_scored(segments(spark, sf), out="spans"))
     v = sc.select(F.col("entity_type").alias("label"), F.col("text").alias("original")).distinct()
-    return v.select("label", "original", surrogate(F.col("label"), F.col("original")).alias("surrogate"))
+    return v.select("label", "original", surrogate("label", "original").alias("surrogate"))
 
 
 def q_replacement_pairs(spark, sf):
@@ -316,7 +307,7 @@ def q_replace_first(spark, sf):
     hits = segments(spark, sf).join(pairs.select("doc_id", "original", "surrogate"), "doc_id").where(
         F.instr(F.col("text"), F.col("original")) > 0)
     return _long(hits.select("doc_id", "segment_index", "original",
-                             R.replace_first(F.col("text"), F.col("original"), F.col("surrogate")).alias("replaced")),
+                             F.expr(R.replace_first_sql("text", "original", "surrogate")).alias("replaced")),
                  "segment_index")
 
 
@@ -354,10 +345,10 @@ def q_corpus_stats(spark, sf):
     d = docs(spark, sf)
     seg = segments(spark, sf)
     p = preds(spark, sf)
-    a = d.agg(F.count(F.lit(1)).alias("n_documents"))
-    b = seg.agg(F.count(F.lit(1)).alias("n_segments"))
-    c = p.agg(F.count_distinct("doc_id", "text").alias("n_unique_values"))
-    return a.join(b.join(c, how="inner"), how="inner")
+    n_seg = seg.select(F.count(F.lit(1))).scalar()
+    n_uniq = p.select(F.count_distinct("doc_id", "text")).scalar()
+    return d.agg(F.count(F.lit(1)).alias("n_documents")).select(
+        "n_documents", n_seg.alias("n_segments"), n_uniq.alias("n_unique_values"))
 
 
 def _gt_and_preds(spark, sf):

@@ -21,6 +21,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -53,7 +54,7 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, scans: list[DataFrame] | None = None) -> DataFrame:
     """Hash-partition an under-partitioned input on ``key``.
 
     Test files hold one parquet row group each, so a scan yields one task; a
@@ -63,7 +64,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     target = default_parallelism(spark)
-    if df.rdd.getNumPartitions() >= target:
+    # the split count of the driving scans (cheap: file listing only)
+    have = sum(s.rdd.getNumPartitions() for s in scans) if scans else df.rdd.getNumPartitions()
+    if have >= target:
         return df
     return df.repartition(target, key)
 

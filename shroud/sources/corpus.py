@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.sources.tables import read_table
+from shroud.functions.text import luhn_check_digit_sql
 from shroud.session import spread
 
 # --- fixed values: month abbreviations used by the planted dates ---------------
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 CELLS_TYPE = "array<string>"
+SCAN_OF = {"documents": "documents", "planted": "orders", "pages": "pages", "conversations": "conversations"}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,19 +54,6 @@ def _lp(c: Column, n: int) -> Column:
     return F.lpad(c.cast("string"), n, "0")
 
 
-def luhn_check_digit(payload: Column) -> Column:
-    """Digit that makes ``payload || digit`` pass the Luhn check."""
-    n = F.length(payload)
-
-    def add(acc, j):
-        d = F.substring(payload, n - j, F.lit(1)).cast("int")
-        dbl = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        return acc + F.when(j % 2 == 0, dbl).otherwise(d)
-
-    s = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
-    return (10 - s % 10) % 10
-
-
 def _planted_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders joined with their customer, nation, region and a supplier.
 
@@ -90,7 +79,7 @@ def _planted_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planted_values(df: DataFrame) -> DataFrame:
-    """Add every planted value and its validity flag as a column."""
+    """Add every planted value and its validity flag as a column (one projection)."""
     k = F.col("o_custkey")
     o = F.col("o_orderkey")
     months = F.array(*[F.lit(m) for m in MONTHS])
@@ -98,28 +87,29 @@ def _planted_values(df: DataFrame) -> DataFrame:
     mm = _lp(1 + k % 12, 2)
     dd = _lp(1 + k % 28, 2)
     payload = F.concat(F.lit("4"), _lp(k * 7919 % 10000000, 7), _lp(o % 10000000, 7))
-    check = luhn_check_digit(payload)
+    check = F.expr(luhn_check_digit_sql("_payload"))
     card_ok = o % 5 != 0
-    return (
-        df.withColumn("email", F.concat(F.lit("customer"), k.cast("string"), F.lit("@mail"),
-                                        (k % 7).cast("string"), F.lit(".example.com")))
-        .withColumn("phone", F.concat(F.lit("+1 (2"), _lp(k % 100, 2), F.lit(") 555-"), _lp(k % 10000, 4)))
-        .withColumn("ssn", F.concat(
+    cols = {
+        "email": F.concat(F.lit("customer"), k.cast("string"), F.lit("@mail"), (k % 7).cast("string"),
+                          F.lit(".example.com")),
+        "phone": F.concat(F.lit("+1 (2"), _lp(k % 100, 2), F.lit(") 555-"), _lp(k % 10000, 4)),
+        "ssn": F.concat(
             F.when(o % 10 == 0, F.lit("000")).otherwise(_lp(1 + k % 665, 3)), F.lit("-"),
             F.when(o % 10 == 5, F.lit("00")).otherwise(_lp(1 + k % 99, 2)), F.lit("-"),
-            _lp(1 + k % 9999, 4)))
-        .withColumn("ssn_ok", ~(o % 10).isin(0, 5))
-        .withColumn("dob", F.when(k % 3 == 0, F.concat(F.lit("DOB: "), mm, F.lit("/"), dd, F.lit("/"), yyyy))
-                    .when(k % 3 == 1, F.concat(F.lit("Born "), F.element_at(months, (k % 12 + 1).cast("int")),
-                                               F.lit(" "), (1 + k % 28).cast("string"), F.lit(", "), yyyy))
-                    .otherwise(F.concat(F.lit("Date of Birth - "), yyyy, F.lit("-"), mm, F.lit("-"), dd)))
-        .withColumn("dob_tail", F.when(k % 3 == 0, F.lit(" noted.")).when(k % 3 == 1, F.lit(" in town."))
-                    .otherwise(F.lit(" recorded.")))
-        .withColumn("card", F.concat(payload, F.when(card_ok, check).otherwise((check + 1) % 10).cast("string")))
-        .withColumn("card_ok", card_ok)
-        .withColumn("ip", F.concat(F.lit("10."), (k % 256).cast("string"), F.lit("."),
-                                   (o % 256).cast("string"), F.lit("."), ((k + o) % 256).cast("string")))
-    )
+            _lp(1 + k % 9999, 4)),
+        "ssn_ok": ~(o % 10).isin(0, 5),
+        "dob": F.when(k % 3 == 0, F.concat(F.lit("DOB: "), mm, F.lit("/"), dd, F.lit("/"), yyyy))
+        .when(k % 3 == 1, F.concat(F.lit("Born "), F.element_at(months, (k % 12 + 1).cast("int")),
+                                   F.lit(" "), (1 + k % 28).cast("string"), F.lit(", "), yyyy))
+        .otherwise(F.concat(F.lit("Date of Birth - "), yyyy, F.lit("-"), mm, F.lit("-"), dd)),
+        "dob_tail": F.when(k % 3 == 0, F.lit(" noted.")).when(k % 3 == 1, F.lit(" in town."))
+        .otherwise(F.lit(" recorded.")),
+        "card": F.concat(F.col("_payload"), F.when(card_ok, check).otherwise((check + 1) % 10).cast("string")),
+        "card_ok": card_ok,
+        "ip": F.concat(F.lit("10."), (k % 256).cast("string"), F.lit("."), (o % 256).cast("string"), F.lit("."),
+                       ((k + o) % 256).cast("string")),
+    }
+    return df.select("*", payload.alias("_payload")).select("*", *[c.alias(n) for n, c in cols.items()])
 
 
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +139,7 @@ def planted_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Body segments are 0..5 (paragraph 3 is blank); offsets are 0-based code points.
     """
-    v = _planted_values(_planted_base(spark, sf_dir)).withColumn("doc_id", -1 - F.col("o_orderkey"))
+    v = _planted_values(_planted_base(spark, sf_dir)).select("*", (-1 - F.col("o_orderkey")).alias("doc_id"))
     L = F.length
     p0_name = F.lit(len("Order placed by "))
     p0_nation = p0_name + L("c_name") + len(" of ")
@@ -197,4 +187,4 @@ def corpus(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = ("docume
     for s in sources:
         df = makers[s](spark, sf_dir)
         out = df if out is None else out.unionByName(df)
-    return spread(out, "doc_id")
+    return spread(out, "doc_id", scans=[read_table(spark, sf_dir, SCAN_OF[s]) for s in sources])

@@ -9,44 +9,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.functions.text import non_blank
+from shroud.functions.text import non_blank, non_blank_sql
 
 SEG_FIELDS = ("paragraph_index", "table_index", "row_index", "cell_index", "is_table_cell", "text")
 
 
-def _body(text):
-    lines = F.split(text, "\n", -1)
-    items = F.transform(
-        lines,
-        lambda line, i: F.struct(
-            i.alias("paragraph_index"),
-            F.lit(None).cast("int").alias("table_index"),
-            F.lit(None).cast("int").alias("row_index"),
-            F.lit(None).cast("int").alias("cell_index"),
-            F.lit(False).alias("is_table_cell"),
-            line.alias("text"),
-        ),
-    )
-    return F.filter(items, lambda x: non_blank(x["text"]))
+def _body(text: str = "text") -> str:
+    items = (f"transform(split({text}, '\\n', -1), (bl, bi) -> named_struct('paragraph_index', bi, "
+             "'table_index', cast(null as int), 'row_index', cast(null as int), 'cell_index', cast(null as int), "
+             "'is_table_cell', false, 'text', bl))")
+    return f"filter({items}, bx -> {non_blank_sql('bx.text')})"
 
 
-def _cells(cells, table_index: int = 0, row_index: int = 0):
-    items = F.transform(
-        F.coalesce(cells, F.array().cast("array<string>")),
-        lambda cell, j: F.struct(
-            F.lit(None).cast("int").alias("paragraph_index"),
-            F.lit(table_index).alias("table_index"),
-            F.lit(row_index).alias("row_index"),
-            j.alias("cell_index"),
-            F.lit(True).alias("is_table_cell"),
-            cell.alias("text"),
-        ),
-    )
-    return F.filter(items, lambda x: non_blank(x["text"]))
+def _cells(cells: str = "cells", table_index: int = 0, row_index: int = 0) -> str:
+    items = (f"transform(coalesce({cells}, cast(array() as array<string>)), (cc, ci) -> named_struct("
+             f"'paragraph_index', cast(null as int), 'table_index', {table_index}, 'row_index', {row_index}, "
+             "'cell_index', ci, 'is_table_cell', true, 'text', cc))")
+    return f"filter({items}, cx -> {non_blank_sql('cx.text')})"
 
 
 def _explode(df: DataFrame, arr, extra: tuple[str, ...] = ()) -> DataFrame:
-    return df.select("doc_id", *extra, F.posexplode(arr).alias("segment_index", "seg")).select(
+    # posexplode_outer + null filter: a plain explode makes the optimizer infer
+    # a size(arr) > 0 filter below the projection, evaluating ``arr`` twice.
+    return df.select("doc_id", *extra, F.posexplode_outer(F.expr(arr)).alias("segment_index", "seg")).where(
+        F.col("seg").isNotNull()).select(
         "doc_id", *extra, "segment_index", *[F.col(f"seg.{f}").alias(f) for f in SEG_FIELDS]
     )
 
@@ -54,17 +40,17 @@ def _explode(df: DataFrame, arr, extra: tuple[str, ...] = ()) -> DataFrame:
 def segment_body(docs: DataFrame) -> DataFrame:
     """A2: one segment per non-blank line; paragraph_index counts blank lines too,
     segment_index is dense over the kept ones."""
-    return _explode(docs, _body(F.col("text")))
+    return _explode(docs, _body())
 
 
 def segment_cells(docs: DataFrame) -> DataFrame:
     """A3: one segment per non-blank table cell (table 0, row 0, cell = position)."""
-    return _explode(docs, _cells(F.col("cells")))
+    return _explode(docs, _cells())
 
 
 def segment_all(docs: DataFrame) -> DataFrame:
     """A4: body first, then cells; segment_index dense over both."""
-    return _explode(docs, F.concat(_body(F.col("text")), _cells(F.col("cells"))))
+    return _explode(docs, f"concat({_body()}, {_cells()})")
 
 
 def table_cells(df: DataFrame, key: str, columns: list[str], table_index: int) -> DataFrame:
@@ -78,7 +64,7 @@ def table_cells(df: DataFrame, key: str, columns: list[str], table_index: int) -
     ])
     return (
         df.select(F.col(key).cast("long").alias("doc_id"), F.explode(cols).alias("c"))
-        .where(non_blank(F.col("c.text")))
+        .where(non_blank("c.text"))
         .select(
             "doc_id",
             F.col("c.cell_index").alias("segment_index"),
