@@ -597,6 +597,17 @@ UNION ALL SELECT 'TOTAL', count(*) FROM preds""")
 SELECT entity_type, precision, recall, f1, accuracy, tp, fp, fn,
        CASE WHEN entity_type = 'AGGREGATE' THEN 1 ELSE 0 END AS is_aggregate
 FROM metrics ORDER BY is_aggregate, entity_type"""
+    q["json_roundtrip"] = q["predictions"]
+    q["stream_redact"] = with_(base_ctes(("documents",), which="body"), pipeline_ctes(("regex", "scored")),
+                               REDACT_SPANS_CTE) + "\nSELECT doc_id, segment_index, redacted FROM red_fold"
+    ev_text = ("concat('user u', CAST(user_id AS VARCHAR), '@mail.example.com from 10.0.', "
+               "CAST(user_id % 256 AS VARCHAR), '.', CAST(event_id % 256 AS VARCHAR))")
+    q["stream_entity_counts"] = with_(
+        f"segments AS (SELECT event_id AS doc_id, CAST(0 AS BIGINT) AS segment_index, {ev_text} AS text, ts FROM events)",
+        regex_ctes()[0]) + """
+SELECT strftime(date_trunc('day', e.ts), '%Y-%m-%d %H:%M:%S') AS window_start, r.entity_type, count(*) AS n
+FROM regex_spans r JOIN events e ON r.doc_id = e.event_id
+GROUP BY 1, 2"""
     return q
 
 

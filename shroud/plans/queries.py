@@ -380,6 +380,30 @@ def q_eval_report(spark, sf):
     return E.eval_report(E.eval_metrics(*_gt_and_preds(spark, sf)))
 
 
+# --- A5/A6 and H: records and streams -------------------------------------------
+
+def q_json_roundtrip(spark, sf):
+    """A6 then A5: predictions written as JSON to the shared folder and read back."""
+    from shroud.sources.records import read_records, write_records
+    from shroud.streaming.stream import scratch
+
+    path = scratch(spark, "predictions-json")
+    write_records(q_predictions(spark, sf), path)
+    return read_records(spark, path)
+
+
+def q_stream_redact(spark, sf):
+    from shroud.streaming.stream import redact_stream
+
+    return redact_stream(spark, sf)
+
+
+def q_stream_entity_counts(spark, sf):
+    from shroud.streaming.stream import entity_count_stream
+
+    return entity_count_stream(spark, sf)
+
+
 QUERIES = {
     "src_documents": q_src_documents,
     "segments_body": q_segments_body,
@@ -441,4 +465,7 @@ QUERIES = {
     "eval_fn": q_eval_fn,
     "eval_metrics": q_eval_metrics,
     "eval_report": q_eval_report,
+    "json_roundtrip": q_json_roundtrip,
+    "stream_redact": q_stream_redact,
+    "stream_entity_counts": q_stream_entity_counts,
 }
