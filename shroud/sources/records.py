@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD_SCHEMA = ("doc_id long, segment_index long, start long, end long, entity_type string, text string, "
+# integers are read as text and cast, so "4" and 4 both load (a non-number raises)
+RECORD_SCHEMA = ("doc_id string, segment_index string, start string, end string, entity_type string, text string, "
                  "score double, source string")
 REQUIRED = ("start", "end", "entity_type")
 
@@ -38,7 +39,7 @@ def read_records(spark: SparkSession, path: str, multi_line: bool = False, check
         if bad:
             raise MissingKeyError(f"a record lacks one of {REQUIRED} in {path}")
     return raw.select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("segment_index"), F.lit(0)).cast("long").alias("segment_index"),
         F.col("start").cast("long").alias("start"),
         F.col("end").cast("long").alias("end"),
