@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
 from shroud.functions.text import normalize_sql, strip_sql
+from shroud.functions.spans import resolve_overlaps_sql
 from shroud.operators.detect import (
     detect_gazetteer,
+    gazetteer_lookup_udf,
     detect_regex,
     detect_scored,
     explode_spans,
@@ -22,6 +24,7 @@ from shroud.operators.detect import (
 from shroud.operators.resolve import resolve_segment_spans
 
 ALL_LAYERS = ("regex", "gazetteer", "scored")
+EMPTY = "cast(array() as array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string,prio:int>>)"
 
 
 def map_labels_inline_sql(spans: str, pairs=None) -> str:
@@ -97,10 +100,37 @@ def filter_spans(spans: DataFrame) -> DataFrame:
 
 def hybrid_spans(segments: DataFrame, dictionary: DataFrame | None = None,
                  layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame:
-    """C11: resolved, non-overlapping spans per segment."""
+    """C11: resolved, non-overlapping spans per segment.
+
+    With a proven-small dictionary every layer runs inside the segment row and
+    so does resolution: no shuffle at all.  Otherwise the gazetteer is a join
+    and the spans (not the text) are regrouped per segment.
+    """
+    rows = resolved_rows(segments, dictionary, layers)
+    if rows is not None:
+        return explode_spans(rows, "resolved")
     return resolve_segment_spans(filter_spans(candidate_spans(segments, dictionary, layers)))
 
 
+def resolved_rows(segments: DataFrame, dictionary: DataFrame | None = None,
+                  layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame | None:
+    """Segments with an in-row ``resolved`` span array (all layers, filters, D2),
+    or None when the gazetteer dictionary is too large to broadcast."""
+    seg = segments.select("doc_id", "segment_index", "text")
+    row_local = tuple(l for l in layers if l in ("regex", "scored"))
+    df = row_local_spans(seg, row_local) if row_local else seg.select("*", F.expr(EMPTY).alias("spans"))
+    arrays = ["spans"]
+    if "gazetteer" in layers and dictionary is not None:
+        lookup = gazetteer_lookup_udf(dictionary)
+        if lookup is None:
+            return None
+        df = df.select("*", lookup("text").alias("_g"))
+        arrays.append("_g")
+    allspans = f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
+    kept = f"filter({allspans}, kp -> {keep_sql('kp.entity_type', 'kp.source', 'kp.text')})"
+    return df.select("doc_id", "segment_index", "text", F.expr(resolve_overlaps_sql(kept)).alias("resolved"))
+
+
 def predictions(resolved: DataFrame) -> DataFrame:
     """The prediction records - text stripped, empty ones dropped,
     offsets left as detected."""

@@ -45,7 +45,7 @@ def candidates(spark, sf):
 
 
 def resolved(spark, sf):
-    return V.resolve_segment_spans(H.filter_spans(candidates(spark, sf)))
+    return H.hybrid_spans(segments(spark, sf), dictionary(spark, sf))
 
 
 def preds(spark, sf):
@@ -99,8 +99,7 @@ def q_predictions(spark, sf):
 def q_redacted_documents(spark, sf):
     d = docs(spark, sf)
     seg = S.segment_body(d)
-    p = preds(spark, sf)
-    red = R.redact_spans(seg, p).join(seg.select("doc_id", "segment_index", "paragraph_index"), R.SEG_KEYS)
+    red = redacted_segments(spark, sf, seg).join(seg.select("doc_id", "segment_index", "paragraph_index"), R.SEG_KEYS)
     return R.rebuild_documents(d, red)
 
 
@@ -317,9 +316,17 @@ def q_redact_literal(spark, sf):
                  "segment_index")
 
 
+def redacted_segments(spark, sf, seg=None):
+    """In-row when every layer fits in the row (no shuffle), else the span join."""
+    seg = seg if seg is not None else segments(spark, sf)
+    rows = H.resolved_rows(seg, dictionary(spark, sf))
+    if rows is not None:
+        return R.redact_in_row(rows)
+    return R.redact_spans(seg, H.predictions(H.hybrid_spans(seg, dictionary(spark, sf))))
+
+
 def q_redact_spans(spark, sf):
-    return _long(R.redact_spans(segments(spark, sf), preds(spark, sf)).select("doc_id", "segment_index", "redacted"),
-                 "segment_index")
+    return _long(redacted_segments(spark, sf).select("doc_id", "segment_index", "redacted"), "segment_index")
 
 
 def q_leak_audit(spark, sf):

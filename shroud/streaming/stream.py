@@ -18,12 +18,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.functions.spans import resolve_overlaps_sql
-from shroud.functions.surrogate import surrogate_sql
-from shroud.functions.text import strip_sql
 from shroud.operators.detect import detect_regex, explode_spans
-from shroud.operators.hybrid import keep_sql, row_local_spans
-from shroud.operators.redact import _rebuild_sql
+from shroud.operators.hybrid import resolved_rows
+from shroud.operators.redact import redact_in_row
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources import segments as S
 
@@ -36,14 +33,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def redact_rows(segments: DataFrame) -> DataFrame:
     """Row-local redaction: regex + scored spans, filters, in-row resolution,
     surrogates by span type, splice.  Adds ``redacted``."""
-    df = row_local_spans(segments)
-    kept = f"filter(spans, kp -> {keep_sql('kp.entity_type', 'kp.source', 'kp.text')})"
-    resolved = resolve_overlaps_sql(kept)
-    subs = (f"filter(transform({resolved}, rs -> named_struct('start', rs.start, 'end', rs.`end`, "
-            f"'orig', {strip_sql('rs.text')}, 'entity_type', rs.entity_type)), rf -> length(rf.orig) > 0)")
-    withsur = (f"transform({subs}, rw -> named_struct('start', rw.start, 'end', rw.`end`, "
-               f"'surrogate', {surrogate_sql('rw.entity_type', 'rw.orig')}))")
-    return df.select("*", F.expr(_rebuild_sql("text", withsur)).alias("redacted")).drop("spans")
+    rows = resolved_rows(segments, None, ("regex", "scored"))
+    return redact_in_row(rows)
 
 
 def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
