@@ -52,6 +52,18 @@ def preds(spark, sf):
     return H.predictions(resolved(spark, sf))
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """For an intermediate read by several branches of one plan (predictions are
+    small next to the text): write it once as a table in the session's shared
+    checkpoint folder and read it back, so the detector runs once instead of
+    once per branch and the lineage is cut (a lost executor does not re-run it)."""
+    from shroud.streaming.stream import scratch
+
+    path = scratch(df.sparkSession, "shared")
+    df.write.mode("overwrite").parquet(path)  # one job; a plain checkpoint() computes the plan twice
+    return df.sparkSession.read.parquet(path)
+
+
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("long"))
@@ -330,7 +342,7 @@ def q_redact_spans(spark, sf):
 
 
 def q_leak_audit(spark, sf):
-    p = preds(spark, sf)
+    p = shared(preds(spark, sf))
     red = R.redact_literal(segments(spark, sf), R.replacement_pairs(p))
     return _long(R.leak_audit(red, p), "segment_index")
 
@@ -351,7 +363,7 @@ def q_entity_summary(spark, sf):
 def q_corpus_stats(spark, sf):
     d = docs(spark, sf)
     seg = segments(spark, sf)
-    p = preds(spark, sf)
+    p = shared(preds(spark, sf))
     n_seg = seg.select(F.count(F.lit(1))).scalar()
     n_uniq = p.select(F.count_distinct("doc_id", "text")).scalar()
     return d.agg(F.count(F.lit(1)).alias("n_documents")).select(
@@ -359,8 +371,12 @@ def q_corpus_stats(spark, sf):
 
 
 def _gt_and_preds(spark, sf):
+    """Ground truth and predictions of the planted corpus (detection runs over
+    the planted documents only; every step is per row, so this equals
+    filtering the full corpus' predictions to doc_id < 0)."""
     gt = C.planted_truth(spark, sf)
-    p = preds(spark, sf).where(F.col("doc_id") < 0)
+    seg = S.segment_all(C.corpus(spark, sf, ("planted",)))
+    p = shared(H.predictions(H.hybrid_spans(seg, dictionary(spark, sf))))
     return gt, p
 
 
