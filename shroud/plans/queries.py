@@ -315,8 +315,7 @@ def q_surrogates_doc_scope(spark, sf):
 
 def q_replace_first(spark, sf):
     pairs = R.replacement_pairs(preds(spark, sf))
-    hits = segments(spark, sf).join(pairs.select("doc_id", "original", "surrogate"), "doc_id").where(
-        F.instr(F.col("text"), F.col("original")) > 0)
+    hits = R.segment_pair_hits(segments(spark, sf), pairs)
     return _long(hits.select("doc_id", "segment_index", "original",
                              F.expr(R.replace_first_sql("text", "original", "surrogate")).alias("replaced")),
                  "segment_index")

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from shroud.sources.tables import read_table
 from shroud.functions.text import luhn_check_digit_sql
-from shroud.session import spread
+from shroud.session import sized_broadcast, spread
+
+GEO_MAX_ROWS = 100_000
 
 # --- fixed values: month abbreviations used by the planted dates ---------------
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -57,7 +59,7 @@ def _lp(c: Column, n: int) -> Column:
 def _planted_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders joined with their customer, nation, region and a supplier.
 
-    nation / region are fixed 25 / 5 row dimensions and are broadcast; customer
+    nation / region (25 / 5 rows) are broadcast after a row-count check; customer
     and supplier grow with the data, so their join strategy is left to the
     planner's size statistics (AQE converts to broadcast when small).
     """
@@ -68,10 +70,12 @@ def _planted_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     n_supp = supplier.select(F.count(F.lit(1))).scalar()
-    geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    region_b, _ = sized_broadcast(region, GEO_MAX_ROWS)
+    geo = nation.join(region_b, nation.n_regionkey == region.r_regionkey)
+    geo_b, _ = sized_broadcast(geo, GEO_MAX_ROWS)
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(geo_b, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(supplier, F.col("s_suppkey") == F.col("o_orderkey") % n_supp)
         .select("o_orderkey", "o_custkey", "o_orderpriority", "c_name", "c_mktsegment",
                 "n_name", "r_name", "s_name")
