@@ -24,6 +24,9 @@ from shroud.operators.detect import (
 from shroud.operators.resolve import resolve_segment_spans
 
 ALL_LAYERS = ("regex", "gazetteer", "scored")
+# Each Python worker holds its own copy of an in-row dictionary, so the in-row
+# path gets a lower bound than the JVM broadcast join (shared per executor).
+INROW_DICTIONARY_MAX_ROWS = 500_000
 EMPTY = "cast(array() as array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string,prio:int>>)"
 
 
@@ -121,7 +124,7 @@ def resolved_rows(segments: DataFrame, dictionary: DataFrame | None = None,
     df = row_local_spans(seg, row_local) if row_local else seg.select("*", F.expr(EMPTY).alias("spans"))
     arrays = ["spans"]
     if "gazetteer" in layers and dictionary is not None:
-        lookup = gazetteer_lookup_udf(dictionary)
+        lookup = gazetteer_lookup_udf(dictionary, INROW_DICTIONARY_MAX_ROWS)
         if lookup is None:
             return None
         df = df.select("*", lookup("text").alias("_g"))
