@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import digests
 from .common import table
 from .packing import pack_documents
+from .quality import quality_rules
+from .simhash import near_duplicates
+from .suffix_dedup import removal_digests
 from .token_counts import token_counts
 
 
@@ -17,6 +20,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +42,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
