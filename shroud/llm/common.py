@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``; without that setting there is
-    no folder that all executors see, so this fails instead of guessing one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A fresh folder of this application under the cluster's shared ``spark.checkpoint.dir``.  Where that is unset, a
+    session in one process (as in tests) gets a temporary one; on a cluster there is no folder that all executors see,
+    so this fails instead of guessing one."""
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _application_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/llm-{sc.applicationId}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete every table that ``stored`` wrote in this application.  Results that still read them must be written first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 FIT_ROWS = 4096  # bound of the sample that the forest is fitted on
 TREES, TREE_ROWS, SEED = 100, 256, 42
-BINS, GOOD_LOST = 2000, 0.002
+BINS, GOOD_WEIGHT = 2000, 20  # losing one good row in a hundred weighs as much as missing one bad row in five
 USUAL_LINES, USUAL_REPEATS = 0.02, 0.25  # repeated lines a word, repeated words a word
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -189,8 +189,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
     for r in binned.groupBy("quality", "bin").count().collect():  # at most two rows a bin
         (good if r["quality"] else bad)[int(r["bin"]) + 1] += r["count"]
     lost, caught = np.cumsum(good), np.cumsum(bad)  # rows below the upper end of each bin
-    fair = np.flatnonzero(lost <= GOOD_LOST * good.sum())
-    best = fair[np.argmax(caught[fair])]
+    best = np.argmax(caught / max(1, bad.sum()) - GOOD_WEIGHT * lost / max(1, good.sum()))
     return Model(forest, float(best) * top / BINS)
 
 

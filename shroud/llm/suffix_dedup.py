@@ -6,14 +6,18 @@ lie in stretches of one hash, and a shuffle on that hash brings them together; e
 stretch.  A stretch whose hash occurs nowhere else and only once in itself has no repeats and is dropped at once.
 Equal stretches are counted before anything else, so copies, however many, are one class with a count.
 
-The classes of a hash are then compared by the collection's Burrows-Wheeler transform, built column-wise: each round
-inserts one more symbol of every string (from its end to its start) and updates transform and longest common prefixes
-in sequential files; windows whose neighbours in suffix order share ``SPAN`` bytes are repeated.  A round costs the
-size of the collection, and a stretch is about 300 bytes, so rounds are few even for texts of any length.
+The classes of a hash are then compared by a transform built column-wise, many strings at a time: all windows that can
+be equal hold the same gram at the same place, so strings are aligned there, and each round inserts one symbol of every
+string (from the last column to the first), updating the order of all suffixes that start in the column, the column of
+the transform, and the longest common prefixes of neighbours, with sequential files for columns and results.  Windows
+whose neighbours share ``SPAN`` bytes are repeated.  Alignment is what keeps a round proportional to the number of
+strings: the transform of unaligned suffixes (all of them in one order, as in the textbook construction) was built first
+and cost the whole collection a round, see the README for figures.
 
 A hash with more than ``HOT_CLASSES`` different stretches (a passage that very many texts share, each time with
-another context) is split further: its windows are counted one by one under their own 128-bit hash, exactly and
-spread over all tasks.  Nothing is dropped or capped.
+another context), or with more than ``HOT_PERIODIC`` of which some hold the gram several times, is split further: its
+windows are counted one by one under their own 128-bit hash, exactly and spread over all tasks.  Nothing is dropped or
+capped.
 
 Null and empty texts count as empty.  Rows are named by 128 bits of their values, so ids may be null or repeated;
 equal rows are documents of their own (they repeat each other) and get equal results.
@@ -38,9 +42,9 @@ from .common import row_key, stored
 SPAN = 200
 GRAM = 32
 STRETCH = 200  # windows in one stretch, at most
-BLOCK = 1 << 21  # bytes of text whose windows are hashed at once
+BLOCK = 1 << 18  # bytes of text whose windows are hashed at once
 COLLECTION = 8192  # strings in one transform, about
-HOT_CLASSES = 4096
+HOT_CLASSES, HOT_PERIODIC = 8192, 64
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -101,71 +105,75 @@ def stretches(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int =
     return begin, windows, value, own
 
 
-def repeated_windows(strings: list[bytes], span: int, folder: str) -> list[np.ndarray]:
-    """For every string, which of its windows of ``span`` bytes occur elsewhere in the collection (or in itself).
-
-    Column-wise construction: before round j the files hold the transform of all suffixes of up to j bytes and their
-    longest common prefixes (up to ``span``, more does not matter).  A round finds where the suffixes of j + 1 bytes go,
-    which is the last-to-first step of the symbols put in by the round before, and inserts them."""
-    m = len(strings)
+def anchors(strings: list[bytes], hashes: list[int], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of every gram that has the string's hash."""
+    size = np.array([len(s) for s in strings])
+    found = gram_hashes(np.frombuffer(b"".join(strings), np.uint8), gram)
+    owner = np.repeat(np.arange(len(strings)), size)[:len(found)]
+    offset = np.arange(len(found)) - (np.cumsum(size) - size)[owner]
+    hit = np.flatnonzero((found == np.array(hashes, np.int64).view(np.uint64)[owner]) & (offset <= size[owner] - gram))
+    return owner[hit], offset[hit]
+
+
+def repeated_windows(strings: list[bytes], hashes: list[int], folder: str, span: int = SPAN, gram: int = GRAM) -> list[np.ndarray]:
+    """For every string, which of its windows of ``span`` bytes occur elsewhere among the strings of its hash (or in
+    itself).  Strings of one hash come one after the other.
+
+    Every window holds a gram of the string's hash, and equal windows hold it at the same place; so each string is laid
+    out with that gram at one column (once for each of its grams), and only suffixes that start in the same column can
+    begin with equal windows.  The construction goes through the columns from the last to the first.  A round inserts
+    one symbol of every string: it takes the suffixes in order (by hash, then bytes), sorts them stably by the new
+    symbol, which is the last column of the transform, and updates the longest common prefix of neighbours, all of it in
+    time proportional to the number of strings.  Columns are read from one sequential file; which windows have a neighbour
+    with ``span`` common bytes goes to another."""
+    entry, place = anchors(strings, hashes, gram)
+    before, width = span - gram, 2 * span - gram
     size = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8)
     begin = np.cumsum(size) - size
-    none = 0xFF  # stands for "no symbol left"; not a byte of UTF-8
-    bwt_file, lcp_file = os.path.join(folder, "bwt"), os.path.join(folder, "lcp")
-    text[begin + size - 1].tofile(bwt_file)
-    np.zeros(m, np.uint8).tofile(lcp_file)
-    rows, owner = np.arange(m), np.arange(m)
-    for j in range(1, int(size.max()) + 1):
-        bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
-        order = np.argsort(bwt, kind="stable")
-        real = len(bwt) - int((bwt == none).sum())
-        fresh = np.zeros(len(bwt), bool)
-        fresh[rows] = True
-        at = np.flatnonzero(fresh[order[:real]])  # rank of the new suffixes behind the empty ones
-        row = order[at]
-        owner = owner[np.searchsorted(rows, row)]
-        symbol = bwt[row]
-        before, after = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, real - 1)]
-        has_before = (at > 0) & (bwt[before] == symbol)
-        has_after = (at + 1 < real) & (bwt[after] == symbol)
-        above, below = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint8)
-        above[has_before] = np.minimum(_range_min(lcp, before[has_before] + 1, row[has_before] + 1), span - 1) + 1
-        below[has_after] = np.minimum(_range_min(lcp, row[has_after] + 1, after[has_after] + 1), span - 1) + 1
-        place = m + at
-        old = np.ones(m + real, bool)
-        old[place] = False
-        following = np.minimum(place + 1, len(old) - 1)
-        mend = (place + 1 < len(old)) & old[following]
-        left = size[owner] > j
-        put = np.full(len(at), none, np.uint8)
-        put[left] = text[(begin + size - 1 - j)[owner[left]]]
-        new_bwt, new_lcp = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        new_bwt[old], new_bwt[place] = bwt, put
-        new_lcp[old], new_lcp[place] = lcp, above
-        new_lcp[following[mend]] = below[mend]
-        new_bwt.tofile(bwt_file)
-        new_lcp.tofile(lcp_file)
-        rows, owner = place[left], owner[left]
-        if not len(rows):
-            break
-    bwt, lcp = np.fromfile(bwt_file, np.uint8), np.fromfile(lcp_file, np.uint8)
-    long = lcp >= span
-    long = long | np.append(long[1:], False)
-    order = np.argsort(bwt, kind="stable")
-    step = np.empty(len(bwt), np.int64)
-    step[order] = m + np.arange(len(bwt))
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    low = np.maximum(0, before - place)  # columns of the entry's first byte, and behind its last
+    high = np.minimum(width, before - place + size[entry])
+    useful = high - low >= span
+    entry, place, low, high = entry[useful], place[useful], low[useful], high[useful]
     out = [np.zeros(n - span + 1, bool) for n in size.tolist()]
-    flat = np.zeros(int(size.sum()), bool)
-    row, who = np.arange(m), np.arange(m)
-    for j in range(1, int(size.max()) + 1):
-        more = size[who] >= j
-        row, who = step[row[more]], who[more]
-        if j >= span:
-            flat[(begin + size - j)[who]] = long[row]
-    for k, (b, n) in enumerate(zip(begin.tolist(), size.tolist())):
-        out[k] = flat[b:b + n - span + 1]
-    return out
+    if not len(entry):
+        return out
+    where = (begin[entry] + place - before)[None, :] + np.arange(width)[:, None]
+    columns, flags = os.path.join(folder, "columns"), os.path.join(folder, "flags")
+    text[np.clip(where, 0, len(text) - 1)].tofile(columns)
+    _, group = np.unique(np.array(hashes, np.int64)[entry], return_inverse=True)
+    joining = np.argsort(high, kind="stable")
+    joins = np.searchsorted(high[joining], np.arange(width + 2))
+    order, common = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    with open(columns, "rb") as source, open(flags, "wb") as sink:
+        for t in range(width - 1, -1, -1):
+            source.seek(t * len(entry))
+            symbol = np.frombuffer(source.read(len(entry)), np.uint8)
+            stay = np.flatnonzero(low[order] <= t)  # the others began in the column before
+            if len(stay) < len(order):
+                order, common = order[stay], _range_min(common, np.append(0, stay[:-1] + 1), stay + 1)
+            new = joining[joins[t + 1]:joins[t + 2]]
+            if len(new):  # their suffix was empty so far: the least of its hash
+                order = np.concatenate([new, order])
+                common = np.concatenate([np.zeros(len(new), np.int64), common])
+                first = np.argsort(group[order], kind="stable")
+                order, common = order[first], common[first]
+            key = group[order] * 256 + symbol[order]
+            step = np.argsort(key, kind="stable")
+            same = np.flatnonzero(key[step[1:]] == key[step[:-1]])
+            fresh = np.zeros(len(order), np.int64)
+            fresh[same + 1] = np.minimum(_range_min(common, step[same] + 1, step[same + 1] + 1) + 1, span)
+            order, common = order[step], fresh
+            if t <= width - span:
+                long = common >= span
+                flag = np.zeros(len(entry), bool)
+                flag[order[long | np.append(long[1:], False)]] = True
+                flag.tofile(sink)
+    found = np.fromfile(flags, bool).reshape(-1, len(entry))[::-1]
+    column, hit = np.nonzero(found)
+    flat = np.zeros(len(text), bool)
+    flat[where[column, hit]] = True
+    return [flat[b:b + n - span + 1] for b, n in zip(begin.tolist(), size.tolist())]
 
 
 def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -175,7 +183,7 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     order = np.argsort(-low, kind="stable")  # from the right, so that nothing between two ranges is read
     pairs = np.stack([low[order], high[order]], axis=1).reshape(-1)
     out = np.empty(len(low), values.dtype)
-    out[order] = np.minimum.reduceat(np.append(values, np.uint8(255)), pairs)[::2]
+    out[order] = np.minimum.reduceat(np.append(values, np.iinfo(values.dtype).max), pairs)[::2]
     return out
 
 
@@ -237,7 +245,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def result() -> pa.RecordBatch:
         with tempfile.TemporaryDirectory() as folder:  # scratch of this task alone, gone at its end
-            flags = repeated_windows([h[3] for h in held], SPAN, folder)
+            flags = repeated_windows([h[3] for h in held], [h[0] for h in held], folder)
         out = []
         for (m, c, n, _), windows in zip(held, flags):
             starts, ends = covered(np.ones(len(windows), bool) if n > 1 else windows, SPAN)
@@ -295,9 +303,10 @@ def repeated_ranges(keyed: DataFrame, packed: DataFrame) -> DataFrame:
     unlike = F.expr("classes > 1 or any_own")
     copies = classes.where(~unlike).where("n > 1").select(
         "m", "c", F.array(F.lit(0)).alias("starts"), F.array(F.col("windows") + (SPAN - 1)).alias("ends"))
+    hot = (F.col("classes") > HOT_CLASSES) | (F.col("any_own") & (F.col("classes") > HOT_PERIODIC))
     asked = classes.where(unlike).select(
         F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"),
-        F.struct("m", "c", "n", (F.col("classes") > HOT_CLASSES).alias("hot"), "at.pos", "windows").alias("w"))
+        F.struct("m", "c", "n", hot.alias("hot"), "at.pos", "windows").alias("w"))
     asked = asked.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))  # bounded by one text
     once = packed.select("k1", "k2", "packed").join(asked, ["k1", "k2"])
     contents = stored(once.mapInArrow(_contents, "m long, c long, n long, hot boolean, content binary").dropDuplicates(["m", "c"]))
@@ -305,9 +314,9 @@ def repeated_ranges(keyed: DataFrame, packed: DataFrame) -> DataFrame:
         _compare, "m long, c long, starts array<int>, ends array<int>")
     windows = contents.where("hot").mapInArrow(_windows, "h1 long, h2 long, m long, c long, n long, at int")
     again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    hot = windows.join(again, ["h1", "h2"]).groupBy("m", "c").agg(F.collect_list("at").alias("starts")).select(
+    counted = windows.join(again, ["h1", "h2"]).groupBy("m", "c").agg(F.collect_list("at").alias("starts")).select(
         "m", "c", "starts", F.transform("starts", lambda x: x + SPAN).alias("ends"))
-    ranges = copies.unionByName(compared).unionByName(hot)
+    ranges = copies.unionByName(compared).unionByName(counted)
     spans = found.join(ranges, ["m", "c"]).select("k1", "k2", F.expr(
         "explode(arrays_zip(transform(starts, x -> pos + x), transform(ends, x -> pos + x))) as span"))
     return spans.select("k1", "k2", F.struct(F.col("span.0").alias("b"), F.col("span.1").alias("e")).alias("span")).groupBy(
@@ -351,6 +360,38 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         run, f"`{id_col}` {kind}, k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, the text without its repeated bytes, and ``__removed``: how many those were.  A code point
+    that loses some of its bytes goes as a whole."""
+    keyed = df.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
+    packed = keyed.select(F.lit(0).alias("x"), "k1", "k2", "text").mapInArrow(_packed, "x int, k1 long, k2 long, packed binary")
+    ranges = repeated_ranges(keyed, packed).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    k1, k2 = row_key(F.col(id_col), F.col(text_col))
+    joined = df.withColumns({"__k1": k1, "__k2": k2}).join(ranges, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    own = df.columns
+    place, names = own.index(text_col), [*own, "__removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                texts, removed = [], []
+                for text, found in zip(rows.column(text_col).to_pylist(), rows.column("__spans").to_pylist()):
+                    gone = union_ranges([(x["b"], x["e"]) for x in found or []])
+                    if gone:
+                        data = text.encode()
+                        edges = [0, *(x for r in gone for x in r), len(data)]
+                        text = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])]).decode(errors="ignore")
+                    texts.append(text)
+                    removed.append(sum(e - b for b, e in gone))
+                columns = [rows.column(k) for k in own]
+                columns[place] = pa.array(texts, columns[place].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return joined.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in df.columns) + ", __removed long")
+
+
 def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return remove_repeats(df, id_col, text_col).select(
         id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
