@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shroud.plans.queries import QUERIES  # noqa: E402
-from shroud.session import build_session  # noqa: E402
+from shroud.session import INPUT_PARTITIONS, build_session  # noqa: E402
 
 HEADLINE = [
     "regex_spans",
@@ -32,7 +32,11 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(app_name="shroud-bench")
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = build_session("shroud-bench", {
+        "spark.master": f"local[{cpus}]", "spark.driver.memory": os.environ.get("SHROUD_DRIVER_MEMORY", "16g"), "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": cpus, INPUT_PARTITIONS: cpus})
+    spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in names:
         t0 = time.time()

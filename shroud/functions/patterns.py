@@ -66,7 +66,7 @@ REGEX_GUARDS = {
     "EMAIL": ("contains", "@"),
     "SSN": ("contains", "-"),
     "IP_ADDRESS": ("contains", "."),
-    "CREDIT_CARD": ("rlike", r"[0-9]{13}"),
+    "CREDIT_CARD": ("rlike", r"\d{13}"),  # one branch takes any decimal digit
     "DATE_OF_BIRTH": ("rlike", r"(?i)dob|born|birth"),
     "PHONE": ("rlike", r"\d{3}[\s\-\.]\d{4}"),
 }
@@ -194,9 +194,26 @@ SURROGATE_SALT = "shroud"
 SURROGATE_AS_OF = "2024-01-01"
 
 
+# White space of Python's ``str`` that Unicode-aware Java classes lack: the four separators U+001C..U+001F.
+EXTRA_SPACE = r"\x1c-\x1f"
+SPACE_CLASS = r"[\s" + EXTRA_SPACE + "]"
+NOT_SPACE_CLASS = r"[^\s" + EXTRA_SPACE + "]"
+
+
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
-    """The pattern for Spark (java.util.regex) with Python-like Unicode classes."""
-    return ("(?iU)" if ignore_case else "(?U)") + pattern
+    """The pattern for Spark (java.util.regex) with Python-like Unicode classes: flags, and the four separators wherever
+    ``\\s`` stands (inside a class they join it)."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k:k + 2]
+        if two[0] == "\\":
+            out.append((r"\s" + EXTRA_SPACE if inside else SPACE_CLASS) if two == r"\s" else two)
+            k += 2
+            continue
+        inside = two[0] == "[" or inside and two[0] != "]"
+        out.append(two[0])
+        k += 1
+    return ("(?iU)" if ignore_case else "(?U)") + "".join(out)
 
 
 def re2_pattern(pattern: str, ignore_case: bool = False) -> str:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shroud.functions.text import blocked_sql
+
 SPAN_FIELDS = "start:int,end:int,entity_type:string,text:string,score:double,source:string,prio:int"
 SPAN_TYPE = f"struct<{SPAN_FIELDS}>"
 SPANS_TYPE = f"array<{SPAN_TYPE}>"
@@ -46,21 +48,24 @@ def sort_spans_sql(spans: str, v: str = "ss") -> str:
 def resolve_overlaps_sql(spans: str, v: str = "ro") -> str:
     """Left-to-right fold over the sorted spans, comparing only with the last kept one.
 
-    An overlapping candidate replaces the last kept span when it is longer, or
-    as long with a higher score; a disjoint candidate is appended.  This is the
-    reference's rule, chains included (A<B<C keeps C even though A and C are
-    disjoint).
+    An overlapping candidate replaces the last kept span when it is longer, or as long with a higher score; a disjoint
+    candidate makes the last kept span final.  Chains included: A<B<C keeps C even though A and C are disjoint.  The
+    fold carries the last kept span (as an array of at most one) and collects final ones block by block.
     """
-    acc, c = f"{v}acc", f"{v}c"
-    last = f"element_at({acc}, -1)"
-    overlaps = f"({c}.start < {last}.`end` AND {last}.start < {c}.`end`)"
-    clen, llen = f"({c}.`end` - {c}.start)", f"({last}.`end` - {last}.start)"
-    better = f"({clen} > {llen} OR ({clen} = {llen} AND {c}.score > {last}.score))"
-    replaced = f"concat(slice({acc}, 1, size({acc}) - 1), array({c}))"
-    step = (f"({acc}, {c}) -> CASE WHEN size({acc}) = 0 THEN array({c}) "
-            f"WHEN {overlaps} THEN (CASE WHEN {better} THEN {replaced} ELSE {acc} END) "
-            f"ELSE concat({acc}, array({c})) END")
-    return f"aggregate({sort_spans_sql(spans, v + 's')}, {EMPTY_SPANS}, {step})"
+    acc, c, last = f"{v}a", f"{v}c", f"{v}a.last"
+    one = f"element_at({last}, 1)"
+    overlaps = f"({c}.start < {one}.`end` AND {one}.start < {c}.`end`)"
+    clen, llen = f"({c}.`end` - {c}.start)", f"({one}.`end` - {one}.start)"
+    better = f"({clen} > {llen} OR ({clen} = {llen} AND {c}.score > {one}.score))"
+    kept = f"CASE WHEN size({last}) > 0 AND {overlaps} AND NOT {better} THEN {last} ELSE array({c}) END"
+    final = f"CASE WHEN size({last}) > 0 AND NOT {overlaps} THEN concat({acc}.done, {last}) ELSE {acc}.done END"
+    step = f"({acc}, {c}) -> named_struct('last', {kept}, 'done', {final})"
+    inner = f"aggregate({v}k, named_struct('last', {v}o.last, 'done', {EMPTY_SPANS}), {step})"
+    block = (f"({v}o, {v}k) -> aggregate(array({inner}), named_struct('last', {v}o.last, 'done', {v}o.done), "
+             f"({v}p, {v}q) -> named_struct('last', {v}q.last, 'done', concat({v}p.done, array({v}q.done))))")
+    zero = f"named_struct('last', {EMPTY_SPANS}, 'done', cast(array() as array<{SPANS_TYPE}>))"
+    blocks = blocked_sql(sort_spans_sql(spans, v + "s"), v)
+    return f"aggregate({blocks}, {zero}, {block}, {v}e -> concat(flatten({v}e.done), {v}e.last))"
 
 
 def resolve_overlaps(spans: str) -> Column:

@@ -9,9 +9,19 @@ Spark's ``length`` / ``substring``.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shroud.functions.patterns import NOT_SPACE_CLASS, SPACE_CLASS
+
+# Elements that a fold appends to one array before it starts another: appending copies the array, so a fold over n
+# elements costs n * BLOCK instead of n * n.
+BLOCK = 128
+
 LOCATED_TYPE = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -22,8 +32,9 @@ def q(pattern: str) -> str:
 
 
 def strip_sql(c: str) -> str:
-    """Remove leading and trailing Unicode white space (Spark ``trim`` only drops spaces)."""
-    return f"regexp_replace({c}, {q(r'(?U)\A\s+|\s+\z')}, '')"
+    """Remove leading and trailing white space, as Python's ``str.strip`` sees it."""
+    pattern = f"(?U)\\A{SPACE_CLASS}+|{SPACE_CLASS}+\\z"
+    return f"regexp_replace({c}, {q(pattern)}, '')"
 
 
 def normalize_sql(c: str) -> str:
@@ -32,11 +43,27 @@ def normalize_sql(c: str) -> str:
 
 
 def non_blank_sql(c: str) -> str:
-    return f"({c} rlike {q(r'(?U)\S')})"
+    return f"({c} rlike {q('(?U)' + NOT_SPACE_CLASS)})"
+
+
+@lru_cache
+def decimal_digits() -> str:
+    """All decimal digits of Unicode, zero to nine of each script in turn."""
+    return "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
+
+
+@lru_cache
+def digit_class() -> str:
+    """Class of what ``str.isdigit`` takes: decimal digits, and digits such as superscripts."""
+    others = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit() and unicodedata.category(chr(c)) != "Nd"]
+    return r"[\d" + "".join(f"\\x{{{c:x}}}" for c in others) + "]"
 
 
 def digits_only_sql(c: str) -> str:
-    return f"regexp_replace({c}, {q(r'(?U)\D')}, '')"
+    """The decimal digits of any script, as 0-9."""
+    digits = decimal_digits()
+    values = "".join(str(unicodedata.digit(d)) for d in digits)
+    return f"translate(regexp_replace({c}, {q(r'(?U)[^\d]')}, ''), '{digits}', '{values}')"
 
 
 def luhn_ok_sql(d: str, v: str = "lh") -> str:
@@ -45,10 +72,10 @@ def luhn_ok_sql(d: str, v: str = "lh") -> str:
     From the right, every second digit is doubled (minus 9 above 9); the sum
     must be divisible by 10.  ``v`` names the lambda variables (unique per nesting).
     """
-    dig = f"cast(substring({d}, length({d}) - {v}i, 1) as int)"
+    dig = f"try_cast(substring({d}, length({d}) - {v}i, 1) as int)"
     body = f"CASE WHEN {v}i % 2 = 1 THEN (CASE WHEN {dig} * 2 > 9 THEN {dig} * 2 - 9 ELSE {dig} * 2 END) ELSE {dig} END"
     total = f"aggregate(sequence(0, length({d}) - 1), 0, ({v}a, {v}i) -> {v}a + {body})"
-    return f"(CASE WHEN length({d}) >= 13 THEN {total} % 10 = 0 ELSE false END)"
+    return f"(CASE WHEN length({d}) >= 13 THEN coalesce({total} % 10 = 0, false) ELSE false END)"
 
 
 def luhn_check_digit_sql(p: str, v: str = "lc") -> str:
@@ -80,25 +107,37 @@ def regex_matches_sql(text: str, jpattern: str, guard: str | None = None) -> str
     return m
 
 
+def blocked_sql(array: str, v: str) -> str:
+    """The array as an array of blocks of at most BLOCK elements.  The array expression is bound once, as the only
+    element of another array."""
+    return (f"flatten(transform(array({array}), {v}w -> transform(sequence(0, greatest(size({v}w) - 1, 0) div {BLOCK}), "
+            f"{v}b -> slice({v}w, {v}b * {BLOCK} + 1, {BLOCK}))))")
+
+
+def running_sum_sql(lengths: str, v: str) -> str:
+    """Inclusive running sums of an array of ints, in blocks: sums inside each block, then what came before it."""
+    inner = (f"aggregate({v}k, named_struct('t', 0, 'o', cast(array() as array<int>)), "
+             f"({v}a, {v}x) -> named_struct('t', {v}a.t + {v}x, 'o', concat({v}a.o, array({v}a.t + {v}x))))")
+    sums = f"transform({blocked_sql(lengths, v)}, {v}k -> {inner})"
+    # the totals of all blocks before each block, by the same fold over far fewer elements
+    outer = (f"aggregate({sums}, named_struct('t', 0, 'o', cast(array() as array<array<int>>)), ({v}c, {v}y) -> named_struct("
+             f"'t', {v}c.t + {v}y.t, 'o', concat({v}c.o, array(transform({v}y.o, {v}z -> {v}z + {v}c.t)))), {v}c -> {v}c.o)")
+    return f"flatten({outer})"
+
+
 def locate_matches_sql(text: str, matches: str, jpattern: str, v: str = "lm") -> str:
     """Attach offsets to the matches of ``jpattern`` in ``text``.
 
-    ``split(text, p, -1)`` yields the gaps between the same matches, so the
-    i-th match starts at sum(len(gaps[0..i])) + sum(len(matches[0..i-1])).  A
-    running fold computes that in one pass.  ``split`` only runs where a match
-    exists.  Never ``locate(match)``: the first occurrence of the matched text
-    need not be the match itself.
+    ``split(text, p, -1)`` yields the gaps between the same matches, so the i-th match ends at the running sum of
+    gaps and matches up to it.  ``split`` only runs where a match exists.  Never ``locate(match)``: the first
+    occurrence of the matched text need not be the match itself.
     """
     n = f"size({matches})"
-    pairs = (f"zip_with(slice(split({text}, {q(jpattern)}, -1), 1, {n}), {matches}, "
-             f"({v}g, {v}m) -> named_struct('gl', length({v}g), 'mt', {v}m))")
-    zero = f"named_struct('pos', 0, 'out', cast(array() as {LOCATED_TYPE}))"
-    start = f"{v}acc.pos + {v}x.gl"
-    end = f"{start} + length({v}x.mt)"
-    step = (f"({v}acc, {v}x) -> named_struct('pos', {end}, 'out', concat({v}acc.out, "
-            f"array(named_struct('start', {start}, 'end', {end}, 'text', {v}x.mt))))")
-    folded = f"aggregate({pairs}, {zero}, {step}, {v}acc -> {v}acc.out)"
-    return f"(CASE WHEN {n} > 0 THEN {folded} ELSE cast(array() as {LOCATED_TYPE}) END)"
+    lengths = (f"zip_with(slice(split({text}, {q(jpattern)}, -1), 1, {n}), {matches}, "
+               f"({v}g, {v}m) -> length({v}g) + length({v}m))")
+    ends = running_sum_sql(f"{lengths}", v)
+    located = (f"zip_with({ends}, {matches}, ({v}e, {v}t) -> named_struct('start', {v}e - length({v}t), 'end', {v}e, 'text', {v}t))")
+    return f"(CASE WHEN {n} > 0 THEN {located} ELSE cast(array() as {LOCATED_TYPE}) END)"
 
 
 # Column wrappers -------------------------------------------------------------------

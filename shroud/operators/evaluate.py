@@ -1,7 +1,9 @@
 """Precision / recall / F1 / accuracy of predictions against ground truth.
 
 Matching is text-level on (entity_type, lower(strip(text))); segment and
-offsets are ignored, as in the reference.  TP counts distinct matched
+offsets are ignored, as in the reference.  ``match="offset"`` compares places
+instead: (entity_type, doc_id, segment_index, start, end).  Every prediction
+counts, unless a table of ``annotated`` documents is given.  TP counts distinct matched
 prediction keys, FP counts prediction rows whose key is not in the truth, FN
 counts truth rows whose key was not predicted.  Every type seen in either
 input gets a row (zeros kept), plus an AGGREGATE row with the sums.
@@ -14,11 +16,13 @@ from pyspark.sql import functions as F
 
 from shroud.functions.text import normalize
 
-KEY = ["entity_type", "norm"]
+KEYS = {"text": ["entity_type", "norm"], "offset": ["entity_type", "doc_id", "segment_index", "start", "end"]}
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.select("entity_type", normalize("text").alias("norm"))
+def _keyed(df: DataFrame, match: str) -> DataFrame:
+    if match == "text":
+        return df.select("entity_type", normalize("text").alias("norm"))
+    return df.select(KEYS[match])
 
 
 def eval_types(gt: DataFrame, preds: DataFrame) -> DataFrame:
@@ -26,13 +30,20 @@ def eval_types(gt: DataFrame, preds: DataFrame) -> DataFrame:
     return gt.select("entity_type").union(preds.select("entity_type")).distinct()
 
 
-def eval_counts(gt: DataFrame, preds: DataFrame) -> DataFrame:
-    """(entity_type, tp, fp, fn) over the type universe, zeros kept."""
-    g, p = _keyed(gt), _keyed(preds)
+def eval_counts(gt: DataFrame, preds: DataFrame, match: str = "text", annotated: DataFrame | None = None) -> DataFrame:
+    """(entity_type, tp, fp, fn) over the type universe, zeros kept.
+
+    ``annotated``: a table of doc_id; where given, only predictions of these documents are scored (a ground truth that
+    covers part of a corpus says nothing about the rest).  Default: every prediction is.
+    """
+    if annotated is not None:
+        preds = preds.join(annotated.select("doc_id"), "doc_id", "left_semi")
+    key = KEYS[match]
+    g, p = _keyed(gt, match), _keyed(preds, match)
     gk, pk = g.distinct(), p.distinct()
-    tp = pk.join(gk, KEY, "left_semi").groupBy("entity_type").agg(F.count(F.lit(1)).alias("tp"))
-    fp = p.join(gk, KEY, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("fp"))
-    fn = g.join(pk, KEY, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("fn"))
+    tp = pk.join(gk, key, "left_semi").groupBy("entity_type").agg(F.count(F.lit(1)).alias("tp"))
+    fp = p.join(gk, key, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("fp"))
+    fn = g.join(pk, key, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("fn"))
     types = eval_types(gt, preds)
     out = types.join(tp, "entity_type", "left").join(fp, "entity_type", "left").join(fn, "entity_type", "left")
     return out.select("entity_type", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
@@ -56,9 +67,9 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def eval_metrics(gt: DataFrame, preds: DataFrame) -> DataFrame:
+def eval_metrics(gt: DataFrame, preds: DataFrame, match: str = "text", annotated: DataFrame | None = None) -> DataFrame:
     """F9 + F10: per-type rows and the AGGREGATE row."""
-    counts = eval_counts(gt, preds)
+    counts = eval_counts(gt, preds, match, annotated)
     agg = counts.agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]).select(
         F.lit("AGGREGATE").alias("entity_type"), "tp", "fp", "fn")
     return with_metrics(counts.unionByName(agg))
@@ -74,12 +85,9 @@ def eval_report(metrics: DataFrame) -> DataFrame:
     ).orderBy("is_aggregate", "entity_type")
 
 
-def format_report(rows) -> str:
-    """Markdown table of collected report rows (a handful: one per type)."""
-    lines = ["| Entity Type | Precision | Recall | F1-Score | Accuracy | TP | FP | FN |",
-             "|---|---|---|---|---|---|---|---|"]
-    for r in rows:
-        name = f"**{r['entity_type']}**" if r["entity_type"] == "AGGREGATE" else r["entity_type"]
-        lines.append(f"| {name} | {r['precision']:.3f} | {r['recall']:.3f} | {r['f1']:.3f} | {r['accuracy']:.3f} "
-                     f"| {r['tp']} | {r['fp']} | {r['fn']} |")
-    return "\n".join(lines)
+def format_report(report: DataFrame) -> str:
+    """The report as aligned plain text, one line per row; headings and widths follow from the frame's own columns."""
+    shown = [c for c in report.columns if c != "is_aggregate"]
+    body = [[f"{r[c]:.4f}" if isinstance(r[c], float) else str(r[c]) for c in shown] for r in report.collect()]  # one row per type
+    widths = [max(map(len, column)) for column in zip(shown, *body)]
+    return "\n".join("  ".join(cell.ljust(w) for cell, w in zip(row, widths)).rstrip() for row in [shown, *body])

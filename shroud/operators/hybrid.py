@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
-from shroud.functions.text import normalize_sql, strip_sql
-from shroud.functions.spans import resolve_overlaps_sql
+from shroud.functions.text import digit_class, normalize_sql, q, strip_sql
 from shroud.operators.detect import (
     detect_gazetteer,
-    gazetteer_lookup_udf,
     detect_regex,
     detect_scored,
     explode_spans,
@@ -24,10 +22,6 @@ from shroud.operators.detect import (
 from shroud.operators.resolve import resolve_segment_spans
 
 ALL_LAYERS = ("regex", "gazetteer", "scored")
-# Each Python worker holds its own copy of an in-row dictionary, so the in-row
-# path gets a lower bound than the JVM broadcast join (shared per executor).
-INROW_DICTIONARY_MAX_ROWS = 500_000
-EMPTY = "cast(array() as array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string,prio:int>>)"
 
 
 def map_labels_inline_sql(spans: str, pairs=None) -> str:
@@ -87,7 +81,7 @@ def short_name_sql(etype: str, text: str) -> str:
 
 def numeric_dob_sql(etype: str, source: str, text: str) -> str:
     """A date of birth from a non-regex layer that is all digits (unstripped)."""
-    return f"({etype} = 'DATE_OF_BIRTH' AND {source} <> 'regex' AND {text} rlike r'(?U)\\A\\d+\\z')"
+    return f"({etype} = 'DATE_OF_BIRTH' AND {source} <> 'regex' AND {text} rlike {q(f'(?U)\\A{digit_class()}+\\z')})"
 
 
 def keep_sql(etype: str, source: str, text: str) -> str:
@@ -103,37 +97,10 @@ def filter_spans(spans: DataFrame) -> DataFrame:
 
 def hybrid_spans(segments: DataFrame, dictionary: DataFrame | None = None,
                  layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame:
-    """C11: resolved, non-overlapping spans per segment.
-
-    With a proven-small dictionary every layer runs inside the segment row and
-    so does resolution: no shuffle at all.  Otherwise the gazetteer is a join
-    and the spans (not the text) are regrouped per segment.
-    """
-    rows = resolved_rows(segments, dictionary, layers)
-    if rows is not None:
-        return explode_spans(rows, "resolved")
+    """C11: resolved, non-overlapping spans per segment.  The layers' spans (not the text) are grouped per segment."""
     return resolve_segment_spans(filter_spans(candidate_spans(segments, dictionary, layers)))
 
 
-def resolved_rows(segments: DataFrame, dictionary: DataFrame | None = None,
-                  layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame | None:
-    """Segments with an in-row ``resolved`` span array (all layers, filters, D2),
-    or None when the gazetteer dictionary is too large to broadcast."""
-    seg = segments.select("doc_id", "segment_index", "text")
-    row_local = tuple(l for l in layers if l in ("regex", "scored"))
-    df = row_local_spans(seg, row_local) if row_local else seg.select("*", F.expr(EMPTY).alias("spans"))
-    arrays = ["spans"]
-    if "gazetteer" in layers and dictionary is not None:
-        lookup = gazetteer_lookup_udf(dictionary, INROW_DICTIONARY_MAX_ROWS)
-        if lookup is None:
-            return None
-        df = df.select("*", lookup("text").alias("_g"))
-        arrays.append("_g")
-    allspans = f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
-    kept = f"filter({allspans}, kp -> {keep_sql('kp.entity_type', 'kp.source', 'kp.text')})"
-    return df.select("doc_id", "segment_index", "text", F.expr(resolve_overlaps_sql(kept)).alias("resolved"))
-
-
 def predictions(resolved: DataFrame) -> DataFrame:
     """The prediction records - text stripped, empty ones dropped,
     offsets left as detected."""
@@ -147,14 +114,10 @@ def predictions(resolved: DataFrame) -> DataFrame:
 def detect_distinct(segments: DataFrame, detector) -> DataFrame:
     """Run a row-local detector once per distinct text and join the spans back.
 
-    Texts are keyed by xxhash64 + the text itself (exact).  Repeated lines
-    (boilerplate, copies) are scanned once.  Dedup is a hash aggregate with
-    map-side combine, so a hot repeated text costs one partial row per task.
+    A text is named by 128 bits of two hashes.  The first shuffle carries one text per task and hash (map-side
+    combine), the second hashes and spans only; of a text that a third of all rows repeat, AQE splits the rows.
     """
-    keyed = segments.withColumn("_h", F.xxhash64("text"))
-    uniq = keyed.groupBy("_h", "text").agg(F.lit(1).alias("_one")).drop("_one")
-    spans = detector(uniq)  # adds array column "spans"
-    return (
-        keyed.join(spans.select("_h", "text", "spans"), ["_h", "text"])
-        .drop("_h")
-    )
+    names = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("_h2")]
+    once = segments.select(*names, "text").groupBy("_h1", "_h2").agg(F.first("text").alias("text"))
+    spans = detector(once).select("_h1", "_h2", "spans").where(F.size("spans") > 0)  # adds array column "spans"
+    return segments.select("doc_id", "segment_index", *names).join(spans, ["_h1", "_h2"]).drop("_h1", "_h2")

@@ -5,8 +5,7 @@
   islands (a span starting at or after every earlier end opens a new island) and
   fold each island on its own; exact, because such a span can never touch the
   last kept span.
-* ``overlap_pairs`` - D1 as a conflict report: a bucketed range join, so only
-  spans that share a 64-character bucket are ever paired.
+* ``overlap_pairs`` - D1 as a conflict report: pairs inside each island.
 """
 
 from __future__ import annotations
@@ -51,26 +50,15 @@ def resolve_by_islands(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFr
     return resolve_segment_spans(isl, keys + ("island",)).drop("island")
 
 
-def overlap_pairs(spans: DataFrame, bucket: int = 64, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def overlap_pairs(spans: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Pairs of spans in one segment with a.start < b.end and b.start < a.end.
 
-    Each span is replicated into the buckets [start/bucket, (end-1)/bucket] it
-    covers; two overlapping spans share the bucket of max(a.start, b.start),
-    and the pair is emitted there only, so it appears once.
+    Pairs can only arise inside an island, and islands are short however long the segment is: the spans of an island are
+    gathered once, in order, and each is paired with the later ones that it overlaps.
     """
-    sp = spans.withColumn("_id", F.struct(*[F.col(c) for c in ("start", "end", "prio", "entity_type")]))
-    rep = sp.withColumn(
-        "_b", F.explode(F.sequence((F.col("start") / bucket).cast("int"),
-                                   (F.greatest(F.col("end") - 1, F.col("start")) / bucket).cast("int"))))
-    a = rep.select(*[F.col(k) for k in keys], "_b", *[F.col(c).alias(f"a_{c}") for c in SPAN_COLUMNS], F.col("_id").alias("a_id"))
-    b = rep.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("_b").alias("b_b"),
-                   *[F.col(c).alias(f"b_{c}") for c in SPAN_COLUMNS], F.col("_id").alias("b_id"))
-    cond = [F.col(k) == F.col(f"b_{k}") for k in keys] + [F.col("_b") == F.col("b_b")]
-    j = a.join(b, cond)
-    j = j.where(
-        (F.col("a_id") < F.col("b_id"))
-        & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
-        & (F.col("_b") == (F.greatest("a_start", "b_start") / bucket).cast("int"))
-    )
-    return j.select(*keys, *[f"a_{c}" for c in ("start", "end", "entity_type", "source")],
-                    *[f"b_{c}" for c in ("start", "end", "entity_type", "source")])
+    whole = F.struct("start", "end", "prio", "entity_type", "source")
+    grouped = overlap_islands(spans, keys).groupBy(*keys, "island").agg(F.array_sort(F.collect_list(whole)).alias("_s"))
+    later = ("flatten(transform(_s, (pa, pi) -> transform(filter(slice(_s, pi + 2, size(_s)), pb -> pa.start < pb.`end` AND "
+             "pb.start < pa.`end`), pb -> named_struct('a', pa, 'b', pb))))")
+    pairs = grouped.where(F.size("_s") > 1).select(*keys, F.explode_outer(F.expr(later)).alias("p")).where(F.col("p").isNotNull())
+    return pairs.select(*keys, *[F.col(f"p.{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("start", "end", "entity_type", "source")])

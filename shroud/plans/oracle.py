@@ -14,12 +14,13 @@ arithmetic is IEEE on both sides.
 from __future__ import annotations
 
 from shroud.functions import patterns as P
-from shroud.operators.detect import GAZETTEER_PRIO_BASE, SCORED_PRIO_BASE
-from shroud.sources.corpus import MONTHS
+from shroud.operators.detect import DICTIONARY_TERMS, GAZETTEER_PRIO_BASE, SCORED_PRIO_BASE, SECRET_PATTERN
+from shroud.sources.corpus import ARABIC_INDIC, JCB_DIGITS, MONTHS, PAGES_FROM, TURNS_FROM
 
-WS = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
-NONBLANK = r"[^\t\n\x{0B}\f\r\x{85}\p{Z}]"
+WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
+NONBLANK = r"[^\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 TOKEN = r"[\p{L}\p{N}\p{M}_#]+"
+TOKEN_CHUNK = r"[^\p{L}\p{N}\p{M}_#]*[\p{L}\p{N}\p{M}_#]+"
 SPAN_COLS = 'doc_id, segment_index, "start", "end", entity_type, text, score, source, prio'
 
 
@@ -62,7 +63,7 @@ def luhn_check_digit(p: str) -> str:
 
 
 def digits_only(x: str) -> str:
-    return f"regexp_replace({x}, '[^\\p{{Nd}}]', '', 'g')"
+    return f"translate(regexp_replace({x}, '[^\\p{{Nd}}]', '', 'g'), '{ARABIC_INDIC}', '0123456789')"
 
 
 # --- corpus and segments ----------------------------------------------------------
@@ -98,18 +99,19 @@ planted_vals AS (
     concat(payload, CAST(CASE WHEN o % 5 <> 0 THEN {luhn_check_digit('payload')}
                               ELSE ({luhn_check_digit('payload')} + 1) % 10 END AS VARCHAR)) AS card,
     o % 5 <> 0 AS card_ok,
+    o % 7 = 0 AS jcb,
     concat('10.', k % 256, '.', o % 256, '.', (k + o) % 256) AS ip
   FROM planted_parts
 ),
 planted AS (
   SELECT -1 - o AS doc_id,
     concat_ws(chr(10),
-      concat('Order placed by ', c_name, ' of ', n_name, ' in ', r_name, ', via ', s_name, ' for the Company.'),
+      concat('Order placed by ', c_name, ' of ', n_name, ' in ', r_name, ', via ', s_name, ' for the Company, per QX and the Board.'),
       concat('Contact ', email, ' or ', phone, ' today, not 555.1234567.'),
       concat('SSN ', ssn, ' on file.'),
       '',
       concat(dob, dob_tail),
-      concat('Card ', card, ' charged.'),
+      concat('Card ', card, ' charged.', CASE WHEN jcb THEN ' Also {JCB_DIGITS}.' ELSE '' END),
       concat('Login from ', ip, ' ok, not 10.300.1.1, repeat ', c_name, ' and ', c_name, '.')) AS text,
     [c_name, n_name, c_mktsegment, o_orderpriority] AS cells
   FROM planted_vals
@@ -128,6 +130,7 @@ def planted_truth_cte() -> str:
         (2, "4", "SSN", "ssn", "ssn_ok"),
         (3, "0", "DATE_OF_BIRTH", "dob", "true"),
         (4, "5", "CREDIT_CARD", "card", "card_ok"),
+        (4, f"5 + {L}(card) + 15", "CREDIT_CARD", lit(JCB_DIGITS), "jcb"),
         (5, "11", "IP_ADDRESS", "ip", "true"),
         (5, f"11 + {L}(ip) + 28", "PERSON", "c_name", "true"),
         (5, f"11 + {L}(ip) + 28 + {L}(c_name) + 5", "PERSON", "c_name", "true"),
@@ -146,9 +149,9 @@ def corpus_cte(sources=("documents", "planted")) -> str:
     if "planted" in sources:
         parts.append("SELECT doc_id, text, cells FROM planted")
     if "pages" in sources:
-        parts.append("SELECT page_id AS doc_id, html AS text, CAST(NULL AS VARCHAR[]) AS cells FROM pages")
+        parts.append(f"SELECT page_id + {PAGES_FROM} AS doc_id, html AS text, CAST(NULL AS VARCHAR[]) AS cells FROM pages")
     if "conversations" in sources:
-        parts.append("SELECT conv_id * 100000 + turn AS doc_id, text, CAST(NULL AS VARCHAR[]) AS cells FROM conversations")
+        parts.append(f"SELECT conv_id * 1000000 + turn + {TURNS_FROM} AS doc_id, text, CAST(NULL AS VARCHAR[]) AS cells FROM conversations")
     return "corpus AS (\n  " + "\n  UNION ALL ".join(parts) + "\n)"
 
 
@@ -186,6 +189,13 @@ def located(name: str, pattern: str, extra_cols: str, src: str = "segments") ->
     """CTE ``name``: one row per match with 0-based start/end, from relation ``src``
     (doc_id, segment_index, text)."""
     p = lit(pattern)
+    if src == "ascii_digits":  # RE2's classes are ASCII: match where digits of the planted script are 0-9, then cut from the text
+        inner = located(f"{name}_a", pattern, extra_cols, f"(SELECT doc_id, segment_index, translate(text, '{ARABIC_INDIC}', '0123456789') AS text FROM segments)")
+        return f"""{inner},
+{name} AS (
+  SELECT a.* REPLACE (substring(s.text, a."start" + 1, a."end" - a."start") AS text, s.text AS seg_text)
+  FROM {name}_a a JOIN segments s ON a.doc_id = s.doc_id AND a.segment_index = s.segment_index
+)"""
     return f"""
 {name}_m AS (SELECT doc_id, segment_index, text, regexp_extract_all(text, {p}) AS m FROM {src}),
 {name}_u AS (
@@ -220,7 +230,8 @@ def regex_ctes(types=None) -> tuple[str, str]:
         if types is not None and etype not in types:
             continue
         name = f"rx{i}"
-        ctes.append(located(name, re2_regex(etype, pat, ic), f"'{etype}' AS entity_type, {i} AS prio"))
+        src = "ascii_digits" if etype == "CREDIT_CARD" else "segments"
+        ctes.append(located(name, re2_regex(etype, pat, ic), f"'{etype}' AS entity_type, {i} AS prio", src))
         cond = "true"
         if etype == "SSN":
             cond = f"NOT {SSN_BAD}"
@@ -269,31 +280,42 @@ def scored_ctes(threshold=P.CONFIDENCE_THRESHOLD) -> str:
 
 
 def gazetteer_ctes() -> str:
+    """One token list per segment; only tokens that begin an entry grow to n-grams."""
     ner = _values([(lab, et, GAZETTEER_PRIO_BASE + i) for i, (lab, et) in enumerate(P.NER_LABEL_MAP)],
                   ["label", "etype", "prio"], "l")
+    terms = " UNION ".join(f"SELECT {lit(e)}, {lit(lab)}" for e, lab in DICTIONARY_TERMS)
+    chunk = TOKEN_CHUNK
     return f"""
 dict_raw AS (
   SELECT c_name AS entry, 'PERSON' AS label FROM customer
   UNION SELECT s_name, 'ORG' FROM supplier
   UNION SELECT n_name, 'GPE' FROM nation
   UNION SELECT r_name, 'LOC' FROM region
+  UNION {terms}
 ),
 dict AS (
-  SELECT d.entry, l.etype AS entity_type, l.prio, len(regexp_extract_all(d.entry, {lit(TOKEN)})) AS n_tokens
-  FROM dict_raw d JOIN {ner} ON d.label = l.label
-  WHERE d.entry IS NOT NULL AND len(regexp_extract_all(d.entry, {lit(TOKEN)})) > 0
+  SELECT d.entry, l.etype AS entity_type, l.prio, regexp_extract_all(d.entry, {lit(TOKEN)}) AS tk
+  FROM dict_raw d JOIN {ner} ON d.label = l.label WHERE d.entry IS NOT NULL
+),
+entries AS (SELECT *, tk[1] AS first_token FROM dict WHERE len(tk) > 0),
+tok_lists AS (SELECT doc_id, segment_index, regexp_extract_all(text, {lit(TOKEN)}) AS tk, regexp_extract_all(text, {lit(chunk)}) AS ck FROM segments),
+tok_rows AS (
+  SELECT doc_id, segment_index, tk, ck, unnest(tk) AS token, generate_subscripts(tk, 1) AS k FROM tok_lists WHERE len(tk) > 0
 ),
-ns AS (SELECT unnest(range(1, (SELECT max(n_tokens) FROM dict) + 1)) AS n),
-{located('toks', TOKEN, "1 AS one").lstrip()},
 grams AS (
-  SELECT a.doc_id, a.segment_index, a."start", b."end", substring(a.seg_text, a."start" + 1, b."end" - a."start") AS gram
-  FROM toks a CROSS JOIN ns
-  JOIN toks b ON b.doc_id = a.doc_id AND b.segment_index = a.segment_index AND b.k = a.k + ns.n - 1
+  SELECT doc_id, segment_index, unnest(range(1, (SELECT max(len(tk)) FROM entries) + 1)) AS n, k, token, tk, ck
+  FROM tok_rows WHERE token IN (SELECT first_token FROM entries)
+),
+gram_texts AS (
+  SELECT doc_id, segment_index, array_to_string(ck[1:k], '') AS upto, token,
+         token || array_to_string(ck[k + 1:k + n - 1], '') AS gram
+  FROM grams WHERE k + n - 1 <= len(tk)
 ),
 gazetteer_spans AS (
-  SELECT g.doc_id, g.segment_index, g."start", g."end", d.entity_type, g.gram AS text,
+  SELECT g.doc_id, g.segment_index, CAST(length(g.upto) - length(g.token) AS BIGINT) AS "start",
+         CAST(length(g.upto) - length(g.token) + length(g.gram) AS BIGINT) AS "end", d.entity_type, g.gram AS text,
          {dbl(P.GAZETTEER_SCORE)} AS score, 'gazetteer' AS source, d.prio
-  FROM grams g JOIN dict d ON g.gram = d.entry
+  FROM gram_texts g JOIN entries d ON g.gram = d.entry
 )"""
 
 
@@ -414,13 +436,14 @@ PAIRS_CTE = f"""pairs AS (
 PAIRS_DOC_CTE = PAIRS_CTE.replace("pairs AS", "pairs_doc AS").replace(
     surrogate('f.entity_type', 'original'), surrogate('f.entity_type', 'original', salt_sql('document')))
 
-REDACT_SPANS_CTE = f"""red_spans AS (
-  SELECT doc_id, segment_index,
-         list_sort(list({{'b': "start", 'e': "end", 'sur': {surrogate('entity_type', 'text')}}})) AS sp
-  FROM preds GROUP BY doc_id, segment_index
+REDACT_SPANS_CTE = f"""{PAIRS_CTE},
+red_spans AS (
+  SELECT p.doc_id, p.segment_index,
+         list_sort(list({{'b': p."start", 'e': p."end", 'sur': o.surrogate}})) AS sp
+  FROM preds p JOIN pairs o ON p.doc_id = o.doc_id AND p.text = o.original GROUP BY p.doc_id, p.segment_index
 ),
 red_fold AS (
-  SELECT s.doc_id, s.segment_index, s.paragraph_index, s.text,
+  SELECT s.doc_id, s.segment_index, s.paragraph_index, s.cell_index, s.text,
          CASE WHEN r.sp IS NULL THEN s.text ELSE
            (SELECT f.out || substring(s.text, f.pos + 1)
             FROM (SELECT list_reduce(r.sp, lambda acc, x: {{'pos': x.e, 'out': acc.out || substring(s.text, acc.pos + 1, x.b - acc.pos) || x.sur}},
@@ -443,8 +466,10 @@ red_literal AS (
   FROM segments s LEFT JOIN pair_lists p ON s.doc_id = p.doc_id
 )"""
 
+PLACE = """concat_ws(' ', doc_id, segment_index, "start", "end")"""
+
 EVAL_CTES = f"""gt AS (SELECT entity_type, {normalize('text')} AS norm FROM planted_truth),
-pr AS (SELECT entity_type, {normalize('text')} AS norm FROM preds WHERE doc_id < 0),
+pr AS (SELECT entity_type, {normalize('text')} AS norm FROM preds),
 gk AS (SELECT DISTINCT entity_type, norm FROM gt),
 pk AS (SELECT DISTINCT entity_type, norm FROM pr),
 types AS (SELECT entity_type FROM gt UNION SELECT entity_type FROM pr),
@@ -493,22 +518,30 @@ def _surrogate_of(etype: str) -> str:
 
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["src_documents"] = with_(planted_ctes(), corpus_cte(("documents", "planted", "pages", "conversations"))) + """
+    q["src_documents"] = with_(planted_ctes(), corpus_cte(("documents", "planted", "pages", "conversations"))) + f"""
 SELECT 'documents' AS source, doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents
 UNION ALL SELECT 'planted', doc_id, length(text), len(string_split(text, chr(10))) FROM planted
-UNION ALL SELECT 'pages', page_id, length(html), len(string_split(html, chr(10))) FROM pages
-UNION ALL SELECT 'conversations', conv_id * 100000 + turn, length(text), len(string_split(text, chr(10))) FROM conversations"""
+UNION ALL SELECT 'pages', page_id + {PAGES_FROM}, length(html), len(string_split(html, chr(10))) FROM pages
+UNION ALL SELECT 'conversations', conv_id * 1000000 + turn + {TURNS_FROM}, length(text), len(string_split(text, chr(10))) FROM conversations"""
     q["segments_body"] = with_(base_ctes(which="body")) + "\nSELECT doc_id, segment_index, paragraph_index, text FROM segments"
-    q["segments_cells"] = with_(base_ctes(which="cells")) + \
-        "\nSELECT doc_id, segment_index, table_index, row_index, cell_index, text FROM segments"
+    cells = "SELECT doc_id, segment_index, table_index, row_index, cell_index, text FROM segments"
+    for k, (name, key, columns) in enumerate([("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("supplier", "s_suppkey", ["s_name"]),
+                                              ("orders", "o_orderkey", ["o_orderstatus", "o_orderpriority"])], 1):
+        for j, c in enumerate(columns):
+            cells += (f"\nUNION ALL SELECT {key}, {j}, {k}, {key}, {j}, CAST({c} AS VARCHAR) FROM {name} "
+                      f"WHERE regexp_matches(CAST({c} AS VARCHAR), '{NONBLANK}')")
+    q["segments_cells"] = with_(base_ctes(which="cells")) + "\n" + cells
     q["segments_all"] = with_(base_ctes()) + \
         "\nSELECT doc_id, segment_index, paragraph_index, table_index, row_index, cell_index, is_table_cell, text FROM segments"
     q["predictions"] = full('SELECT doc_id, segment_index, "start", "end", entity_type, text, score, source FROM preds')
-    q["redacted_documents"] = with_(base_ctes(which="body"), pipeline_ctes(), REDACT_SPANS_CTE) + """
-SELECT l.doc_id, string_agg(coalesce(r.redacted, l.line), chr(10) ORDER BY l.idx) AS text
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM corpus) l
-LEFT JOIN red_fold r ON l.doc_id = r.doc_id AND l.idx = r.paragraph_index
-GROUP BY l.doc_id"""
+    q["redacted_documents"] = with_(base_ctes(), pipeline_ctes(), REDACT_SPANS_CTE) + """
+SELECT t.doc_id, t.text, c.cells
+FROM (SELECT l.doc_id, string_agg(coalesce(r.redacted, l.line), chr(10) ORDER BY l.idx) AS text
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM corpus) l
+      LEFT JOIN red_fold r ON l.doc_id = r.doc_id AND l.idx = r.paragraph_index GROUP BY l.doc_id) t
+LEFT JOIN (SELECT l.doc_id, string_agg(coalesce(r.redacted, l.cell), chr(9) ORDER BY l.idx) AS cells
+      FROM (SELECT doc_id, unnest(cells) AS cell, generate_subscripts(cells, 1) - 1 AS idx FROM corpus WHERE cells IS NOT NULL) l
+      LEFT JOIN red_fold r ON l.doc_id = r.doc_id AND l.idx = r.cell_index GROUP BY l.doc_id) c ON t.doc_id = c.doc_id"""
     q["normalize_values"] = full(f'SELECT doc_id, segment_index, "start", entity_type, {strip("text")} AS stripped, '
                                  f'{normalize("text")} AS norm FROM candidates')
     q["label_map"] = with_(base_ctes(), scored_ctes()) + """
@@ -520,7 +553,7 @@ FROM scored_raw s JOIN """ + label_values() + " ON s.entity_type = lm.label"
     q["short_name_filter"] = _filter_report(short_name("entity_type", "text"))
     q["numeric_dob_filter"] = _filter_report(numeric_dob("entity_type", "source", "text"))
     etype, pat, ic = P.REGEX_PATTERNS[3]
-    q["luhn_valid_cards"] = with_(base_ctes(), located("cards", P.re2_pattern(pat, ic), "1 AS one")) + \
+    q["luhn_valid_cards"] = with_(base_ctes(), located("cards", P.re2_pattern(pat, ic), "1 AS one", "ascii_digits")) + \
         f'\nSELECT doc_id, segment_index, "start", text, {luhn_ok(digits_only("text"))} AS luhn_ok FROM cards'
     q["span_text_check"] = full("""SELECT r.entity_type, count(*) AS n_spans,
   CAST(sum(CASE WHEN substring(s.text, r."start" + 1, r."end" - r."start") = r.text THEN 1 ELSE 0 END) AS BIGINT) AS n_ok
@@ -538,15 +571,17 @@ FROM resolved r JOIN segments s ON r.doc_id = s.doc_id AND r.segment_index = s.s
                             f"CAST(prio AS BIGINT) AS prio FROM candidates")
     q["hybrid_spans"] = full(f"SELECT {SPAN_COLS} FROM resolved")
     q["detect_distinct"] = q["regex_spans"]
-    q["plugin_spans"] = with_(base_ctes(), rc) + \
-        '\nSELECT doc_id, segment_index, "start", "end", entity_type, text FROM regex_spans'
+    q["plugin_spans"] = with_(base_ctes(), located("secrets", SECRET_PATTERN, "'SECRET' AS entity_type")) + """
+SELECT doc_id, segment_index, "start", "end", entity_type, text FROM secrets
+WHERE regexp_matches(text, '[a-z]') AND regexp_matches(text, '[A-Z]') AND regexp_matches(text, '[0-9]')"""
+    q["web_spans"] = full(f"SELECT {SPAN_COLS} FROM resolved", sources=("pages", "conversations"))
     q["overlap_pairs"] = full("""SELECT a.doc_id, a.segment_index, a."start" AS a_start, a."end" AS a_end,
   a.entity_type AS a_entity_type, a.source AS a_source, b."start" AS b_start, b."end" AS b_end,
   b.entity_type AS b_entity_type, b.source AS b_source
 FROM filtered a JOIN filtered b ON a.doc_id = b.doc_id AND a.segment_index = b.segment_index
   AND a."start" < b."end" AND b."start" < a."end"
   AND {'s': a."start", 'e': a."end", 'p': a.prio, 't': a.entity_type} < {'s': b."start", 'e': b."end", 'p': b.prio, 't': b.entity_type}""")
-    q["resolve_overlaps"] = full(f"SELECT {SPAN_COLS} FROM resolved", layers=("regex", "scored"))
+    q["resolve_overlaps"] = full(f"SELECT {SPAN_COLS} FROM resolved")
     q["overlap_islands"] = full("""SELECT doc_id, segment_index, "start", "end", entity_type, CAST(prio AS BIGINT) AS prio,
   CAST(sum(CASE WHEN pe IS NULL OR "start" >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment_index
        ORDER BY "start", "start" - "end", -score, prio ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS island
@@ -567,7 +602,8 @@ SELECT s.doc_id, s.segment_index, p.original FROM segments s JOIN pairs p ON s.d
         f"\nSELECT label, original, {surrogate('label', 'original')} AS surrogate FROM (SELECT DISTINCT entity_type AS label, text AS original FROM scored_raw)"
     q["replacement_pairs"] = with_(base_ctes(), pipeline_ctes(), PAIRS_CTE) + \
         "\nSELECT doc_id, original, entity_type, first_segment, first_start, surrogate FROM pairs"
-    q["cache_size"] = full(f"SELECT doc_id, count(DISTINCT (entity_type, {normalize('text')})) AS cache_size FROM preds GROUP BY doc_id")
+    q["cache_size"] = with_(base_ctes(), pipeline_ctes(), PAIRS_CTE) + \
+        f"\nSELECT doc_id, count(DISTINCT (entity_type, {normalize('original')})) AS cache_size FROM pairs GROUP BY doc_id"
     q["surrogates_doc_scope"] = with_(base_ctes(), pipeline_ctes(), PAIRS_DOC_CTE) + \
         "\nSELECT doc_id, original, entity_type, first_segment, first_start, surrogate FROM pairs_doc"
     q["replace_first"] = with_(base_ctes(), pipeline_ctes(), PAIRS_CTE) + f"""
@@ -578,9 +614,7 @@ FROM segments s JOIN pairs p ON s.doc_id = p.doc_id WHERE instr(s.text, p.origin
     q["redact_spans"] = with_(base_ctes(), pipeline_ctes(), REDACT_SPANS_CTE) + \
         "\nSELECT doc_id, segment_index, redacted FROM red_fold"
     q["leak_audit"] = with_(base_ctes(), pipeline_ctes(), PAIRS_CTE, REDACT_LITERAL_CTE) + """
-SELECT p.doc_id, p.segment_index, p.original
-FROM (SELECT DISTINCT doc_id, segment_index, text AS original FROM preds) p
-JOIN red_literal r ON p.doc_id = r.doc_id AND p.segment_index = r.segment_index
+SELECT r.doc_id, r.segment_index, p.original FROM red_literal r JOIN pairs p ON p.doc_id = r.doc_id
 WHERE instr(r.redacted, p.original) > 0"""
     q["entity_counts"] = full("SELECT entity_type, count(*) AS n FROM preds GROUP BY entity_type")
     q["entity_summary"] = full("""SELECT entity_type, count(*) AS n FROM preds GROUP BY entity_type
@@ -593,12 +627,16 @@ UNION ALL SELECT 'TOTAL', count(*) FROM preds""")
     q["eval_fp"] = ev + "\nSELECT entity_type, fp FROM counts"
     q["eval_fn"] = ev + "\nSELECT entity_type, fn FROM counts"
     q["eval_metrics"] = ev + "\nSELECT entity_type, tp, fp, fn, precision, recall, f1, accuracy FROM metrics"
+    by_place = EVAL_CTES.replace(f"{normalize('text')} AS norm FROM planted_truth", PLACE + " AS norm FROM planted_truth").replace(
+        f"{normalize('text')} AS norm FROM preds", PLACE + " AS norm FROM preds WHERE doc_id < 0")
+    q["eval_annotated"] = with_(base_ctes(), pipeline_ctes(), planted_truth_cte(), by_place) + \
+        "\nSELECT entity_type, tp, fp, fn, precision, recall, f1, accuracy FROM metrics"
     q["eval_report"] = ev + """
 SELECT entity_type, precision, recall, f1, accuracy, tp, fp, fn,
        CASE WHEN entity_type = 'AGGREGATE' THEN 1 ELSE 0 END AS is_aggregate
 FROM metrics ORDER BY is_aggregate, entity_type"""
     q["json_roundtrip"] = q["predictions"]
-    q["stream_redact"] = with_(base_ctes(("documents",), which="body"), pipeline_ctes(("regex", "scored")),
+    q["stream_redact"] = with_(base_ctes(("documents",)), pipeline_ctes(),
                                REDACT_SPANS_CTE) + "\nSELECT doc_id, segment_index, redacted FROM red_fold"
     ev_text = ("concat('user u', CAST(user_id AS VARCHAR), '@mail.example.com from 10.0.', "
                "CAST(user_id % 256 AS VARCHAR), '.', CAST(event_id % 256 AS VARCHAR))")

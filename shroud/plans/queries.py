@@ -1,7 +1,9 @@
 """The registered queries: one DataFrame plan per operator of the inventory.
 
-Each function takes (spark, sf_dir) and returns a lazy DataFrame whose column
-names equal those of the matching DuckDB oracle in ``shroud.plans.oracle``.
+Each function takes (spark, sf_dir) and returns a DataFrame whose column names
+equal those of the matching DuckDB oracle in ``shroud.plans.oracle``.  Queries
+whose plan reads the predictions more than once store them first, and the
+streams run to their end; all others start no job before their result is asked for.
 The corpus is ``documents`` plus the planted corpus derived from ``orders``,
 ``customer``, ``nation``, ``region`` and ``supplier``; all work grows with them.
 """
@@ -12,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
-from shroud.functions.spans import resolve_overlaps_sql
 from shroud.functions.surrogate import consistency_key, surrogate
-from shroud.functions.text import digits_only_sql, locate_matches_sql, luhn_ok_sql, normalize, regex_matches_sql, strip
+from shroud.functions.text import digits_only_sql, guard_sql, locate_matches_sql, luhn_ok_sql, normalize, regex_matches_sql, strip
 from shroud.operators import detect as D
 from shroud.operators import evaluate as E
 from shroud.operators import hybrid as H
 from shroud.operators import redact as R
 from shroud.operators import resolve as V
+from shroud.session import fresh_path, stored
 from shroud.sources import corpus as C
 from shroud.sources import segments as S
 
@@ -52,18 +54,6 @@ def preds(spark, sf):
     return H.predictions(resolved(spark, sf))
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """For an intermediate read by several branches of one plan (predictions are
-    small next to the text): write it once as a table in the session's shared
-    checkpoint folder and read it back, so the detector runs once instead of
-    once per branch and the lineage is cut (a lost executor does not re-run it)."""
-    from shroud.streaming.stream import scratch
-
-    path = scratch(df.sparkSession, "shared")
-    df.write.mode("overwrite").parquet(path)  # one job; a plain checkpoint() computes the plan twice
-    return df.sparkSession.read.parquet(path)
-
-
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("long"))
@@ -94,10 +84,19 @@ def q_segments_body(spark, sf):
                  "segment_index", "paragraph_index")
 
 
+CELL_COLUMNS = [("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("supplier", "s_suppkey", ["s_name"]),
+                ("orders", "o_orderkey", ["o_orderstatus", "o_orderpriority"])]
+
+
 def q_segments_cells(spark, sf):
-    return _long(S.segment_cells(docs(spark, sf)).select(
-        "doc_id", "segment_index", "table_index", "row_index", "cell_index", "text"),
-        "segment_index", "table_index", "row_index", "cell_index")
+    """A3: the cells of the planted documents' row (table 0), and every cell of three relational tables."""
+    out = _long(S.segment_cells(docs(spark, sf)), "segment_index", "table_index", "row_index", "cell_index")
+    keys = ["doc_id", "segment_index", "table_index", "row_index", "cell_index", "text"]
+    out = out.select(*keys)
+    for k, (name, key, columns) in enumerate(CELL_COLUMNS, 1):
+        cells = S.table_cells(C.read_table(spark, sf, name), key, columns, k)
+        out = out.unionByName(_long(cells.select(*keys), "segment_index", "table_index", "row_index", "cell_index"))
+    return out
 
 
 def q_segments_all(spark, sf):
@@ -109,10 +108,12 @@ def q_predictions(spark, sf):
 
 
 def q_redacted_documents(spark, sf):
+    """Body and cells rewritten and put back; cells as one tab-separated string."""
     d = docs(spark, sf)
-    seg = S.segment_body(d)
-    red = redacted_segments(spark, sf, seg).join(seg.select("doc_id", "segment_index", "paragraph_index"), R.SEG_KEYS)
-    return R.rebuild_documents(d, red)
+    seg = S.segment_all(d)
+    found = stored(H.predictions(H.hybrid_spans(seg, dictionary(spark, sf))))
+    rebuilt = R.rebuild_documents(d, R.redact_spans(seg, found, keep=("paragraph_index", "cell_index")))
+    return rebuilt.select("doc_id", "text", F.array_join("cells", "\t").alias("cells"))
 
 
 # --- B: scalar functions and filters ------------------------------------------
@@ -158,7 +159,8 @@ def q_luhn_valid_cards(spark, sf):
     seg = segments(spark, sf)
     etype, pat, ic = P.REGEX_PATTERNS[3]
     jp = P.java_pattern(pat, ic)
-    m = seg.select("doc_id", "segment_index", "text", F.expr(regex_matches_sql("text", jp)).alias("_m"))
+    guard = guard_sql("text", P.REGEX_GUARDS[etype])
+    m = seg.select("doc_id", "segment_index", "text", F.expr(regex_matches_sql("text", jp, guard)).alias("_m"))
     loc = m.select("doc_id", "segment_index", F.explode_outer(F.expr(locate_matches_sql("text", "_m", jp))).alias("c"))
     loc = loc.where(F.col("c").isNotNull())
     return _long(loc.select("doc_id", "segment_index", F.col("c.start").alias("start"), F.col("c.text").alias("text"),
@@ -216,15 +218,21 @@ def q_hybrid_spans(spark, sf):
 
 
 def q_detect_distinct(spark, sf):
-    spans = H.detect_distinct(segments(spark, sf), lambda u: D.detect_regex(u))
+    spans = H.detect_distinct(segments(spark, sf), D.detect_regex)
     return _spans_out(D.explode_spans(spans), REGEX_OUT)
 
 
 def q_plugin_spans(spark, sf):
-    out = D.detect_plugin(segments(spark, sf), D.python_regex_factory)
+    out = D.detect_plugin(segments(spark, sf), D.secret_factory)
     return _spans_out(out, ["doc_id", "segment_index", "start", "end", "entity_type", "text"])
 
 
+def q_web_spans(spark, sf):
+    """C11 over the other text sources: pages (markup and all, one segment a line) and conversations."""
+    seg = S.segment_all(C.corpus(spark, sf, ("pages", "conversations")))
+    return _spans_out(H.hybrid_spans(seg, dictionary(spark, sf)))
+
+
 # --- D: overlap logic, joins --------------------------------------------------
 
 def q_overlap_pairs(spark, sf):
@@ -232,15 +240,9 @@ def q_overlap_pairs(spark, sf):
     return _long(pairs, "segment_index", "a_start", "a_end", "b_start", "b_end")
 
 
-def _row_local_resolved(spark, sf):
-    """Regex + scored layers resolved inside each segment row: no shuffle at all."""
-    df = H.row_local_spans(segments(spark, sf))
-    kept = f"filter(spans, kp -> {H.keep_sql('kp.entity_type', 'kp.source', 'kp.text')})"
-    return df.withColumn("spans", F.expr(resolve_overlaps_sql(kept)))
-
-
 def q_resolve_overlaps(spark, sf):
-    return _spans_out(D.explode_spans(_row_local_resolved(spark, sf)))
+    """D2 through islands: the same spans as the fold over whole segments."""
+    return _spans_out(V.resolve_by_islands(H.filter_spans(candidates(spark, sf))))
 
 
 def q_overlap_islands(spark, sf):
@@ -306,7 +308,7 @@ def q_replacement_pairs(spark, sf):
 
 
 def q_cache_size(spark, sf):
-    return R.cache_size(preds(spark, sf))
+    return R.cache_size(R.replacement_pairs(preds(spark, sf)))
 
 
 def q_surrogates_doc_scope(spark, sf):
@@ -327,23 +329,14 @@ def q_redact_literal(spark, sf):
                  "segment_index")
 
 
-def redacted_segments(spark, sf, seg=None):
-    """In-row when every layer fits in the row (no shuffle), else the span join."""
-    seg = seg if seg is not None else segments(spark, sf)
-    rows = H.resolved_rows(seg, dictionary(spark, sf))
-    if rows is not None:
-        return R.redact_in_row(rows)
-    return R.redact_spans(seg, H.predictions(H.hybrid_spans(seg, dictionary(spark, sf))))
-
-
 def q_redact_spans(spark, sf):
-    return _long(redacted_segments(spark, sf).select("doc_id", "segment_index", "redacted"), "segment_index")
+    return _long(R.redact_spans(segments(spark, sf), stored(preds(spark, sf))).select("doc_id", "segment_index", "redacted"),
+                 "segment_index")
 
 
 def q_leak_audit(spark, sf):
-    p = shared(preds(spark, sf))
-    red = R.redact_literal(segments(spark, sf), R.replacement_pairs(p))
-    return _long(R.leak_audit(red, p), "segment_index")
+    pairs = stored(R.replacement_pairs(preds(spark, sf)))
+    return _long(R.leak_audit(R.redact_literal(segments(spark, sf), pairs), pairs), "segment_index")
 
 
 # --- F: aggregations and evaluation ---------------------------------------------
@@ -362,7 +355,7 @@ def q_entity_summary(spark, sf):
 def q_corpus_stats(spark, sf):
     d = docs(spark, sf)
     seg = segments(spark, sf)
-    p = shared(preds(spark, sf))
+    p = stored(preds(spark, sf))
     n_seg = seg.select(F.count(F.lit(1))).scalar()
     n_uniq = p.select(F.count_distinct("doc_id", "text")).scalar()
     return d.agg(F.count(F.lit(1)).alias("n_documents")).select(
@@ -370,13 +363,9 @@ def q_corpus_stats(spark, sf):
 
 
 def _gt_and_preds(spark, sf):
-    """Ground truth and predictions of the planted corpus (detection runs over
-    the planted documents only; every step is per row, so this equals
-    filtering the full corpus' predictions to doc_id < 0)."""
-    gt = C.planted_truth(spark, sf)
-    seg = S.segment_all(C.corpus(spark, sf, ("planted",)))
-    p = shared(H.predictions(H.hybrid_spans(seg, dictionary(spark, sf))))
-    return gt, p
+    """Ground truth of the planted documents, and every prediction of the corpus: what the detectors find in prose, which
+    nobody planted, counts as false."""
+    return C.planted_truth(spark, sf), stored(preds(spark, sf))
 
 
 def q_eval_types(spark, sf):
@@ -398,6 +387,12 @@ def q_eval_metrics(spark, sf):
     return E.eval_metrics(*_gt_and_preds(spark, sf))
 
 
+def q_eval_annotated(spark, sf):
+    """F6-F10 by place, and over the annotated documents only."""
+    gt, p = _gt_and_preds(spark, sf)
+    return E.eval_metrics(gt, p, match="offset", annotated=C.corpus(spark, sf, ("planted",)))
+
+
 def q_eval_report(spark, sf):
     return E.eval_report(E.eval_metrics(*_gt_and_preds(spark, sf)))
 
@@ -407,9 +402,8 @@ def q_eval_report(spark, sf):
 def q_json_roundtrip(spark, sf):
     """A6 then A5: predictions written as JSON to the shared folder and read back."""
     from shroud.sources.records import read_records, write_records
-    from shroud.streaming.stream import scratch
 
-    path = scratch(spark, "predictions-json")
+    path = fresh_path(spark, "predictions-json")
     write_records(q_predictions(spark, sf), path)
     return read_records(spark, path)
 
@@ -417,7 +411,7 @@ def q_json_roundtrip(spark, sf):
 def q_stream_redact(spark, sf):
     from shroud.streaming.stream import redact_stream
 
-    return redact_stream(spark, sf)
+    return redact_stream(spark, sf, dictionary(spark, sf))
 
 
 def q_stream_entity_counts(spark, sf):
@@ -454,6 +448,7 @@ QUERIES = {
     "hybrid_spans": q_hybrid_spans,
     "detect_distinct": q_detect_distinct,
     "plugin_spans": q_plugin_spans,
+    "web_spans": q_web_spans,
     "overlap_pairs": q_overlap_pairs,
     "resolve_overlaps": q_resolve_overlaps,
     "overlap_islands": q_overlap_islands,
@@ -486,6 +481,7 @@ QUERIES = {
     "eval_fp": q_eval_fp,
     "eval_fn": q_eval_fn,
     "eval_metrics": q_eval_metrics,
+    "eval_annotated": q_eval_annotated,
     "eval_report": q_eval_report,
     "json_roundtrip": q_json_roundtrip,
     "stream_redact": q_stream_redact,

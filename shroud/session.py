@@ -1,81 +1,68 @@
-"""SparkSession construction and small size-checked planning helpers."""
+"""SparkSession construction and the shared folder for intermediate tables.
+
+Library code sets no master, no memory and no number of shuffle partitions: those belong to the cluster, and to whoever
+starts the job (``bench.py`` and the tests set their own).
+"""
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Sides joined by broadcast must be proven small: a row count at or below this.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "shroud") -> SparkSession:
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or cpus
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # sides hash-partitioned on doc_id join on (doc_id, segment_index) without a re-shuffle
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SHROUD_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when none is set
-    (local tests) fall back to a fresh scratch folder."""
+
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+# Number of partitions that text is dealt to before the detectors run; unset: as the reader splits it.  The input decides
+# nothing by itself: whoever reads files of few, large row groups sets it.
+INPUT_PARTITIONS = "spark.shroud.inputPartitions"
+
+
+def build_session(app_name: str = "shroud", config: dict[str, str] | None = None) -> SparkSession:
+    builder = SparkSession.builder.appName(app_name)
+    for key, value in {**DEFAULTS, **(config or {})}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder under the cluster's shared ``spark.checkpoint.dir``.  Where that is unset, a session in
+    one process (as in tests) gets a temporary one; on a cluster there is no folder that all executors see, so this
+    fails instead of guessing one."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="shroud-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame, key: str, scans: list[DataFrame] | None = None) -> DataFrame:
-    """Hash-partition an under-partitioned input on ``key``.
-
-    Test files hold one parquet row group each, so a scan yields one task; a
-    large input already arrives in many splits and is left alone.  Hashing on
-    the document key keeps every later per-document / per-segment grouping
-    local to its partition.
-    """
-    spark = df.sparkSession
-    target = default_parallelism(spark)
-    # the split count of the driving scans (cheap: file listing only)
-    have = sum(s.rdd.getNumPartitions() for s in scans) if scans else df.rdd.getNumPartitions()
-    if have >= target:
-        return df
-    return df.repartition(target, key)
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when its row count is proven to be at most ``max_rows``."""
-    n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{sc.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: its work runs once however many branches of a
+    plan read it, the lineage is cut, and a lost executor loses nothing."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application stored.  Results that still read it must be written first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many partitions as ``spark.shroud.inputPartitions`` says; as it is where that is unset."""
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df

@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 
 from shroud.sources.tables import read_table
 from shroud.functions.text import luhn_check_digit_sql
-from shroud.session import sized_broadcast, spread
-
-GEO_MAX_ROWS = 100_000
+from shroud.session import dealt
 
 # --- fixed values: month abbreviations used by the planted dates ---------------
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 CELLS_TYPE = "array<string>"
-SCAN_OF = {"documents": "documents", "planted": "orders", "pages": "pages", "conversations": "conversations"}
+# Sources number their documents on their own; these offsets keep them apart in one corpus.
+PAGES_FROM, TURNS_FROM = 10**15, 2 * 10**15
+# Fixed value: zero to nine in Arabic-Indic digits, for a planted card number
+ARABIC_INDIC = "٠١٢٣٤٥٦٧٨٩"
+JCB_DIGITS = "35٣٠١١١٣٣٣٠٠٠٠٠٦"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,15 +41,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("doc_id"), F.col("html").alias("text"),
+        (F.col("page_id") + PAGES_FROM).alias("doc_id"), F.col("html").alias("text"),
         F.lit(None).cast(CELLS_TYPE).alias("cells"),
     )
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One document per conversation turn; doc_id = conv_id * 100000 + turn."""
+    """One document per conversation turn; doc_id = TURNS_FROM + conv_id * 1000000 + turn."""
     return read_table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "text",
+        (F.col("conv_id") * 1000000 + F.col("turn") + TURNS_FROM).alias("doc_id"), "text",
         F.lit(None).cast(CELLS_TYPE).alias("cells"),
     )
 
@@ -59,9 +61,7 @@ def _lp(c: Column, n: int) -> Column:
 def _planted_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders joined with their customer, nation, region and a supplier.
 
-    nation / region (25 / 5 rows) are broadcast after a row-count check; customer
-    and supplier grow with the data, so their join strategy is left to the
-    planner's size statistics (AQE converts to broadcast when small).
+    How each join runs is left to the planner's size statistics.
     """
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select(
@@ -70,12 +70,10 @@ def _planted_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     supplier = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     n_supp = supplier.select(F.count(F.lit(1))).scalar()
-    region_b, _ = sized_broadcast(region, GEO_MAX_ROWS)
-    geo = nation.join(region_b, nation.n_regionkey == region.r_regionkey)
-    geo_b, _ = sized_broadcast(geo, GEO_MAX_ROWS)
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(geo_b, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(supplier, F.col("s_suppkey") == F.col("o_orderkey") % n_supp)
         .select("o_orderkey", "o_custkey", "o_orderpriority", "c_name", "c_mktsegment",
                 "n_name", "r_name", "s_name")
@@ -110,6 +108,7 @@ def _planted_values(df: DataFrame) -> DataFrame:
         .otherwise(F.lit(" recorded.")),
         "card": F.concat(F.col("_payload"), F.when(card_ok, check).otherwise((check + 1) % 10).cast("string")),
         "card_ok": card_ok,
+        "jcb": o % 7 == 0,
         "ip": F.concat(F.lit("10."), (k % 256).cast("string"), F.lit("."), (o % 256).cast("string"), F.lit("."),
                        ((k + o) % 256).cast("string")),
     }
@@ -121,13 +120,14 @@ def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _planted_values(_planted_base(spark, sf_dir))
     lines = [
         F.concat(F.lit("Order placed by "), F.col("c_name"), F.lit(" of "), F.col("n_name"), F.lit(" in "),
-                 F.col("r_name"), F.lit(", via "), F.col("s_name"), F.lit(" for the Company.")),
+                 F.col("r_name"), F.lit(", via "), F.col("s_name"), F.lit(" for the Company, per QX and the Board.")),
         F.concat(F.lit("Contact "), F.col("email"), F.lit(" or "), F.col("phone"),
                  F.lit(" today, not 555.1234567.")),
         F.concat(F.lit("SSN "), F.col("ssn"), F.lit(" on file.")),
         F.lit(""),
         F.concat(F.col("dob"), F.col("dob_tail")),
-        F.concat(F.lit("Card "), F.col("card"), F.lit(" charged.")),
+        F.concat(F.lit("Card "), F.col("card"), F.lit(" charged."),
+                 F.when(F.col("jcb"), F.lit(f" Also {JCB_DIGITS}.")).otherwise(F.lit(""))),
         F.concat(F.lit("Login from "), F.col("ip"), F.lit(" ok, not 10.300.1.1, repeat "), F.col("c_name"),
                  F.lit(" and "), F.col("c_name"), F.lit(".")),
     ]
@@ -162,6 +162,7 @@ def planted_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         (2, F.lit(len("SSN ")), "SSN", F.col("ssn"), F.col("ssn_ok")),
         (3, F.lit(0), "DATE_OF_BIRTH", F.col("dob"), F.lit(True)),
         (4, F.lit(len("Card ")), "CREDIT_CARD", F.col("card"), F.col("card_ok")),
+        (4, F.lit(len("Card ")) + L("card") + len(" charged. Also "), "CREDIT_CARD", F.lit(JCB_DIGITS), F.col("jcb")),
         (5, F.lit(len("Login from ")), "IP_ADDRESS", F.col("ip"), F.lit(True)),
         (5, p5_name1, "PERSON", F.col("c_name"), F.lit(True)),
         (5, p5_name2, "PERSON", F.col("c_name"), F.lit(True)),
@@ -180,7 +181,7 @@ def planted_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = ("documents", "planted")) -> DataFrame:
-    """The text corpus the detectors run over, spread over the cluster by doc_id."""
+    """The text corpus the detectors run over."""
     makers = {
         "documents": documents,
         "planted": planted_documents,
@@ -191,4 +192,4 @@ def corpus(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] = ("docume
     for s in sources:
         df = makers[s](spark, sf_dir)
         out = df if out is None else out.unionByName(df)
-    return spread(out, "doc_id", scans=[read_table(spark, sf_dir, SCAN_OF[s]) for s in sources])
+    return dealt(out)

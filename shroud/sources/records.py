@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 # integers are read as text and cast, so "4" and 4 both load (a non-number raises)
 RECORD_SCHEMA = ("doc_id string, segment_index string, start string, end string, entity_type string, text string, "
                  "score double, source string")
-REQUIRED = ("start", "end", "entity_type")
-
-
-class MissingKeyError(ValueError):
-    pass
 
 
 def write_records(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -30,29 +25,26 @@ def write_records(df: DataFrame, path: str, partition_by: str | None = None) ->
     w.json(path)
 
 
-def read_records(spark: SparkSession, path: str, multi_line: bool = False, check: bool = True) -> DataFrame:
-    """A5: read records with defaults applied and integer / string casts."""
+def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A5: read records with defaults applied and integer / string casts, in one pass: a record that lacks a required
+    key, or whose number is none, fails the job that reads it."""
     raw = (spark.read.schema(RECORD_SCHEMA).option("mode", "FAILFAST")
            .option("multiLine", multi_line).json(path))
-    if check:
-        bad = raw.where(" OR ".join(f"`{k}` IS NULL" for k in REQUIRED)).limit(1).count()
-        if bad:
-            raise MissingKeyError(f"a record lacks one of {REQUIRED} in {path}")
+    needed = lambda k: F.coalesce(F.col(k), F.raise_error(F.lit(f"a record lacks {k} in {path}")).cast("string"))
     return raw.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("segment_index"), F.lit(0)).cast("long").alias("segment_index"),
-        F.col("start").cast("long").alias("start"),
-        F.col("end").cast("long").alias("end"),
-        F.col("entity_type").cast("string").alias("entity_type"),
+        needed("start").cast("long").alias("start"),
+        needed("end").cast("long").alias("end"),
+        needed("entity_type").alias("entity_type"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         "score", "source",
     )
 
 
 def write_report(spark: SparkSession, report: DataFrame, path: str) -> None:
-    """The metric rows as JSON plus a Markdown table (a handful of rows)."""
+    """The metric rows as JSON, and as text (a handful of rows)."""
     from shroud.operators.evaluate import format_report
 
     report.coalesce(1).write.mode("overwrite").json(path + "/rows")
-    text = format_report([r.asDict() for r in report.collect()])
-    spark.createDataFrame([(text,)], "report string").coalesce(1).write.mode("overwrite").text(path + "/markdown")
+    spark.createDataFrame([(format_report(report),)], "report string").coalesce(1).write.mode("overwrite").text(path + "/text")

@@ -1,62 +1,64 @@
 """H1 / H2: Structured Streaming versions of the job.
 
-* ``redact_stream`` - documents arrive as a file stream; segmentation,
-  regex + scored detection, in-row resolution and span redaction are all
-  row-local, so the stream is a stateless append query whose output equals the
-  batch result for the same rows.
-* ``entity_count_stream`` - hits per entity type per tumbling event-time window,
-  with a watermark bounding how late a row may arrive.
-
-Sinks and checkpoints live under the session's shared checkpoint folder, so a
-restarted query resumes from its last committed batch.
+* ``redact_stream`` - documents arrive as a file stream.  Each micro-batch goes through the batch job itself (all three
+  layers, body and cells, first-seen surrogates); documents are whole rows, so the batches' output together equals
+  that of one batch over the same rows.
+* ``entity_count_stream`` - hits per entity type per tumbling event-time window.  The watermark bounds how late a row
+  may arrive and lets go of closed windows; every batch writes the counts that it changed, and a reader takes
+  the last count of each window.
+
+A batch writes a folder of its own name, so a repeated batch overwrites itself.  Give ``checkpoint`` and ``out`` to let a
+restarted query resume after its last committed batch; without them a run is a fresh one in the shared folder.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from shroud.operators.detect import detect_regex, explode_spans
-from shroud.operators.hybrid import resolved_rows
-from shroud.operators.redact import redact_in_row
-from shroud.session import ensure_checkpoint_dir
+from shroud.operators.hybrid import hybrid_spans, predictions
+from shroud.operators.redact import redact_spans
+from shroud.session import fresh_path, stored
 from shroud.sources import segments as S
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _one(sf_dir: str, name: str) -> str:
+    """A pattern for one table, be it a file or a folder (a stream takes a single file only as a pattern)."""
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
 
 
-def redact_rows(segments: DataFrame) -> DataFrame:
-    """Row-local redaction: regex + scored spans, filters, in-row resolution,
-    surrogates by span type, splice.  Adds ``redacted``."""
-    rows = resolved_rows(segments, None, ("regex", "scored"))
-    return redact_in_row(rows)
+def by_batch(writer: DataStreamWriter, change: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
+    """Run a stream to its end, each micro-batch through ``change`` into a folder of its own under ``out``."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        change(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def _documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 1).parquet(sf_dir)
-        .select("doc_id", "text", F.lit(None).cast("array<string>").alias("cells"))
-    )
+    writer.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def redact_batch(docs: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """(doc_id, segment_index, redacted) of documents (doc_id, text, cells), by all layers.  The predictions are read
+    twice (pairs and spans), so they are stored."""
+    segments = S.segment_all(docs).select("doc_id", "segment_index", "text")
+    found = stored(predictions(hybrid_spans(segments, dictionary)), "predictions")
+    return redact_spans(segments, found).select("doc_id", F.col("segment_index").cast("long").alias("segment_index"), "redacted")
 
 
-def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1: run the stream to completion (availableNow) into parquet; return the output."""
-    out, ckpt = scratch(spark, "stream-redact-out"), scratch(spark, "stream-redact-ckpt")
-    segs = S.segment_body(_documents_stream(spark, sf_dir)).select("doc_id", "segment_index", "text")
-    q = (
-        redact_rows(segs).select("doc_id", F.col("segment_index").cast("long").alias("segment_index"), "redacted")
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-        .outputMode("append").trigger(availableNow=True).start()
+def redact_stream(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None = None,
+                  out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """H1: run the documents stream to completion (availableNow) into parquet; return the output."""
+    out = out or fresh_path(spark, "stream-redact")
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").schema
+    docs = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_one(sf_dir, "documents"))
+        .select("doc_id", "text", F.lit(None).cast("array<string>").alias("cells"))
     )
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    by_batch(docs.writeStream, lambda batch: redact_batch(batch, dictionary), out, checkpoint or fresh_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(out).drop("batch")
 
 
 def event_texts(df: DataFrame) -> DataFrame:
@@ -82,15 +84,18 @@ def entity_counts_by_window(events: DataFrame, window: str = "1 day", watermark:
     )
 
 
-def entity_count_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H2: windowed counts over the events stream, complete mode, run to completion."""
+def last_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The last count that any batch wrote for a window and type."""
+    last = Window.partitionBy("window_start", "entity_type").orderBy(F.col("batch").desc())
+    written = spark.read.parquet(out).withColumn("_k", F.row_number().over(last))
+    return written.where("_k = 1").select("window_start", "entity_type", "n")
+
+
+def entity_count_stream(spark: SparkSession, sf_dir: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """H2: windowed counts over the events stream, run to completion."""
+    out = out or fresh_path(spark, "stream-counts")
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = "entity_counts_" + uuid.uuid4().hex[:12]
-    q = (
-        entity_counts_by_window(ev).writeStream.format("memory").queryName(name)
-        .option("checkpointLocation", scratch(spark, "stream-counts-ckpt"))
-        .outputMode("complete").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.table(name)
+    events = spark.readStream.schema(schema).parquet(_one(sf_dir, "events"))
+    by_batch(entity_counts_by_window(events).writeStream.outputMode("update"), lambda batch: batch, out,
+             checkpoint or fresh_path(spark, "stream-checkpoint"))
+    return last_counts(spark, out)

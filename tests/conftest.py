@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,8 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from shroud.session import ensure_checkpoint_dir
-
     s = (
         SparkSession.builder.master("local[*]")
         .appName("shroud-tests")
@@ -22,7 +21,7 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
+    s.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shroud-tests-"))
     yield s
 
 

@@ -1,40 +1,36 @@
-"""Metrics: zeros, AGGREGATE, and parity with a plain-Python statement."""
-
-from shroud.operators.evaluate import eval_metrics
-
-SCHEMA = "entity_type string, text string"
-
-
-def py_metrics(gt, pred):
-    norm = lambda r: (r[0], r[1].strip().lower())
-    gk, pk = {norm(r) for r in gt}, {norm(r) for r in pred}
-    types = sorted({r[0] for r in gt + pred})
-    res = {t: [0, 0, 0] for t in types + ["AGGREGATE"]}
-    seen = set()
-    for r in pred:
-        k = norm(r)
-        if k in gk and k not in seen:
-            res[r[0]][0] += 1; res["AGGREGATE"][0] += 1; seen.add(k)  # noqa: E702
-        elif k not in gk:
-            res[r[0]][1] += 1; res["AGGREGATE"][1] += 1  # noqa: E702
-    for r in gt:
-        if norm(r) not in pk:
-            res[r[0]][2] += 1; res["AGGREGATE"][2] += 1  # noqa: E702
-    return res
-
-
-def test_metrics(spark):
-    gt = [("PERSON", "Ann Lee"), ("PERSON", "Bo"), ("EMAIL", "a@b.co"), ("SSN", "123-45-6789")]
-    pred = [("PERSON", " ann lee"), ("PERSON", "Ann Lee"), ("ORG", "Acme"), ("ORG", "Acme"), ("EMAIL", "A@B.CO")]
-    got = {r.entity_type: r for r in eval_metrics(spark.createDataFrame(gt, SCHEMA), spark.createDataFrame(pred, SCHEMA)).collect()}
-    want = py_metrics(gt, pred)
-    assert set(got) == set(want)
-    for t, (tp, fp, fn) in want.items():
-        r = got[t]
-        assert (r.tp, r.fp, r.fn) == (tp, fp, fn), t
-        p = tp / (tp + fp) if tp + fp else 0.0
-        rc = tp / (tp + fn) if tp + fn else 0.0
-        assert r.precision == p and r.recall == rc
-        assert r.f1 == (2 * p * rc / (p + rc) if p + rc else 0.0)
-        assert r.accuracy == (tp / (tp + fp + fn) if tp + fp + fn else 0.0)
-    assert got["SSN"].precision == 0.0 and got["ORG"].recall == 0.0
+"""Metrics: worked examples with fixed numbers."""
+
+from shroud.operators.evaluate import eval_metrics, eval_report, format_report
+
+SCHEMA = "doc_id long, segment_index int, start int, end int, entity_type string, text string"
+TRUTH = [(1, 0, 0, 7, "PERSON", "Ann Lee"), (1, 1, 0, 2, "PERSON", "Bo"), (1, 2, 3, 9, "EMAIL", "a@b.co"), (2, 0, 0, 11, "SSN", "123-45-6789")]
+FOUND = [(1, 0, 0, 8, "PERSON", " ann lee"), (1, 3, 0, 7, "PERSON", "Ann Lee"), (1, 4, 0, 4, "ORG", "Acme"), (1, 5, 0, 4, "ORG", "Acme"),
+         (1, 2, 3, 9, "EMAIL", "A@B.CO"), (9, 0, 0, 3, "ORG", "Far")]
+
+
+def metrics(spark, **how):
+    rows = eval_metrics(spark.createDataFrame(TRUTH, SCHEMA), spark.createDataFrame(FOUND, SCHEMA), **how).collect()
+    return {r.entity_type: (r.tp, r.fp, r.fn, round(r.precision, 4), round(r.recall, 4), round(r.f1, 4), round(r.accuracy, 4)) for r in rows}
+
+
+def test_by_text(spark):
+    assert metrics(spark) == {
+        "PERSON": (1, 0, 1, 1.0, 0.5, 0.6667, 0.5),  # two rows of one value are one hit
+        "EMAIL": (1, 0, 0, 1.0, 1.0, 1.0, 1.0),
+        "ORG": (0, 3, 0, 0.0, 0.0, 0.0, 0.0),  # every wrong row counts
+        "SSN": (0, 0, 1, 0.0, 0.0, 0.0, 0.0),
+        "AGGREGATE": (2, 3, 2, 0.4, 0.5, 0.4444, 0.2857),
+    }
+
+
+def test_by_place_and_annotated_documents(spark):
+    got = metrics(spark, match="offset", annotated=spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert got["EMAIL"][:3] == (1, 0, 0) and got["PERSON"][:3] == (0, 2, 2) and got["ORG"][:3] == (0, 2, 0) and got["AGGREGATE"][:3] == (1, 4, 3)
+
+
+def test_report_text(spark):
+    report = eval_report(eval_metrics(spark.createDataFrame(TRUTH, SCHEMA), spark.createDataFrame(FOUND, SCHEMA)))
+    lines = format_report(report).split("\n")
+    assert lines[0].split() == [c for c in report.columns if c != "is_aggregate"]
+    assert [x.split()[0] for x in lines[1:]] == ["EMAIL", "ORG", "PERSON", "SSN", "AGGREGATE"]
+    assert lines[-1].split()[1:5] == ["0.4000", "0.5000", "0.4444", "0.2857"]

@@ -5,16 +5,17 @@ import os
 
 import pytest
 
-from shroud.sources.records import MissingKeyError, read_records, write_report
-from shroud.streaming.stream import scratch
+from shroud.session import fresh_path
+from shroud.sources.records import read_records, write_report
+from shroud.sources.tables import read_table
 
 
 def local(uri):
-    return uri[len("file:"):] if uri.startswith("file:") else uri
+    return uri.removeprefix("file://").removeprefix("file:")
 
 
 def test_defaults_and_required(spark):
-    base = local(scratch(spark, "records-test"))
+    base = local(fresh_path(spark, "records-test"))
     os.makedirs(base, exist_ok=True)
     good = os.path.join(base, "good.json")
     with open(good, "w", encoding="utf-8") as fh:
@@ -26,8 +27,8 @@ def test_defaults_and_required(spark):
     bad = os.path.join(base, "bad.json")
     with open(bad, "w", encoding="utf-8") as fh:
         json.dump([{"start": 1, "entity_type": "PERSON"}], fh)
-    with pytest.raises(MissingKeyError):
-        read_records(spark, bad, multi_line=True)
+    with pytest.raises(Exception, match="a record lacks end"):
+        read_records(spark, bad, multi_line=True).collect()
 
 
 def test_report_written(spark):
@@ -35,8 +36,13 @@ def test_report_written(spark):
 
     gt = spark.createDataFrame([("PERSON", "a b")], "entity_type string, text string")
     pr = spark.createDataFrame([("PERSON", "A B"), ("ORG", "x")], "entity_type string, text string")
-    path = scratch(spark, "report-test")
+    path = fresh_path(spark, "report-test")
     write_report(spark, eval_report(eval_metrics(gt, pr)), path)
-    text = "\n".join(r.value for r in spark.read.text(path + "/markdown").collect())
-    assert "| PERSON | 1.000 | 1.000 | 1.000 | 1.000 | 1 | 0 | 0 |" in text
-    assert "**AGGREGATE**" in text
+    text = [r.value.split() for r in spark.read.text(path + "/text").collect()]
+    assert ["PERSON", "1.0000", "1.0000", "1.0000", "1.0000", "1", "0", "0"] in text and text[-1][0] == "AGGREGATE"
+    assert spark.read.json(path + "/rows").count() == 3
+
+
+def test_missing_input_fails(spark):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_table(spark, "/no/such/folder", "documents")

@@ -1,4 +1,4 @@
-"""Overlap resolution: the fold equals a plain-Python statement of the rule; islands are exact."""
+"""Overlap resolution: worked cases and properties; islands are exact."""
 
 import random
 
@@ -8,23 +8,6 @@ from shroud.functions.spans import SPANS_TYPE, resolve_overlaps_sql
 from shroud.operators.resolve import overlap_pairs, resolve_by_islands, resolve_segment_spans
 
 
-def py_resolve(spans):
-    """spans: (start, end, score, prio); stable sort by (start, -len, -score) after prio order."""
-    order = sorted(spans, key=lambda s: (s[0], -(s[1] - s[0]), -s[2], s[3]))
-    kept = []
-    for c in order:
-        if not kept:
-            kept.append(c)
-            continue
-        last = kept[-1]
-        if c[0] < last[1] and last[0] < c[1]:
-            if (c[1] - c[0]) > (last[1] - last[0]) or ((c[1] - c[0]) == (last[1] - last[0]) and c[2] > last[2]):
-                kept[-1] = c
-        else:
-            kept.append(c)
-    return kept
-
-
 def random_segments(n, rnd):
     segs = []
     for _ in range(n):
@@ -52,24 +35,67 @@ def test_chain_and_ties(spark):
     assert got[1].source == "regex"
 
 
-def test_fold_parity_and_islands(spark):
+# spans of one segment as (start, end, score) in order of priority, and those that stay
+CASES = [
+    ([], []),
+    ([(0, 5, 1.0)], [(0, 5)]),
+    ([(0, 5, 1.0), (5, 9, 1.0)], [(0, 5), (5, 9)]),  # touching is not overlapping
+    ([(0, 5, 1.0), (3, 6, 1.0)], [(0, 5)]),  # the longer one
+    ([(0, 3, 1.0), (2, 9, 0.5)], [(2, 9)]),  # length before score
+    ([(0, 4, 0.5), (2, 6, 1.0)], [(2, 6)]),  # as long: the higher score
+    ([(0, 4, 1.0), (2, 6, 1.0)], [(0, 4)]),  # as long, as high: the first
+    ([(2, 4, 1.0), (0, 9, 1.0)], [(0, 9)]),  # order of arrival does not matter
+    ([(0, 5, 1.0), (4, 10, 1.0), (9, 20, 1.0)], [(9, 20)]),  # a chain keeps its last
+    ([(0, 10, 1.0), (4, 8, 1.0), (9, 12, 1.0), (11, 30, 1.0)], [(0, 10), (11, 30)]),
+]
+
+
+def case_rows(spans_of):
+    return [(k, 0, s, e, "T", "x", sc, "src", p) for k, spans in enumerate(spans_of) for p, (s, e, sc) in enumerate(spans)]
+
+
+def kept(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_worked_cases(spark):
+    df = spark.createDataFrame(case_rows([c for c, _ in CASES]), SCHEMA)
+    want = {k: w for k, (_, w) in enumerate(CASES) if w}
+    assert kept(resolve_segment_spans(df)) == want == kept(resolve_by_islands(df))
+
+
+def test_properties(spark):
     rnd = random.Random(11)
-    segs = random_segments(600, rnd)
-    df = spark.createDataFrame(span_rows(segs), SCHEMA)
-    want = {i: py_resolve(seg) for i, seg in enumerate(segs)}
-    for resolver in (resolve_segment_spans, resolve_by_islands):
-        got = {}
-        for r in resolver(df).collect():
-            got.setdefault(r.doc_id, []).append((r.start, r.end, r.score, r.prio))
-        for i in want:
-            assert sorted(got.get(i, [])) == sorted(want[i]), (resolver.__name__, i)
+    rows = span_rows(random_segments(400, rnd))
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = kept(resolve_segment_spans(df))
+    assert whole == kept(resolve_by_islands(df))  # islands are independent of one another
+    rnd.shuffle(rows)
+    assert whole == kept(resolve_segment_spans(spark.createDataFrame(rows, SCHEMA)))  # any order of arrival
+    given = {}
+    for r in rows:
+        given.setdefault(r[0], set()).add((r[2], r[3]))
+    assert set(whole) == set(given)
+    for k, spans in whole.items():
+        assert set(spans) <= given[k] and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_long_segments_cross_blocks(spark):
+    spans = [(10 * k, 10 * k + 6, 1.0) for k in range(1000)] + [(10 * k + 5, 10 * k + 12, 1.0) for k in range(0, 1000, 100)]
+    df = spark.createDataFrame(case_rows([spans]), SCHEMA)
+    got = kept(resolve_segment_spans(df))[0]
+    assert len(got) == 990 and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    assert got == kept(resolve_by_islands(df))[0]
 
 
 def test_overlap_pairs_matches_brute_force(spark):
     rnd = random.Random(5)
     segs = random_segments(200, rnd)
     df = spark.createDataFrame(span_rows(segs), SCHEMA)
-    got = {(r.doc_id, r.a_start, r.a_end, r.b_start, r.b_end) for r in overlap_pairs(df, bucket=8).collect()}
+    got = {(r.doc_id, r.a_start, r.a_end, r.b_start, r.b_end) for r in overlap_pairs(df).collect()}
     want = set()
     for i, seg in enumerate(segs):
         for a in seg:
