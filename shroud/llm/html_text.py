@@ -212,9 +212,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def template_elements(pages: DataFrame) -> DataFrame:
     """(k1, k2, templates): for every page with any, the hashes of its elements that recur on its host.
     ``pages`` has k1, k2, host and html."""
-    hashed = pages.where("host is not null").dropDuplicates(["k1", "k2"]).select("k1", "k2", "host", "html").mapInArrow(
+    hashed = pages.where("host is not null").select("k1", "k2", "host", "html").mapInArrow(
         _hashes, "k1 long, k2 long, host string, hashes array<long>")
-    single = hashed.select("k1", "k2", "host", F.explode("hashes").alias("h"))
+    single = hashed.select("k1", "k2", "host", F.explode("hashes").alias("h")).distinct()  # equal rows are one page
     counts = single.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     totals = pages.where("host is not null").select("k1", "k2", "host").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     templates = counts.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "h")
