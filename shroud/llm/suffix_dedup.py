@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import row_key, stored
+from .common import own_exchange, row_key, stored
 
 SPAN = 200
 GRAM = 32
 STRETCH = 200  # windows in one stretch, at most
 BLOCK = 1 << 18  # bytes of text whose windows are hashed at once
 COLLECTION = 8192  # strings in one transform, about
-HOT_CLASSES, HOT_PERIODIC = 8192, 64
+HOT_CLASSES, HOT_PERIODIC = 65_536, 1024  # what one task holds of one hash: about 100 MB
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -138,9 +138,11 @@ def repeated_windows(strings: list[bytes], hashes: list[int], folder: str, span:
     out = [np.zeros(n - span + 1, bool) for n in size.tolist()]
     if not len(entry):
         return out
-    where = (begin[entry] + place - before)[None, :] + np.arange(width)[:, None]
+    base = begin[entry] + place - before  # of column 0
     columns, flags = os.path.join(folder, "columns"), os.path.join(folder, "flags")
-    text[np.clip(where, 0, len(text) - 1)].tofile(columns)
+    with open(columns, "wb") as sink:
+        for t in range(width):
+            text[np.clip(base + t, 0, len(text) - 1)].tofile(sink)
     _, group = np.unique(np.array(hashes, np.int64)[entry], return_inverse=True)
     joining = np.argsort(high, kind="stable")
     joins = np.searchsorted(high[joining], np.arange(width + 2))
@@ -169,10 +171,10 @@ def repeated_windows(strings: list[bytes], hashes: list[int], folder: str, span:
                 flag = np.zeros(len(entry), bool)
                 flag[order[long | np.append(long[1:], False)]] = True
                 flag.tofile(sink)
-    found = np.fromfile(flags, bool).reshape(-1, len(entry))[::-1]
-    column, hit = np.nonzero(found)
     flat = np.zeros(len(text), bool)
-    flat[where[column, hit]] = True
+    with open(flags, "rb") as source:
+        for t in range(width - span, -1, -1):
+            flat[base[np.frombuffer(source.read(len(entry)), bool)] + t] = True
     return [flat[b:b + n - span + 1] for b, n in zip(begin.tolist(), size.tolist())]
 
 
@@ -277,6 +279,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(np.full(count, n)), pa.array(np.arange(count), pa.int32())], ["h1", "h2", "m", "c", "n", "at"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of repeated windows, as the byte ranges that they cover."""
+    ints = pa.list_(pa.int32())
+    for batch in batches:
+        out = [union_ranges([(x, x + SPAN) for x in at]) for at in batch.column("starts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("c"), pa.array([[b for b, _ in r] for r in out], ints),
+                                          pa.array([[e for _, e in r] for r in out], ints)], ["m", "c", "starts", "ends"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -295,11 +306,11 @@ def repeated_ranges(keyed: DataFrame, packed: DataFrame) -> DataFrame:
     ``keyed`` has k1, k2 and text; ``packed`` k1, k2 and the compressed text."""
     cut = stored(keyed.mapInArrow(_cut_stretches, "k1 long, k2 long, pos long, windows int, m long, c long, own boolean"))
     shared = cut.groupBy("m").agg(F.count("*").alias("n"), F.max("own").alias("o")).where("n > 1 or o").select("m")
-    found = stored(cut.join(shared, "m"))
+    found = stored(cut.join(own_exchange(shared, "m"), "m"))
     classes = found.groupBy("m", "c").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.max("windows").alias("windows"),
                                           F.min(F.struct("k1", "k2", "pos")).alias("at"))
     per_hash = classes.groupBy("m").agg(F.count("*").alias("classes"), F.max("own").alias("any_own"))
-    classes = stored(classes.join(per_hash, "m"))
+    classes = stored(classes.join(own_exchange(per_hash, "m"), "m"))
     unlike = F.expr("classes > 1 or any_own")
     copies = classes.where(~unlike).where("n > 1").select(
         "m", "c", F.array(F.lit(0)).alias("starts"), F.array(F.col("windows") + (SPAN - 1)).alias("ends"))
@@ -314,8 +325,8 @@ def repeated_ranges(keyed: DataFrame, packed: DataFrame) -> DataFrame:
         _compare, "m long, c long, starts array<int>, ends array<int>")
     windows = contents.where("hot").mapInArrow(_windows, "h1 long, h2 long, m long, c long, n long, at int")
     again = windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-    counted = windows.join(again, ["h1", "h2"]).groupBy("m", "c").agg(F.collect_list("at").alias("starts")).select(
-        "m", "c", "starts", F.transform("starts", lambda x: x + SPAN).alias("ends"))
+    counted = windows.join(own_exchange(again, "h1", "h2"), ["h1", "h2"]).groupBy("m", "c").agg(F.collect_list("at").alias("starts")).select(
+        "m", "c", "starts").mapInArrow(_joined, "m long, c long, starts array<int>, ends array<int>")
     ranges = copies.unionByName(compared).unionByName(counted)
     spans = found.join(ranges, ["m", "c"]).select("k1", "k2", F.expr(
         "explode(arrays_zip(transform(starts, x -> pos + x), transform(ends, x -> pos + x))) as span"))
