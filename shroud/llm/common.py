@@ -2,50 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shroud.session import stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder of this application under the cluster's shared ``spark.checkpoint.dir``.  Where that is unset, a
-    session in one process (as in tests) gets a temporary one; on a cluster there is no folder that all executors see,
-    so this fails instead of guessing one."""
-    return f"{_application_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def _application_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{sc.applicationId}"
-
-
-def clear_stored(spark: SparkSession) -> None:
-    """Delete every table that ``stored`` wrote in this application.  Results that still read them must be written first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(*cols: Column) -> list[Column]:
     """128 bits that name a row by its values (two independent 64-bit hashes), so that null or repeated ids
     need no special case: rows with equal values share a key, and get equal results."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("k2"), *reversed(cols), F.lit(0x9E37)).alias("k2")]
+
+
+def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with its long ``keys`` passed through an expression, for the side of a join that was aggregated by them.  Spark
+    would read such a side where the aggregate left it, and AQE splits hot partitions of the other side only where
+    both have an exchange of their own."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})

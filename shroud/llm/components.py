@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import own_exchange, stored
 
 
 def _towards_min(pairs: DataFrame) -> DataFrame:
     """For pairs (u, v) of one direction: (v, least of u's neighbours and u)."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(own_exchange(least, "u"), "u")
 
 
 def large_star(edges: DataFrame) -> DataFrame:

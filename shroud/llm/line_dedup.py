@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import row_key, stored
+from .common import own_exchange, row_key, stored
 
 MIN_CHARS, MIN_LINES = 100, 3
 BLANK = 0  # hash of lines without a visible character
@@ -110,11 +110,11 @@ def deleted_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(k1, k2, gone): numbers of the lines to delete, for every document that loses any."""
     table = stored(line_table(df, id_col, text_col).dropDuplicates(["ord"]))
     firsts = table.groupBy("s1", "s2").agg(F.min("ord").alias("first"), F.count("*").alias("copies"))
-    classed = table.join(firsts, ["s1", "s2"])
+    classed = stored(table.join(own_exchange(firsts, "s1", "s2"), ["s1", "s2"]))
     own = classed.where("ord = first").select("ord", "lines", "sizes")
     posted = own.select("ord", F.explode(F.array_distinct("lines")).alias("h")).where(F.col("h") != BLANK)
     shared = posted.groupBy("h").agg(F.count("*").alias("documents"), F.min("ord").alias("partner")).where("documents > 1")
-    pairs = posted.join(shared, "h").where("partner < ord").groupBy("ord", "partner").agg(F.min("documents").alias("rarest"))
+    pairs = posted.join(own_exchange(shared, "h"), "h").where("partner < ord").groupBy("ord", "partner").agg(F.min("documents").alias("rarest"))
     sides = pairs.join(own.select(F.col("ord").alias("partner"), F.col("lines").alias("earlier")), "partner").join(own, "ord")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

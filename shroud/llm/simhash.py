@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import row_key, stored
+from .common import own_exchange, row_key, stored
 from .components import components
 
 SHINGLE = 4
@@ -221,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = stored(fingerprints(df, id_col, text_col, shingle))
     rooted = groups(prints, max_bits, id_col)
     least = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return rooted.join(least, "root").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.join(own_exchange(least, "root"), "root").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
