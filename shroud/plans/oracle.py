@@ -573,7 +573,7 @@ FROM resolved r JOIN segments s ON r.doc_id = s.doc_id AND r.segment_index = s.s
     q["detect_distinct"] = q["regex_spans"]
     q["plugin_spans"] = with_(base_ctes(), located("secrets", SECRET_PATTERN, "'SECRET' AS entity_type")) + """
 SELECT doc_id, segment_index, "start", "end", entity_type, text FROM secrets
-WHERE regexp_matches(text, '[a-z]') AND regexp_matches(text, '[A-Z]') AND regexp_matches(text, '[0-9]')"""
+WHERE regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '[0-9]')"""
     q["web_spans"] = full(f"SELECT {SPAN_COLS} FROM resolved", sources=("pages", "conversations"))
     q["overlap_pairs"] = full("""SELECT a.doc_id, a.segment_index, a."start" AS a_start, a."end" AS a_end,
   a.entity_type AS a_entity_type, a.source AS a_source, b."start" AS b_start, b."end" AS b_end,
