@@ -32,7 +32,7 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 ONE_LETTER = "stmd"
 TWO_LETTERS = ["re", "ve", "ll"]
 
-BATCH_CODE_POINTS = 1 << 21  # code points handled at once; a longer document is cut where the pattern must cut
+BATCH_CODE_POINTS = 1 << 19  # code points handled at once; a longer document is cut where the pattern must cut
 CACHE_BITS = 21
 CACHE_ENTRIES = 1_000_000  # pieces a worker remembers; a full cache starts anew
 MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
@@ -218,7 +218,7 @@ class Merger:
         else:
             pairs = [(vocabulary[a], vocabulary[b], r, vocabulary[a + b]) for r, (a, b) in enumerate(merges)]
         rows = np.array(pairs, np.int64)
-        self.pair_rank = {(a << 32) | b: (r, to) for a, b, r, to in pairs}
+        self.pairs, self.pair_rank = rows, {}  # as a dict only once a long piece asks
         keys = (rows[:, 0] << 32) | rows[:, 1]
         self.bits = max(8, int(4 * len(keys) - 1).bit_length())
         self.slot_key = np.full(1 << self.bits, -1, np.int64)
@@ -319,6 +319,8 @@ class Merger:
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """One long piece: a heap of (rank, place) over a linked list, n log n."""
+        if not self.pair_rank:
+            self.pair_rank = {(a << 32) | b: (r, to) for a, b, r, to in self.pairs.tolist()}
         ids: list[int] = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         n, get = len(ids), self.pair_rank.get
         after, back = list(range(1, n + 1)), list(range(-1, n - 1))

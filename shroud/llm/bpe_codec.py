@@ -21,6 +21,7 @@ from .bpe import Encoder, json_file, rank_file
 ROWS_AT_ONCE = 512
 
 _encoders: dict[str, Encoder] = {}
+_pieces: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def read_file(path: str) -> bytes:
@@ -40,6 +41,19 @@ def encoder_of(data: bytes, kind: str) -> Encoder:
     return _encoders[key]
 
 
+def pieces_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all pieces of a rank file by id, where each begins, and how long it is: all that decoding needs."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _pieces:
+        ranks = rank_file(data)
+        by_id = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            by_id[i] = piece
+        size = np.array([len(p) for p in by_id], np.int64)
+        _pieces[key] = np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(size) - size, size
+    return _pieces[key]
+
+
 def _packed(ends: np.ndarray) -> bytes:
     return ends.astype("<u8").tobytes()
 
@@ -68,9 +82,7 @@ def decode(df: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     data = df.sparkSession.sparkContext.broadcast(read_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = encoder_of(data.value, "ranks").merger
-        flat = np.frombuffer(b"".join(merger.bytes_of), np.uint8)
-        begin = np.cumsum(merger.length) - merger.length
+        flat, begin, _ = pieces_of(data.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
