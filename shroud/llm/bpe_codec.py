@@ -54,6 +54,14 @@ def pieces_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _pieces[key]
 
 
+def laid_out(pieces: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> bytes:
+    """The bytes of the tokens, each put where its offset says."""
+    flat, begin, _ = pieces
+    size = np.diff(ends, prepend=0)
+    n = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(n) + np.repeat(begin[ids] - (ends - size), size)].tobytes()
+
+
 def _packed(ends: np.ndarray) -> bytes:
     return ends.astype("<u8").tobytes()
 
@@ -82,16 +90,12 @@ def decode(df: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     data = df.sparkSession.sparkContext.broadcast(read_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, begin, _ = pieces_of(data.value)
+        pieces = pieces_of(data.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
-                out = []
-                for packed, ends in zip(rows.column("ids").to_pylist(), rows.column("ends").to_pylist()):
-                    ids, upto = np.frombuffer(packed, "<u4"), np.frombuffer(ends, "<u8").astype(np.int64)
-                    size = np.diff(upto, prepend=0)
-                    n = int(upto[-1]) if len(upto) else 0
-                    out.append(flat[np.arange(n) + np.repeat(begin[ids] - (upto - size), size)].tobytes())
+                out = [laid_out(pieces, np.frombuffer(ids, "<u4"), np.frombuffer(ends, "<u8").astype(np.int64))
+                       for ids, ends in zip(rows.column("ids").to_pylist(), rows.column("ends").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keep), pa.array(out, pa.binary())], [*keep, "decoded"])
 
     fields = [f for f in df.schema.fields if f.name in keep]
@@ -100,9 +104,27 @@ def decode(df: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
     return df.mapInArrow(run, f"{schema}, decoded binary")
 
 
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): ``encode`` and ``decode`` in one pass, so that offsets stay in the worker and a core needs one
+    worker instead of two."""
+    data = df.sparkSession.sparkContext.broadcast(read_file(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, pieces = encoder_of(data.value, "ranks"), pieces_of(data.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(at, ROWS_AT_ONCE)
+                ids = list(encoder.encode([t or "" for t in rows.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                     pa.array([laid_out(pieces, x, encoder.ends(x)) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+
+
 def digests(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: number of tokens, digest of the ids, digest of the text decoded from them."""
     hexed: Callable[[str], Column] = lambda c: F.sha2(F.col(c), 256)
-    back = decode(encode(df, vocabulary, id_col, text_col), vocabulary, [id_col, "ids"])
-    return back.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+    return round_trip(df, vocabulary, id_col, text_col).select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        hexed("ids").alias("ids_sha256"), hexed("decoded").alias("decoded_sha256"))
