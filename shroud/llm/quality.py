@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 FIT_ROWS = 4096  # bound of the sample that the forest is fitted on
-TREES, TREE_ROWS, SEED = 100, 256, 42
+TREES, TREE_ROWS, SEED = 100, 32, 42  # small samples: in large ones rows that are bad in the same way hide each other
 BINS, GOOD_WEIGHT = 2000, 20  # losing one good row in a hundred weighs as much as missing one bad row in five
 USUAL_LINES, USUAL_REPEATS = 0.02, 0.25  # repeated lines a word, repeated words a word
 
