@@ -1,15 +1,16 @@
 """Operator 7: deletion of line blocks that an earlier document holds already, by pairwise alignment.
 
-Documents are ordered by (id, row key), null ids first.  A line that stands in several documents pairs each of them
-with the earliest of these, so a line in m documents makes m - 1 pairs and no line is too common to count; how rare a
-pair's rarest line is orders a document's partners, rarest first.  Each pair is aligned by patience diff on line
-hashes: lines that are unique in both documents are anchors, the longest increasing run of them is kept, and the gaps
+Documents are ordered by (id, row key), null ids first.  Pairs are made by the least runs of consecutive lines that
+are large enough to delete, from each line on and up to each line: every line of a common block lies in such a run
+inside the block.  A run that stands in several documents pairs each of them with the earliest of these, which holds
+the run whole; a run in m documents makes m - 1 pairs and no run is too common to count; how rare a pair's rarest run
+is orders a document's partners, rarest first.  Each pair is aligned by patience diff on line hashes: lines that are unique in both documents are anchors, the longest increasing run of them is kept, and the gaps
 between are aligned in the same way.  Runs of aligned lines with at least ``MIN_CHARS`` characters or ``MIN_LINES``
 lines that are not blank are deleted from the later document.  Documents whose lines are all equal (copies) are one
 class from the start: only its first member is aligned, the others lose every block of that size.
 
 Nulls count as empty texts.  Rows are named by 128 bits of their values: equal rows (same id, same text) count as one
-document and get the same result.  Only hashes and lengths of lines are shuffled for pairs; texts move once.
+document and get the same result.  Only hashes of runs and lines, and lengths of lines, are shuffled for pairs; texts move once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from .common import own_exchange, row_key, stored
 
 MIN_CHARS, MIN_LINES = 100, 3
 BLANK = 0  # hash of lines without a visible character
+BLANK_IN_RUN = np.uint64(0xD6E8FEB86659FD93)  # stands for it in the hash of a run
+BASE = 0x9E3779B97F4A7C15  # of the polynomial hash of a run, odd
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -95,6 +99,50 @@ def large_enough(hashes: list[int], sizes: list[int]) -> bool:
     return bool(seen) and (len(seen) >= MIN_LINES or sum(seen) >= MIN_CHARS)
 
 
+def least_runs(hashes: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, stop) of the least runs of lines that are large enough, from each line on and up to each
+    line, blank ones too.  The documents' lines stand one after the other and end at ``ends``."""
+    n = len(hashes)
+    document = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    begins = np.r_[0, ends][document]
+    seen = hashes != BLANK
+    lines = np.r_[0, np.cumsum(seen, dtype=np.int64)]
+    chars = np.r_[0, np.cumsum(np.where(seen, sizes, 0), dtype=np.int64)]
+    at = np.arange(n)
+    stop = np.minimum(np.searchsorted(lines, lines[:-1] + MIN_LINES), np.searchsorted(chars, chars[:-1] + MIN_CHARS))
+    on = stop <= ends[document]
+    start = np.maximum(np.searchsorted(lines, lines[1:] - MIN_LINES, "right"), np.searchsorted(chars, chars[1:] - MIN_CHARS, "right")) - 1
+    upto = start >= begins
+    start, stop, document = np.r_[at[on], start[upto]], np.r_[stop[on], at[upto] + 1], np.r_[document[on], document[upto]]
+    once = np.unique(start * (n + 1) + stop, return_index=True)[1]
+    return document[once], start[once], stop[once]
+
+
+def run_hashes(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64 bits of each run's line hashes in their order, the same wherever the run stands."""
+    power = lambda base: np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), base, np.uint64)])
+    line = np.where(hashes == BLANK, BLANK_IN_RUN, hashes.view(np.uint64))
+    total = np.r_[np.uint64(0), np.cumsum(line * power(BASE)[:-1])]
+    return ((total[stop] - total[start]) * power(pow(BASE, -1, 1 << 64))[start]).view(np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lines`` and ``sizes`` become ``runs``: the distinct hashes of the least runs of each document."""
+    for batch in batches:
+        names = [x for x in batch.schema.names if x not in ("lines", "sizes")]
+        lines, sizes = batch.column("lines"), batch.column("sizes")
+        hashes = lines.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        document, start, stop = least_runs(hashes, sizes.flatten().to_numpy(zero_copy_only=False), ends)
+        h = run_hashes(hashes, start, stop)
+        order = np.lexsort((h, document))
+        document, h = document[order], h[order]
+        first = np.r_[True, (document[1:] != document[:-1]) | (h[1:] != h[:-1])][:len(h)]
+        offsets = np.searchsorted(document[first], np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[first]))],
+                                         [*names, "runs"])
+
+
 def line_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(ord, s1, s2, lines, sizes): place in the order of documents, hash of all lines, hash and length of each."""
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
@@ -112,7 +160,8 @@ def deleted_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = table.groupBy("s1", "s2").agg(F.min("ord").alias("first"), F.count("*").alias("copies"))
     classed = stored(table.join(own_exchange(firsts, "s1", "s2"), ["s1", "s2"]))
     own = classed.where("ord = first").select("ord", "lines", "sizes")
-    posted = own.select("ord", F.explode(F.array_distinct("lines")).alias("h")).where(F.col("h") != BLANK)
+    kind = own.schema["ord"].dataType.simpleString()
+    posted = own.mapInArrow(_runs, f"ord {kind}, runs array<long>").select("ord", F.explode("runs").alias("h"))
     shared = posted.groupBy("h").agg(F.count("*").alias("documents"), F.min("ord").alias("partner")).where("documents > 1")
     pairs = posted.join(own_exchange(shared, "h"), "h").where("partner < ord").groupBy("ord", "partner").agg(F.min("documents").alias("rarest"))
     sides = pairs.join(own.select(F.col("ord").alias("partner"), F.col("lines").alias("earlier")), "partner").join(own, "ord")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shroud.llm import simhash, suffix_dedup
 from shroud.llm.components import components
-from shroud.llm.line_dedup import common_blocks, dedup_lines, line_report, patience
+from shroud.llm.line_dedup import common_blocks, dedup_lines, large_enough, line_report, patience
 from shroud.llm.simhash import keep_one, near_duplicates
 from shroud.llm.suffix_dedup import cut_repeats, removal_digests
 
@@ -211,3 +211,26 @@ def test_a_common_line_makes_links_not_squares(spark):
     rows = [(k, f"only here {k}\n" + "the same boilerplate line of every document " * 3) for k in range(300)]
     kept = dedup_lines(frame(spark, rows)).where(F.col("__deleted") > 0)
     assert kept.count() == 299
+
+
+def brute_lines(texts):
+    """Lines that lie in a large enough run which an earlier text holds."""
+    held, out = set(), []
+    for text in texts:
+        lines = [x if x.strip() else 0 for x in text.split("\n")]
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)]
+        gone = {k for a, b in runs if tuple(lines[a:b]) in held and large_enough(lines[a:b], [len(x or "") for x in lines[a:b]]) for k in range(a, b)}
+        held |= {tuple(lines[a:b]) for a, b in runs}
+        out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+    return out
+
+
+def test_a_block_whose_lines_all_have_earlier_holders(spark):
+    block = ["first line", "second line", "", "third line"]
+    rows = [(k, f"own {k}\n{x}\nown {k} too") for k, x in enumerate(x for x in block if x)]
+    rows += [(10, "\n".join(["head 10", *block, "tail 10"])), (11, "\n".join(["head 11", *block, "tail 11"]))]
+    long = ["l" * 150, "", "m" * 60, "n" * 60, "o"]
+    rows += [(20, long[0]), (21, "\n".join(long[2:4])), (22, "\n".join(["p", *long[:3], "q"])), (23, "\n".join(["r", *long, "s"])), (24, "\n".join(["t", *long, "u"]))]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_lines([t for _, t in rows])))
+    assert got[11] == "head 11\ntail 11" and got[24] == "t\nu"
