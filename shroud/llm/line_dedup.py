@@ -6,7 +6,9 @@ inside the block.  A run that stands in several documents pairs each of them wit
 the run whole; a run in m documents makes m - 1 pairs and no run is too common to count; how rare a pair's rarest run
 is orders a document's partners, rarest first.  Each pair is aligned by patience diff on line hashes: lines that are unique in both documents are anchors, the longest increasing run of them is kept, and the gaps
 between are aligned in the same way.  Runs of aligned lines with at least ``MIN_CHARS`` characters or ``MIN_LINES``
-lines that are not blank are deleted from the later document.  Documents whose lines are all equal (copies) are one
+lines that are not blank are deleted from the later document.  What the alignment leaves (gaps without anchors, blocks
+that stand twice or in another order) is compared run by run, so a line goes exactly if it lies in such a run that
+an earlier document holds anywhere.  Documents whose lines are all equal (copies) are one
 class from the start: only its first member is aligned, the others lose every block of that size.
 
 Nulls count as empty texts.  Rows are named by 128 bits of their values: equal rows (same id, same text) count as one
@@ -51,7 +53,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         where = {x: k for k, x in enumerate(b[at:to], at) if right[x] == 1 and left[x] == 1 and x != BLANK}
         anchors = _longest_increasing([(k, where[x]) for k, x in enumerate(a[lo:hi], lo) if x in where])
         if not anchors:
-            continue
+            continue  # common_runs() finds what such a gap holds
         edges = [(lo - 1, at - 1), *anchors, (hi, to)]
         out.extend(anchors)
         todo.extend((i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:]))
@@ -80,7 +82,7 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common_blocks(earlier: list[int], later: list[int], sizes: list[int]) -> list[int]:
-    """Lines of ``later`` in common blocks that are large enough to delete."""
+    """Lines of ``later`` in common blocks that are large enough to delete: aligned ones, then any that are left."""
     gone: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -91,9 +93,25 @@ def common_blocks(earlier: list[int], later: list[int], sizes: list[int]) -> lis
             block = []
         block.append(pair[1])
         last = pair
+    left = set(range(len(later))).difference(gone)
+    if not set(earlier).isdisjoint(later[k] for k in left):
+        gone = sorted({*gone, *common_runs(earlier, later, sizes)})
     return gone
 
 
+def common_runs(earlier: list[int], later: list[int], sizes: list[int]) -> list[int]:
+    """Lines of ``later`` in runs that are large enough to delete and stand in ``earlier``, at whatever place and as
+    often as they may.  Linear: such a run is made of least runs."""
+    size = dict(zip(later, sizes))
+    a, b = np.array(earlier, np.int64), np.array(later, np.int64)
+    _, start, stop = least_runs(a, np.array([size.get(h, 0) for h in earlier], np.int64), np.array([len(a)]))
+    held = run_hashes(a, start, stop)
+    _, start, stop = least_runs(b, np.array(sizes, np.int64), np.array([len(b)]))
+    found = np.isin(run_hashes(b, start, stop), held)
+    depth = np.bincount(start[found], minlength=len(b) + 1) - np.bincount(stop[found], minlength=len(b) + 1)
+    return np.flatnonzero(np.cumsum(depth)[:-1] > 0).tolist()
+
+
 def large_enough(hashes: list[int], sizes: list[int]) -> bool:
     seen = [n for h, n in zip(hashes, sizes) if h != BLANK]
     return bool(seen) and (len(seen) >= MIN_LINES or sum(seen) >= MIN_CHARS)

@@ -234,3 +234,26 @@ def test_a_block_whose_lines_all_have_earlier_holders(spark):
     got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
     assert got == dict(zip([i for i, _ in rows], brute_lines([t for _, t in rows])))
     assert got[11] == "head 11\ntail 11" and got[24] == "t\nu"
+
+
+def test_repeated_and_moved_blocks():
+    o, p, b = [11, 12], [21, 22, 23], [31, 32, 33]
+    assert common_blocks([o[0], *b, o[1]], [p[0], *b, p[1], *b, p[2]], [9] * 9) == [1, 2, 3, 5, 6, 7]
+    assert common_blocks([o[0], *b, o[1], *b], [p[0], *b, p[1]], [9] * 5) == [1, 2, 3]
+    assert common_blocks([*b, *o, 41, 42, 43], [41, 42, 43, *p, *b], [9] * 9) == [0, 1, 2, 6, 7, 8]
+    rnd = random.Random(3)
+    size = [0, 1, 40, 60, 99, 100]
+    for _ in range(400):
+        x, y = ([rnd.randint(0, 5) for _ in range(rnd.randint(0, 25))] for _ in range(2))
+        n = [size[h] for h in y]
+        held = {tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+        runs = [(i, j) for i in range(len(y)) for j in range(i + 1, len(y) + 1) if tuple(y[i:j]) in held and large_enough(y[i:j], n[i:j])]
+        assert common_blocks(x, y, n) == sorted({k for i, j in runs for k in range(i, j)})
+
+
+def test_repeated_blocks_against_brute_force(spark):
+    rnd = random.Random(12)
+    pool = ["", " ", "short", "another", "w" * 60, "v" * 100, "u" * 99, "last one"]
+    rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 14)))) for k in range(80)]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == dict(zip([i for i, _ in rows], brute_lines([t for _, t in rows])))
