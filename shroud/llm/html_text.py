@@ -1,12 +1,13 @@
 """Operator 3: main text of web pages, with removal of site templates.
 
 A page is read in one pass into blocks of text; every block knows the elements it lies in.  Each element that could be
-part of a site's template is hashed with all it holds.  Spark counts the hashes per host (one count per page); an
-element whose hash recurs on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the pages of its host is deleted with
-its text.  Paragraphs, headings and list items inside an article are never taken for a template (copies of one
+part of a site's template is hashed with all it holds.  Spark counts the hashes per host, once per distinct content
+(the text of the page's main blocks), so that copies of one page count as one and keep their text; an element whose
+hash recurs with at least ``MIN_PAGES`` contents and ``MIN_SHARE`` of those of its host is deleted with its text.  Paragraphs, headings and list items inside an article are never taken for a template (copies of one
 article on a host stay), containers inside an article are.  Elements that are no article text by their own account
 (menus, headers and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) go by tag,
-role, class or id, however few pages a host has.
+role, class or id, however few pages a host has; so do blocks outside paragraphs and the like that are only a call
+(``CALLS``: "Read more").
 
 Where a page has an article (or a main element), text outside counts as boilerplate.  Null and empty pages have the
 text "".  Pages without host take no part in counting.  Rows are named by 128 bits of their values: ids and urls may
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import row_key
+from .common import own_exchange, row_key
 
 MIN_PAGES, MIN_SHARE = 10, 0.05
 
@@ -46,6 +47,7 @@ BOILERPLATE = set(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login paywall "
     "comment comments disqus replies share sharing social related recommended pagination pager toolbar".split())
+CALLS = {"read more", "continue reading", "learn more", "show more", "load more", "share this", "back to top", "skip to content"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -70,6 +72,12 @@ class Page:
     blocks: list[tuple[str, bool, list[int]]]  # text, inside an article, hashes of the candidates around it
     hashes: list[int]
 
+    @property
+    def content(self) -> int:
+        """Names the text of the page's main blocks."""
+        inside = any(a for _, a, _ in self.blocks)
+        return xxhash.xxh3_64_intdigest("\n".join(t for t, a, _ in self.blocks if a or not inside))
+
 
 def _boilerplate(name: str, tag: str, article: bool) -> bool:
     if name in HIDDEN:
@@ -103,7 +111,7 @@ def parse(source: str) -> Page:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
-            if text and not top.hidden:
+            if text and not top.hidden and (top.name in PROTECTED or text.lower().rstrip(" .…:>»›→") not in CALLS):
                 blocks.append((text, top.article, top.around))
 
     def close(until: Element, end: int) -> None:
@@ -194,9 +202,10 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             rows = batch.slice(at, ROWS_AT_ONCE)
-            found = [[_signed(h) for h in parse(s or "").hashes] for s in rows.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("k1", "k2", "host")), pa.array(found, pa.list_(pa.int64()))],
-                                             ["k1", "k2", "host", "hashes"])
+            parsed = [parse(s or "") for s in rows.column("html").to_pylist()]
+            content = pa.array([_signed(p.content) for p in parsed], pa.int64())
+            found = pa.array([[_signed(h) for h in p.hashes] for p in parsed], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("k1", "k2", "host")), content, found], ["k1", "k2", "host", "content", "hashes"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +222,12 @@ def template_elements(pages: DataFrame) -> DataFrame:
     """(k1, k2, templates): for every page with any, the hashes of its elements that recur on its host.
     ``pages`` has k1, k2, host and html."""
     hashed = pages.where("host is not null").select("k1", "k2", "host", "html").mapInArrow(
-        _hashes, "k1 long, k2 long, host string, hashes array<long>")
-    single = hashed.select("k1", "k2", "host", F.explode("hashes").alias("h")).distinct()  # equal rows are one page
-    counts = single.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    totals = pages.where("host is not null").select("k1", "k2", "host").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    templates = counts.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "h")
-    return single.join(templates, ["host", "h"]).groupBy("k1", "k2").agg(F.collect_list("h").alias("templates"))  # of one page
+        _hashes, "k1 long, k2 long, host string, content long, hashes array<long>")
+    single = hashed.select("k1", "k2", "host", "content", F.explode("hashes").alias("h")).distinct()  # equal rows are one page
+    counts = single.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    totals = hashed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    templates = counts.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("contents")).select("host", "h")
+    return single.join(own_exchange(templates, "h"), ["host", "h"]).groupBy("k1", "k2").agg(F.collect_list("h").alias("templates"))  # of one page
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

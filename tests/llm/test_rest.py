@@ -62,6 +62,17 @@ def test_templates_by_host(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_copies_keep_their_text(spark):
+    bodies = ["<div>All text of copy {}</div><section>in two boxes</section>", "<article><h1>Title</h1><div><p>Text {}</p><ul><li>item</li></ul></div></article>",
+              "<main><section>Text {} in a section</section></main>", "<p>Plain {}</p><table><tr><td>cell</td></tr></table>"]
+    rows = [(40 * n + k, f"http://copies{n}.example/{k}", f"<body>{b.format(n)}</body>") for n, b in enumerate(bodies) for k in range(40)]
+    rows += [(900 + k, f"http://mixed.example/{k}", f"<body><div>The box of the site</div><div>Own text {k if k < 20 else 7}</div></body>") for k in range(60)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = ["All text of copy 0\nin two boxes", "Title\nText 1\nitem", "Text 2 in a section", "Plain 3\ncell"]
+    assert all(got[40 * n + k] == w for n, w in enumerate(want) for k in range(40))
+    assert all(got[900 + k] == f"Own text {k if k < 20 else 7}" for k in range(60))
+
+
 # exact top-k
 
 
