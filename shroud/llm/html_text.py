@@ -3,7 +3,7 @@
 A page is read in one pass into blocks of text; every block knows the elements it lies in.  Each element that could be
 part of a site's template is hashed with all it holds.  Spark counts the hashes per host, once per distinct content
 (the text of the page's main blocks), so that copies of one page count as one and keep their text; an element whose
-hash recurs with at least ``MIN_PAGES`` contents and ``MIN_SHARE`` of those of its host is deleted with its text.  Paragraphs, headings and list items inside an article are never taken for a template (copies of one
+hash recurs with at least ``MIN_PAGES`` contents is deleted with its text, however many pages its host has.  Paragraphs, headings and list items inside an article are never taken for a template (copies of one
 article on a host stay), containers inside an article are.  Elements that are no article text by their own account
 (menus, headers and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) go by tag,
 role, class or id, however few pages a host has; so do blocks outside paragraphs and the like that are only a call
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import ROWS_AT_ONCE
 from .common import own_exchange, row_key
 
-MIN_PAGES, MIN_SHARE = 10, 0.05
+MIN_PAGES = 6  # distinct contents of a host
 
 # Element names and words of HTML
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -224,9 +224,8 @@ def template_elements(pages: DataFrame) -> DataFrame:
     hashed = pages.where("host is not null").select("k1", "k2", "host", "html").mapInArrow(
         _hashes, "k1 long, k2 long, host string, content long, hashes array<long>")
     single = hashed.select("k1", "k2", "host", "content", F.explode("hashes").alias("h")).distinct()  # equal rows are one page
-    counts = single.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    totals = hashed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
-    templates = counts.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("contents")).select("host", "h")
+    counts = single.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    templates = counts.where(F.col("n") >= MIN_PAGES).select("host", "h")
     return single.join(own_exchange(templates, "h"), ["host", "h"]).groupBy("k1", "k2").agg(F.collect_list("h").alias("templates"))  # of one page
 
 

@@ -73,6 +73,13 @@ def test_copies_keep_their_text(spark):
     assert all(got[900 + k] == f"Own text {k if k < 20 else 7}" for k in range(60))
 
 
+def test_templates_at_every_host_size(spark):
+    page = lambda host, k, boxed: (k, f"http://{host}.example/{k}", f"<body>{'<div>A box</div>' if boxed else ''}<div>{host} {k}</div></body>")
+    rows = [page("small", k, True) for k in range(6)] + [page("large", k, k % 50 == 0) for k in range(400)]
+    got = {r.url: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[url] == url[7:].replace(".example/", " ") for _, url, _ in rows)
+
+
 # exact top-k
 
 
