@@ -3,8 +3,8 @@
 A page is read in one pass into blocks of text; every block knows the elements it lies in.  Each element that could be
 part of a site's template is hashed with all it holds.  Spark counts the hashes per host, once per distinct content
 (the text of the page's main blocks), so that copies of one page count as one and keep their text; an element whose
-hash recurs with at least ``MIN_PAGES`` contents is deleted with its text, however many pages its host has.  Paragraphs, headings and list items inside an article are never taken for a template (copies of one
-article on a host stay), containers inside an article are.  Elements that are no article text by their own account
+hash recurs with at least ``MIN_PAGES`` contents is deleted with its text, however many pages its host has.  Paragraphs, headings and list items inside an article are never taken for a template (in other
+articles, quotations and near copies they recur as content), containers inside an article are.  Elements that are no article text by their own account
 (menus, headers and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) go by tag,
 role, class or id, however few pages a host has; so do blocks outside paragraphs and the like that are only a call
 (``CALLS``: "Read more").

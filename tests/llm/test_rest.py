@@ -80,6 +80,13 @@ def test_templates_at_every_host_size(spark):
     assert all(got[url] == url[7:].replace(".example/", " ") for _, url, _ in rows)
 
 
+def test_text_of_articles_is_not_counted(spark):
+    page = "<article><h2>Contents</h2><p>Paragraph of near copies</p><p>Sentence {}</p><ul><li>Salt</li><li>{}</li></ul><blockquote>A quotation</blockquote></article>"
+    rows = [(k, f"http://near.example/{k}", page.format(k, k)) for k in range(20)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Contents\nParagraph of near copies\nSentence 3\nSalt\n3\nA quotation"
+
+
 # exact top-k
 
 
