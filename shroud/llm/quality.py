@@ -2,8 +2,9 @@
 
 Every text gets five counts in one pass (row-local).  Two plain rules fail a document outright.  For the others an
 isolation forest, fitted on at most ``FIT_ROWS`` labelled rows, gives the mean path length over random splits: the
-shorter, the more anomalous.  The threshold is calibrated on all labelled rows: of the path lengths (in ``BINS``
-bins) that reject at most ``GOOD_LOST`` of the good rows, the one that rejects the most bad ones.
+shorter, the more anomalous.  The threshold is calibrated on all labelled rows that pass the plain rules: of the path
+lengths (in ``BINS`` bins) the one with the largest share of bad rows rejected less ``GOOD_WEIGHT`` times the share of
+good rows rejected.  There is no limit on good rows lost: more go wherever that rejects 20 times the share of bad ones.
 
 Null or empty texts have no words and fail the base rule.  Ids may be null or repeated; each row is judged by itself.
 Several labels of one id count as the worst of them; labels without id or quality are passed over.  Without labelled
@@ -188,9 +189,13 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
     good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
     for r in binned.groupBy("quality", "bin").count().collect():  # at most two rows a bin
         (good if r["quality"] else bad)[int(r["bin"]) + 1] += r["count"]
+    return Model(forest, float(best_bin(good, bad)) * top / BINS)
+
+
+def best_bin(good: np.ndarray, bad: np.ndarray) -> int:
+    """Bin up to which rows are rejected, by the weighted rule; from the good and bad rows in each bin."""
     lost, caught = np.cumsum(good), np.cumsum(bad)  # rows below the upper end of each bin
-    best = np.argmax(caught / max(1, bad.sum()) - GOOD_WEIGHT * lost / max(1, good.sum()))
-    return Model(forest, float(best) * top / BINS)
+    return int(np.argmax(caught / max(1, bad.sum()) - GOOD_WEIGHT * lost / max(1, good.sum())))
 
 
 def judge(stats: DataFrame, model: Model) -> DataFrame:

@@ -162,6 +162,13 @@ def test_quality_rules(spark):
     assert quality.quality_rules(df.limit(0), marked).count() == 0
 
 
+def test_threshold_weighs_good_rows_without_a_limit():
+    assert not hasattr(quality, "GOOD_LOST") and "GOOD_LOST" not in quality.__doc__ and "GOOD_WEIGHT" in quality.__doc__
+    assert quality.best_bin(np.array([0, 4, 96]), np.array([0, 100, 0])) == 1  # 100 % of the bad rows for 4 % of the good ones
+    assert quality.best_bin(np.array([0, 6, 94]), np.array([0, 100, 0])) == 0  # not for 6 %
+    assert quality.best_bin(np.array([0, 0, 100]), np.array([10, 30, 60])) == 1
+
+
 # chat
 
 
