@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 DIGEST = 16  # bytes a turn
-BLOCK = 4096  # conversations
+BLOCK = 1024  # conversations
 CHUNK = 512  # ids in a chunk of a parted node's ends
 SALTS = 32
 GROUP, MOST_BORROWED = 5, 9  # conversations that share a source, and how many of its turns (fewer than this) they take

@@ -19,6 +19,8 @@ from .simhash import near_duplicates
 from .suffix_dedup import removal_digests
 from .token_counts import token_counts
 from .top_k import top_k
+from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +63,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_chat": op2_chat,
@@ -76,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES: dict[str, str] = {
@@ -93,4 +105,44 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base, coalesce(text, '') AS text,
+                   substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest, turn
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS t FROM turns
+        ), convs AS (
+            SELECT conv_id, base, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0],
+                    lambda r, z: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)) AS crc
+            FROM (SELECT DISTINCT conv_id, base FROM turns)
+        ), sized AS (
+            SELECT c.conv_id, c.base, xor(crc, 4294967295) % 9 AS h, (SELECT count(*) FROM own b WHERE b.conv_id = c.base) AS given FROM convs c
+        ), whole AS (
+            SELECT s.conv_id, b.t AS d, b.text, b.digest FROM sized s JOIN own b ON b.conv_id = s.base AND b.t <= s.h
+            UNION ALL
+            SELECT s.conv_id, least(s.h, s.given) + o.t - s.h AS d, o.text, o.digest FROM sized s JOIN own o ON o.conv_id = s.conv_id AND o.t > s.h
+        ), prefixes AS (
+            SELECT conv_id, d, strlen(text) AS size, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d) AS p FROM whole
+            UNION ALL
+            SELECT conv_id, 0, 0, '' FROM convs
+        ), lengths AS (
+            SELECT conv_id, max(d) AS len FROM prefixes GROUP BY conv_id
+        ), nodes AS (
+            SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = len), '') AS ends
+            FROM prefixes JOIN lengths USING (conv_id) GROUP BY p, d
+        ), hung AS (
+            SELECT left(p, 32 * (d - 1)) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+        ), full_nodes AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN hung h ON h.p = n.p
+        ), below AS (
+            SELECT left(p, 32 * e) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * size) AS saved
+            FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_nodes) GROUP BY ALL
+        )
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves,
+               CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM full_nodes n JOIN below b ON b.p = n.p LEFT JOIN nodes u ON n.d > 0 AND u.p = left(n.p, 32 * (n.d - 1))
+    """,
 }
