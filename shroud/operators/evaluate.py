@@ -35,18 +35,20 @@ def eval_counts(gt: DataFrame, preds: DataFrame, match: str = "text", annotated:
 
     ``annotated``: a table of doc_id; where given, only predictions of these documents are scored (a ground truth that
     covers part of a corpus says nothing about the rest).  Default: every prediction is.
+
+    One pass: truth and predictions are counted side by side per key (partial sums before the only shuffle by key, so a key
+    that holds a third of all rows is one row a task), then per type.  A key with a null part matches nothing.
     """
     if annotated is not None:
         preds = preds.join(annotated.select("doc_id"), "doc_id", "left_semi")
     key = KEYS[match]
-    g, p = _keyed(gt, match), _keyed(preds, match)
-    gk, pk = g.distinct(), p.distinct()
-    tp = pk.join(gk, key, "left_semi").groupBy("entity_type").agg(F.count(F.lit(1)).alias("tp"))
-    fp = p.join(gk, key, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("fp"))
-    fn = g.join(pk, key, "left_anti").groupBy("entity_type").agg(F.count(F.lit(1)).alias("fn"))
-    types = eval_types(gt, preds)
-    out = types.join(tp, "entity_type", "left").join(fp, "entity_type", "left").join(fn, "entity_type", "left")
-    return out.select("entity_type", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("tp", "fp", "fn")])
+    sides = _keyed(gt, match).withColumns({"g": F.lit(1), "p": F.lit(0)}).unionByName(_keyed(preds, match).withColumns({"g": F.lit(0), "p": F.lit(1)}))
+    per_key = sides.groupBy(*key).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    matched = (F.col("g") > 0) & (F.col("p") > 0)
+    for c in key:
+        matched = matched & F.col(c).isNotNull()
+    figures = {"tp": F.when(matched, 1), "fp": F.when(~matched, F.col("p")), "fn": F.when(~matched, F.col("g"))}
+    return per_key.groupBy("entity_type").agg(*[F.sum(v.otherwise(0)).cast("long").alias(c) for c, v in figures.items()])
 
 
 def _ratio(num: Column, den: Column) -> Column:

@@ -12,14 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
+from shroud.functions.spans import empty_spans, resolve_overlaps_sql
 from shroud.functions.text import digit_class, normalize_sql, q, strip_sql
 from shroud.operators.detect import (
-    detect_gazetteer,
     detect_regex,
     detect_scored,
+    dictionary_index,
     explode_spans,
+    join_gazetteer,
+    with_gazetteer,
 )
-from shroud.operators.resolve import resolve_segment_spans
+from shroud.operators.resolve import KINDS, resolve_segment_spans
+from shroud.session import own_exchange, stored
 
 ALL_LAYERS = ("regex", "gazetteer", "scored")
 
@@ -34,10 +38,14 @@ def map_labels_inline_sql(spans: str, pairs=None) -> str:
     return f"filter({mapped}, mf -> mf.entity_type IS NOT NULL)"
 
 
-def row_local_spans(segments: DataFrame, layers: tuple[str, ...] = ("regex", "scored")) -> DataFrame:
-    """Regex and scored layers for each segment row as one ``spans`` array column (no shuffle)."""
+def row_local_spans(segments: DataFrame, layers: tuple[str, ...] = ("regex", "scored"), index: list | None = None) -> DataFrame:
+    """The layers for each segment row as one ``spans`` array column (no shuffle): regex, scored, and the gazetteer where its
+    ``index`` is given."""
     df = segments
     arrays = []
+    if "gazetteer" in layers and index is not None:
+        df = with_gazetteer(df, index, out="_g")
+        arrays.append("_g")
     if "regex" in layers:
         df = detect_regex(df, out="_r")
         arrays.append("_r")
@@ -45,27 +53,31 @@ def row_local_spans(segments: DataFrame, layers: tuple[str, ...] = ("regex", "sc
         df = detect_scored(df, out="_s")
         arrays.append(map_labels_inline_sql("_s"))
     col = f"concat({', '.join(arrays)})" if len(arrays) > 1 else arrays[0]
-    return df.select("*", F.expr(col).alias("spans")).drop("_r", "_s")
+    return df.select("*", F.expr(col).alias("spans")).drop("_r", "_s", "_g")
+
+
+def _index_of(dictionary: DataFrame | None, layers: tuple[str, ...]) -> list | None:
+    """The dictionary's index where it is small enough for every worker; an empty one where the layer is not asked for."""
+    return dictionary_index(dictionary) if "gazetteer" in layers and dictionary is not None else []
 
 
 def candidate_spans(segments: DataFrame, dictionary: DataFrame | None = None,
                     layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame:
     """Union of the layers as one relational span table (regex, gazetteer, scored).
 
-    The row-local layers are exploded together in one pass over the segments;
-    the gazetteer layer is a join and joins the union as a second branch.
+    All layers of a segment are exploded together in one pass, unless the dictionary is too large for the workers: then
+    the gazetteer is a join and joins the union as a second branch.
     """
+    return _candidates(segments, dictionary, layers, _index_of(dictionary, layers))
+
+
+def _candidates(segments: DataFrame, dictionary: DataFrame | None, layers: tuple[str, ...], index: list | None) -> DataFrame:
     seg = segments.select("doc_id", "segment_index", "text")
-    parts = []
-    row_local = tuple(l for l in layers if l in ("regex", "scored"))
-    if row_local:
-        parts.append(explode_spans(row_local_spans(seg, row_local)))
-    if "gazetteer" in layers and dictionary is not None:
-        parts.append(detect_gazetteer(seg, dictionary))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if index is not None:
+        return explode_spans(row_local_spans(seg, layers, index))
+    found = join_gazetteer(seg, dictionary)
+    row_local = tuple(l for l in layers if l != "gazetteer")
+    return explode_spans(row_local_spans(seg, row_local)).unionByName(found) if row_local else found
 
 
 def blocklist_sql(text: str) -> str:
@@ -95,10 +107,38 @@ def filter_spans(spans: DataFrame) -> DataFrame:
     return spans.where(F.expr(keep_sql("entity_type", "source", "text")))
 
 
+def segment_spans(segments: DataFrame, dictionary: DataFrame | None = None, layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame:
+    """C11 with the text: ``segments`` and their resolved ``spans: array<span>``.  All of it happens in the segment's row; beyond
+    the size of dictionary that a worker takes, spans are resolved on their own and join the segments (one shuffle of the text)."""
+    index = _index_of(dictionary, layers)
+    if index is not None:
+        return _resolved_in_row(segments, layers, index)
+    spans = resolve_segment_spans(filter_spans(_candidates(segments, dictionary, layers, None)))
+    span = F.struct(*[F.col(c).cast(k).alias(c) for c, k in KINDS.items()])
+    grouped = spans.groupBy("doc_id", "segment_index").agg(F.array_sort(F.collect_list(span)).alias("spans"))  # of one segment
+    return segments.join(grouped, ["doc_id", "segment_index"], "left").withColumn("spans", F.coalesce("spans", empty_spans()))
+
+
+def _resolved_in_row(segments: DataFrame, layers: tuple[str, ...], index: list) -> DataFrame:
+    kept = f"filter(spans, kf -> {keep_sql('kf.entity_type', 'kf.source', 'kf.text')})"
+    found = row_local_spans(segments, layers, index).withColumn("spans", F.expr(kept))
+    return found.withColumn("spans", F.expr(f"CASE WHEN size(spans) > 1 THEN {resolve_overlaps_sql('spans')} ELSE spans END"))
+
+
 def hybrid_spans(segments: DataFrame, dictionary: DataFrame | None = None,
                  layers: tuple[str, ...] = ALL_LAYERS) -> DataFrame:
-    """C11: resolved, non-overlapping spans per segment.  The layers' spans (not the text) are grouped per segment."""
-    return resolve_segment_spans(filter_spans(candidate_spans(segments, dictionary, layers)))
+    """C11: resolved, non-overlapping spans per segment.  No shuffle; beyond the size of dictionary that a worker takes, one
+    shuffle of spans (not of text)."""
+    seg, index = segments.select("doc_id", "segment_index", "text"), _index_of(dictionary, layers)
+    if index is None:
+        return resolve_segment_spans(filter_spans(_candidates(seg, dictionary, layers, None)))
+    return explode_spans(_resolved_in_row(seg, layers, index))
+
+
+def predicted(spans: str = "spans") -> Column:
+    """``predictions`` for an array of spans: texts stripped, empty ones dropped."""
+    return F.expr(f"filter(transform({spans}, ps -> named_struct('start', ps.start, 'end', ps.`end`, 'entity_type', ps.entity_type, "
+                  f"'text', {strip_sql('ps.text')})), pf -> length(pf.text) > 0)")
 
 
 def predictions(resolved: DataFrame) -> DataFrame:
@@ -112,12 +152,22 @@ def predictions(resolved: DataFrame) -> DataFrame:
 
 
 def detect_distinct(segments: DataFrame, detector) -> DataFrame:
-    """Run a row-local detector once per distinct text and join the spans back.
+    """Run a row-local detector once per distinct text; every segment gets the spans of its text.
 
-    A text is named by 128 bits of two hashes.  The first shuffle carries one text per task and hash (map-side
-    combine), the second hashes and spans only; of a text that a third of all rows repeat, AQE splits the rows.
+    A text is named by 128 bits of two hashes.  Hashes are counted first (partial counts before the shuffle); only hashes
+    found twice or more meet the segments, in a join where both sides have an exchange of their own, so that AQE can split
+    the rows of a hot text.  The first row of a repeated text and every other text keep their text, the detector runs once
+    over that, and its spans are stored; the other rows of a repeated text then get them by hash, without texts.
     """
     names = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("_h2")]
-    once = segments.select(*names, "text").groupBy("_h1", "_h2").agg(F.first("text").alias("text"))
-    spans = detector(once).select("_h1", "_h2", "spans").where(F.size("spans") > 0)  # adds array column "spans"
-    return segments.select("doc_id", "segment_index", *names).join(spans, ["_h1", "_h2"]).drop("_h1", "_h2")
+    named = segments.select("doc_id", "segment_index", "text", *names)
+    row = F.struct("doc_id", "segment_index")
+    repeated = named.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_first")).where("_n > 1").drop("_n")
+    flagged = named.join(own_exchange(repeated, "_h1", "_h2"), ["_h1", "_h2"], "left")
+    owns = F.coalesce(F.col("_first") == row, F.lit(True))
+    once = flagged.withColumns({"text": F.when(owns, F.col("text")).otherwise(""), "_owns": owns})
+    found = stored(detector(once).select("doc_id", "segment_index", "_h1", "_h2", "_owns", F.col("_first").isNotNull().alias("_shared"), "spans"))
+    own = found.where(F.col("_owns") & (F.size("spans") > 0))
+    given = own.where("_shared").select("_h1", "_h2", "spans")
+    others = found.where(~F.col("_owns")).select("doc_id", "segment_index", "_h1", "_h2").join(given, ["_h1", "_h2"])
+    return own.select("doc_id", "segment_index", "spans").unionByName(others.select("doc_id", "segment_index", "spans"))

@@ -575,12 +575,14 @@ FROM resolved r JOIN segments s ON r.doc_id = s.doc_id AND r.segment_index = s.s
 SELECT doc_id, segment_index, "start", "end", entity_type, text FROM secrets
 WHERE regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '[0-9]')"""
     q["web_spans"] = full(f"SELECT {SPAN_COLS} FROM resolved", sources=("pages", "conversations"))
-    q["overlap_pairs"] = full("""SELECT a.doc_id, a.segment_index, a."start" AS a_start, a."end" AS a_end,
-  a.entity_type AS a_entity_type, a.source AS a_source, b."start" AS b_start, b."end" AS b_end,
-  b.entity_type AS b_entity_type, b.source AS b_source
-FROM filtered a JOIN filtered b ON a.doc_id = b.doc_id AND a.segment_index = b.segment_index
-  AND a."start" < b."end" AND b."start" < a."end"
-  AND {'s': a."start", 'e': a."end", 'p': a.prio, 't': a.entity_type} < {'s': b."start", 'e': b."end", 'p': b.prio, 't': b.entity_type}""")
+    # every segment's spans once, in a list, and pairs from that: a join would find the spans twice
+    q["overlap_pairs"] = full("""SELECT doc_id, segment_index, a.s AS a_start, a.e AS a_end, a.t AS a_entity_type, a.src AS a_source,
+  b.s AS b_start, b.e AS b_end, b.t AS b_entity_type, b.src AS b_source
+FROM (SELECT doc_id, segment_index, a, unnest(l) AS b FROM (
+  SELECT doc_id, segment_index, l, unnest(l) AS a FROM (
+    SELECT doc_id, segment_index, list({'s': "start", 'e': "end", 'p': prio, 't': entity_type, 'src': source}) AS l
+    FROM filtered GROUP BY ALL HAVING count(*) > 1)))
+WHERE a.s < b.e AND b.s < a.e AND {'s': a.s, 'e': a.e, 'p': a.p, 't': a.t} < {'s': b.s, 'e': b.e, 'p': b.p, 't': b.t}""")
     q["resolve_overlaps"] = full(f"SELECT {SPAN_COLS} FROM resolved")
     q["overlap_islands"] = full("""SELECT doc_id, segment_index, "start", "end", entity_type, CAST(prio AS BIGINT) AS prio,
   CAST(sum(CASE WHEN pe IS NULL OR "start" >= pe THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment_index

@@ -54,6 +54,12 @@ def preds(spark, sf):
     return H.predictions(resolved(spark, sf))
 
 
+def found(spark, sf, keep=()):
+    """Segments with the predictions in them, stored."""
+    seg = segments(spark, sf).select("doc_id", "segment_index", *keep, "text")
+    return stored(H.segment_spans(seg, dictionary(spark, sf)).withColumn("spans", H.predicted()))
+
+
 def _long(df: DataFrame, *cols: str) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("long"))
@@ -109,10 +115,7 @@ def q_predictions(spark, sf):
 
 def q_redacted_documents(spark, sf):
     """Body and cells rewritten and put back; cells as one tab-separated string."""
-    d = docs(spark, sf)
-    seg = S.segment_all(d)
-    found = stored(H.predictions(H.hybrid_spans(seg, dictionary(spark, sf))))
-    rebuilt = R.rebuild_documents(d, R.redact_spans(seg, found, keep=("paragraph_index", "cell_index")))
+    rebuilt = R.rebuild_documents(docs(spark, sf), R.redact_found(found(spark, sf, ("paragraph_index", "cell_index")), keep=("paragraph_index", "cell_index")))
     return rebuilt.select("doc_id", "text", F.array_join("cells", "\t").alias("cells"))
 
 
@@ -241,8 +244,8 @@ def q_overlap_pairs(spark, sf):
 
 
 def q_resolve_overlaps(spark, sf):
-    """D2 through islands: the same spans as the fold over whole segments."""
-    return _spans_out(V.resolve_by_islands(H.filter_spans(candidates(spark, sf))))
+    """D2 over the sorted span table."""
+    return _spans_out(V.resolve_segment_spans(H.filter_spans(candidates(spark, sf))))
 
 
 def q_overlap_islands(spark, sf):
@@ -330,13 +333,11 @@ def q_redact_literal(spark, sf):
 
 
 def q_redact_spans(spark, sf):
-    return _long(R.redact_spans(segments(spark, sf), stored(preds(spark, sf))).select("doc_id", "segment_index", "redacted"),
-                 "segment_index")
+    return _long(R.redact_found(found(spark, sf)).select("doc_id", "segment_index", "redacted"), "segment_index")
 
 
 def q_leak_audit(spark, sf):
-    pairs = stored(R.replacement_pairs(preds(spark, sf)))
-    return _long(R.leak_audit(R.redact_literal(segments(spark, sf), pairs), pairs), "segment_index")
+    return _long(R.leak_audit(segments(spark, sf), R.replacement_pairs(preds(spark, sf))), "segment_index")
 
 
 # --- F: aggregations and evaluation ---------------------------------------------
@@ -365,7 +366,7 @@ def q_corpus_stats(spark, sf):
 def _gt_and_preds(spark, sf):
     """Ground truth of the planted documents, and every prediction of the corpus: what the detectors find in prose, which
     nobody planted, counts as false."""
-    return C.planted_truth(spark, sf), stored(preds(spark, sf))
+    return C.planted_truth(spark, sf), preds(spark, sf)
 
 
 def q_eval_types(spark, sf):

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -56,10 +57,33 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with its long ``keys`` passed through an expression, for the side of a join that was aggregated by them.  Spark
+    would read such a side where the aggregate left it, and AQE splits hot partitions of the other side only where
+    both have an exchange of their own."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of any store that Spark reads."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def paths_under(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder (a file itself); nothing if there is no such path."""
+    store, there = _path(spark, path)
+    return [str(s.getPath()) for s in store.listStatus(there)] if store.exists(there) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    store, there = _path(spark, path)
+    store.delete(there, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Delete what this application stored.  Results that still read it must be written first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, shared_folder(spark))
 
 
 def dealt(df: DataFrame) -> DataFrame:

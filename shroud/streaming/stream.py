@@ -3,9 +3,11 @@
 * ``redact_stream`` - documents arrive as a file stream.  Each micro-batch goes through the batch job itself (all three
   layers, body and cells, first-seen surrogates); documents are whole rows, so the batches' output together equals
   that of one batch over the same rows.
+* ``redact_segments_stream`` - segments arrive, so a document may be spread over batches.  Which type an original was first
+  seen with is keyed state (one map per document), so an original keeps its surrogate from batch to batch and over restarts.
 * ``entity_count_stream`` - hits per entity type per tumbling event-time window.  The watermark bounds how late a row
-  may arrive and lets go of closed windows; every batch writes the counts that it changed, and a reader takes
-  the last count of each window.
+  may arrive and lets go of closed windows.  A batch hands on the windows that are still open and writes those that closed
+  once and for all, so neither writing nor reading goes back to earlier batches.
 
 A batch writes a folder of its own name, so a repeated batch overwrites itself.  Give ``checkpoint`` and ``out`` to let a
 restarted query resume after its last committed batch; without them a run is a fresh one in the shared folder.
@@ -13,16 +15,19 @@ restarted query resume after its last committed batch; without them a run is a f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from shroud.functions.surrogate import salt_sql, surrogate_sql
 from shroud.operators.detect import detect_regex, explode_spans
 from shroud.operators.hybrid import hybrid_spans, predictions
-from shroud.operators.redact import redact_spans
-from shroud.session import fresh_path, stored
+from shroud.operators.redact import rebuild_sql, redact_spans
+from shroud.session import delete_path, fresh_path, paths_under, stored
 from shroud.sources import segments as S
 
 
@@ -61,6 +66,66 @@ def redact_stream(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None
     return spark.read.parquet(out).drop("batch")
 
 
+SPANS_JSON = "array<struct<start:int,end:int,entity_type:string,text:string>>"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FirstSeen(StatefulProcessor):
+    """Keyed by document: the type that each original was first seen with, in order of segments and places, over all batches.
+    The map's entries are read one by one, so a task never holds a document's whole map."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.types = handle.getMapState("types", "original string", "entity_type string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values("segment_index", kind="stable")  # of one document in one batch
+        known: dict[str, str] = {}
+        out = []
+        for spans in batch["spans"]:
+            found = json.loads(spans)
+            for span in sorted(found, key=lambda s: s["start"]):
+                original = span["text"]
+                if original not in known:
+                    if not self.types.containsKey((original,)):
+                        self.types.updateValue((original,), (span["entity_type"],))
+                    known[original] = self.types.getValue((original,))[0]
+                span["entity_type"] = known[original]
+            out.append(json.dumps(found))
+        yield batch.assign(spans=out)
+
+    def close(self) -> None:
+        pass
+
+
+def found_in_batch(segments: DataFrame, dictionary: DataFrame | None) -> DataFrame:
+    """(doc_id, segment_index, text, spans) of segments: predictions of all layers as JSON, in order; "[]" where there are none."""
+    segments = segments.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("segment_index").cast("int").alias("segment_index"), "text")
+    found = predictions(hybrid_spans(segments, dictionary)).groupBy("doc_id", "segment_index").agg(
+        F.to_json(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "text")))).alias("spans"))  # of one segment
+    return segments.join(found, ["doc_id", "segment_index"], "left").withColumn("spans", F.coalesce("spans", F.lit("[]")))
+
+
+def redact_segments_stream(spark: SparkSession, segments: DataFrame, dictionary: DataFrame | None = None, out: str | None = None,
+                           checkpoint: str | None = None, scope: str = "corpus") -> DataFrame:
+    """H1 over a stream of segments (doc_id, segment_index, text), run to completion: (doc_id, segment_index, redacted).
+
+    Two queries, one after the other, each with its own checkpoint: detection by the batch job, micro-batch by micro-batch,
+    and first-seen types by keyed state, from which surrogates and texts follow row by row.  As long as segments of a document
+    arrive in order, the result is that of one batch, however they are dealt to batches.
+    """
+    out, checkpoint = out or fresh_path(spark, "stream-segments"), checkpoint or fresh_path(spark, "stream-checkpoint")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    by_batch(segments.writeStream, lambda batch: found_in_batch(batch, dictionary), f"{out}/found", f"{checkpoint}/found")
+    kinds = "doc_id long, segment_index int, text string, spans string"
+    found = spark.readStream.schema(kinds + ", batch int").parquet(f"{out}/found").drop("batch")
+    typed = found.groupBy("doc_id").transformWithStateInPandas(FirstSeen(), kinds, "append", "none")
+    surrogates = f"transform(spans, sp -> named_struct('start', sp.start, 'end', sp.`end`, 'surrogate', {surrogate_sql('sp.entity_type', 'sp.text', salt_sql(scope))}))"
+    shown = f"CASE WHEN size(spans) = 0 THEN text ELSE {rebuild_sql('text', 'replaced')} END"
+    redacted = typed.withColumn("spans", F.from_json("spans", SPANS_JSON)).withColumn("replaced", F.expr(surrogates)).select("doc_id", "segment_index", F.expr(shown).alias("redacted"))
+    by_batch(redacted.writeStream, lambda batch: batch, f"{out}/redacted", f"{checkpoint}/redacted")
+    return spark.read.parquet(f"{out}/redacted").drop("batch")
+
+
 def event_texts(df: DataFrame) -> DataFrame:
     """Planted event text: one EMAIL and one IP per event."""
     return df.select(
@@ -84,18 +149,42 @@ def entity_counts_by_window(events: DataFrame, window: str = "1 day", watermark:
     )
 
 
+COUNTS = "window_start string, entity_type string, n long"
+
+
+def settle_counts(changed: DataFrame, number: int, out: str, window: str, watermark: str) -> None:
+    """Batch ``number`` of windowed counts: ``open/`` gets the last count of every window that may still change, ``closed/`` the
+    others, for good.  A window is closed once it ends before the latest window's start less the delay: the stream's own
+    watermark is at least that, so no later batch can change it.  Only the open windows of the batch before are read."""
+    spark = changed.sparkSession
+    before = f"{out}/open/batch={number - 1}"
+    held = spark.read.schema(COUNTS).parquet(before) if paths_under(spark, before) else spark.createDataFrame([], COUNTS)
+    counts = stored(held.join(changed, ["window_start", "entity_type"], "left_anti").unionByName(changed), "open-windows")
+    start = F.to_timestamp("window_start")
+    latest = counts.select(F.max(start)).scalar()
+    over = start + F.expr(f"INTERVAL {window}") <= latest - F.expr(f"INTERVAL {watermark}")
+    counts.where(over).write.mode("overwrite").parquet(f"{out}/closed/batch={number}")
+    counts.where(~over).write.mode("overwrite").parquet(f"{out}/open/batch={number}")  # last: it says that the batch is whole
+    delete_path(spark, f"{out}/open/batch={number - 2}")
+
+
 def last_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The last count that any batch wrote for a window and type."""
-    last = Window.partitionBy("window_start", "entity_type").orderBy(F.col("batch").desc())
-    written = spark.read.parquet(out).withColumn("_k", F.row_number().over(last))
-    return written.where("_k = 1").select("window_start", "entity_type", "n")
+    """The last count of every window and type: what closed up to the last whole batch, and what was open after it."""
+    whole = [int(p.rsplit("=", 1)[1]) for p in paths_under(spark, f"{out}/open") if paths_under(spark, f"{p}/_SUCCESS")]
+    if not whole:
+        return spark.createDataFrame([], COUNTS)
+    closed = spark.read.schema(COUNTS + ", batch int").parquet(f"{out}/closed").where(F.col("batch") <= max(whole)).drop("batch")
+    return closed.unionByName(spark.read.schema(COUNTS).parquet(f"{out}/open/batch={max(whole)}"))
 
 
-def entity_count_stream(spark: SparkSession, sf_dir: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """H2: windowed counts over the events stream, run to completion."""
+def entity_count_stream(spark: SparkSession, sf_dir: str, out: str | None = None, checkpoint: str | None = None,
+                        window: str = "1 day", watermark: str = "1 hour", files: int | None = None) -> DataFrame:
+    """H2: windowed counts over the events stream, run to completion; at most ``files`` files a batch."""
     out = out or fresh_path(spark, "stream-counts")
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(_one(sf_dir, "events"))
-    by_batch(entity_counts_by_window(events).writeStream.outputMode("update"), lambda batch: batch, out,
-             checkpoint or fresh_path(spark, "stream-checkpoint"))
+    reader = spark.readStream.schema(schema)
+    events = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(_one(sf_dir, "events"))
+    writer = entity_counts_by_window(events, window, watermark).writeStream.outputMode("update")
+    (writer.foreachBatch(lambda batch, number: settle_counts(batch, number, out, window, watermark))
+     .option("checkpointLocation", checkpoint or fresh_path(spark, "stream-checkpoint")).trigger(availableNow=True).start().awaitTermination())
     return last_counts(spark, out)

@@ -34,3 +34,26 @@ def test_report_text(spark):
     assert lines[0].split() == [c for c in report.columns if c != "is_aggregate"]
     assert [x.split()[0] for x in lines[1:]] == ["EMAIL", "ORG", "PERSON", "SSN", "AGGREGATE"]
     assert lines[-1].split()[1:5] == ["0.4000", "0.5000", "0.4444", "0.2857"]
+
+
+def test_counts_equal_plain_sets(spark):
+    import random
+    from collections import Counter
+
+    rnd = random.Random(6)
+    row = lambda: (rnd.randrange(3), 0, 0, 4, rnd.choice("ABC"), rnd.choice(["x", " X", "y", "z", "zz", "hot"]))
+    truth, found = [row() for _ in range(60)], [row() for _ in range(200)] + [(0, 0, 0, 3, "A", "hot")] * 2000
+    key = lambda r: (r[4], r[5].strip().lower())
+    t, p = Counter(map(key, truth)), Counter(map(key, found))
+    got = {r.entity_type: (r.tp, r.fp, r.fn) for r in eval_metrics(spark.createDataFrame(truth, SCHEMA), spark.createDataFrame(found, SCHEMA)).collect()}
+    for kind in "ABC":
+        assert got[kind] == (sum(k in t for k in p if k[0] == kind), sum(n for k, n in p.items() if k[0] == kind and k not in t),
+                             sum(n for k, n in t.items() if k[0] == kind and k not in p))
+
+
+def test_one_shuffle_by_key(spark):
+    from shroud.operators.evaluate import eval_counts
+
+    plan = eval_counts(spark.createDataFrame(TRUTH, SCHEMA), spark.createDataFrame(FOUND, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
+    assert plan.index("Exchange") < plan.index("partial_sum", plan.index("Exchange"))  # combined before the shuffle

@@ -108,3 +108,28 @@ def test_overlap_pairs_matches_brute_force(spark):
 def test_empty_array(spark):
     df = spark.createDataFrame([(1,)], "x int").select(F.expr(resolve_overlaps_sql(f"cast(array() as {SPANS_TYPE})")).alias("r"))
     assert df.first().r == []
+
+
+def test_a_segment_of_many_spans_streams_through(spark):
+    """Batches smaller than a segment: the last kept span goes from batch to batch."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(3)
+        rows = span_rows(random_segments(60, rnd)) + [(99, 0, 3 * k, 3 * k + rnd.choice([2, 3, 5, 9]), "T", "x", 1.0, "src", 0) for k in range(5000)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        by_row = df.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "entity_type", "text", "score", "source", "prio")).alias("s"))
+        want = {r.doc_id: [(s.start, s.end) for s in r.s] for r in by_row.select("doc_id", F.expr(resolve_overlaps_sql("s")).alias("s")).collect()}
+        assert kept(resolve_segment_spans(df)) == {k: sorted(v) for k, v in want.items()}
+        got = {(r.doc_id, r.a_start, r.a_end, r.b_start, r.b_end) for r in overlap_pairs(df.where("doc_id = 99")).collect()}
+        spans = sorted({(s, e) for d, _, s, e, *_ in rows if d == 99})
+        assert got == {(99, *a, *b) for i, a in enumerate(spans) for b in spans[i + 1:i + 5] if b[0] < a[1]}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_no_segment_is_gathered(spark):
+    df = spark.createDataFrame(span_rows(random_segments(5, random.Random(1))), SCHEMA)
+    for out in (resolve_segment_spans(df), overlap_pairs(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and plan.count("Exchange") == 1
