@@ -33,8 +33,9 @@ ONE_LETTER = "stmd"
 TWO_LETTERS = ["re", "ve", "ll"]
 
 BATCH_CODE_POINTS = 1 << 19  # code points handled at once; a longer document is cut where the pattern must cut
-CACHE_BITS = 21
-CACHE_ENTRIES = 1_000_000  # pieces a worker remembers; a full cache starts anew
+CACHE_BITS = 21  # slots of the table of pieces
+CACHE_ENTRIES = 1 << 20  # pieces a worker remembers, half the slots; the table starts anew before it would hold more
+AT_ONCE = 1 << 18  # pieces that are looked up and remembered together
 MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 NEVER = np.iinfo(np.int64).max
 MERGED_AT_ONCE = 16_384  # pieces
@@ -171,34 +172,40 @@ class Pretokenizer:
         first[1:] = np.cumsum(token)[np.searchsorted(at, ends)]
         return joined.encode("utf-8"), starts, stops, first
 
-    def batches(self, texts: list[str]) -> Iterator[list[list[str]]]:
-        """Texts in groups of bounded size; a long text comes as several parts, cut before white space that
-        follows something else, where every token ends whatever comes next."""
+    def batches(self, texts: list[str]) -> Iterator[list[tuple[str, bool]]]:
+        """(part, is it the last of its text) in groups of about ``BATCH_CODE_POINTS``.  A long text comes as several parts, in
+        as many groups as it takes, cut where a token ends whatever comes next."""
         group, held = [], 0
         for text in texts:
-            parts = [text] if len(text) <= 4 * BATCH_CODE_POINTS else list(self._parts(text))
-            size = sum(map(len, parts))
-            if group and held + size > BATCH_CODE_POINTS:
-                yield group
-                group, held = [], 0
-            group.append(parts)
-            held += size + 1
+            for part, last in self._parts(text):
+                if group and held + len(part) > BATCH_CODE_POINTS:
+                    yield group
+                    group, held = [], 0
+                group.append((part, last))
+                held += len(part) + 1
         if group:
             yield group
 
-    def _parts(self, text: str) -> Iterator[str]:
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Cuts lie before white space that follows something else, and behind a run of letters or numbers.  (Others may go on
+        into a contraction.)  A run of one class without end is one part: it is one token to merge."""
         begin = 0
         while len(text) - begin > 2 * BATCH_CODE_POINTS:
             at = begin + BATCH_CODE_POINTS
-            kinds = self.classes[np.frombuffer(text[at - 1:at + BATCH_CODE_POINTS].encode("utf-32-le"), np.uint32)]
-            white = (kinds == SPACE) | (kinds == WHITE)
-            cut = np.flatnonzero(white[1:] & ~white[:-1])
-            if not len(cut):
+            while at < len(text):
+                kinds = self.classes[np.frombuffer(text[at - 1:at + BATCH_CODE_POINTS].encode("utf-32-le"), np.uint32)]
+                white = (kinds == SPACE) | (kinds == WHITE)
+                run = (kinds == LETTER) | (kinds == NUMBER)
+                cut = np.flatnonzero(white[1:] & ~white[:-1] | run[:-1] & (kinds[1:] != kinds[:-1]))
+                if len(cut):
+                    break
+                at += BATCH_CODE_POINTS
+            if at >= len(text):
                 break
             at += int(cut[0])
-            yield text[begin:at]
+            yield text[begin:at], False
             begin = at
-        yield text[begin:]
+        yield text[begin:], True
 
 
 class Merger:
@@ -385,10 +392,25 @@ class Merger:
         mixed = (mixed ^ (mixed >> np.uint64(29)) ^ size.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         return keys, (mixed >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
 
+    def ids(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces ``data[start:stop]``, one after the other, and their numbers."""
+        parts, counts = [], []
+        for at in range(0, len(starts), AT_ONCE):
+            numbers = self.numbers(data, starts[at:at + AT_ONCE], stops[at:at + AT_ONCE])
+            begin = self.first[numbers]
+            count = self.first[numbers + 1] - begin
+            upto = np.cumsum(count)
+            parts.append(self.flat[np.arange(upto[-1]) + np.repeat(begin - (upto - count), count)])
+            counts.append(count)
+        if not parts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(parts), np.concatenate(counts)
+
     def numbers(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Number of every piece ``data[start:stop]``, merging those not yet known.  Pieces of up to 24 bytes are
-        looked up all at once: their bytes as three words, compared exactly in an open-addressing table."""
-        if self.pieces > CACHE_ENTRIES or self.used > 8 * CACHE_ENTRIES:
+        looked up all at once: their bytes as three words, compared exactly in an open-addressing table, which is at
+        most half full: at most ``AT_ONCE`` pieces come in a call."""
+        if self.pieces + len(starts) > CACHE_ENTRIES or self.used > 8 * CACHE_ENTRIES:
             self.forget()
         lengths = stops - starts
         out = np.full(len(starts), -1, np.int64)
@@ -451,21 +473,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (unsigned 32 bits) of every text."""
-        merger = self.merger
+        held: list[np.ndarray] = []  # of a text whose last part is still to come
         for group in self.cutter.batches(texts):
-            parts = [p for text in group for p in text]
-            data, starts, stops, first = self.cutter.cut(parts)
-            numbers = merger.numbers(data, starts, stops)
-            begin = merger.first[numbers]
-            count = merger.first[numbers + 1] - begin
-            upto = np.zeros(len(count) + 1, np.int64)
-            np.cumsum(count, out=upto[1:])
-            ids = merger.flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], count)]
-            bounds = upto[first].tolist()
-            at = 0
-            for text in group:
-                yield ids[bounds[at]:bounds[at + len(text)]]
-                at += len(text)
+            data, starts, stops, first = self.cutter.cut([part for part, _ in group])
+            ids, count = self.merger.ids(data, starts, stops)
+            bounds = np.append(0, np.cumsum(count))[first].tolist()
+            for k, (_, last) in enumerate(group):
+                held.append(ids[bounds[k]:bounds[k + 1]])
+                if last:
+                    yield np.concatenate(held) if len(held) > 1 else held[0]
+                    held = []
 
     def ends(self, ids: np.ndarray) -> np.ndarray:
         """Byte offset behind every token."""

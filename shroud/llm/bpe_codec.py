@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, json_file, rank_file
 
 ROWS_AT_ONCE = 512
+TOKENS_AT_ONCE = 1 << 18
 
 _encoders: dict[str, Encoder] = {}
 _pieces: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -57,9 +58,13 @@ def pieces_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def laid_out(pieces: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> bytes:
     """The bytes of the tokens, each put where its offset says."""
     flat, begin, _ = pieces
-    size = np.diff(ends, prepend=0)
-    n = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(n) + np.repeat(begin[ids] - (ends - size), size)].tobytes()
+    out = []
+    for at in range(0, len(ids), TOKENS_AT_ONCE):
+        some, stops = ids[at:at + TOKENS_AT_ONCE], ends[at:at + TOKENS_AT_ONCE].astype(np.int64)
+        upto = int(ends[at - 1]) if at else 0
+        size = np.diff(stops, prepend=upto)
+        out.append(flat[np.arange(upto, int(stops[-1])) + np.repeat(begin[some] - (stops - size), size)].tobytes())
+    return b"".join(out)
 
 
 def _packed(ends: np.ndarray) -> bytes:

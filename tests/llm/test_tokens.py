@@ -65,6 +65,42 @@ def test_long_texts_are_cut_where_the_pattern_must_cut(library, monkeypatch):
     assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_cut_where_no_white_space_is(library, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_CODE_POINTS", 16)
+    own = bpe.Encoder(bpe.rank_file(open(RANKS, "rb").read()))
+    texts = ["a1" * 300, "ab'sx'll1'" * 90, "1!'re" * 100, "it's''s'" * 70, "\n" * 500 + "x", "!?" * 300 + "'s", "é½" * 200]
+    assert [x.tolist() for x in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert max(len(part) for group in own.cutter.batches(["a1" * 3000]) for part, _ in group) <= 3 * 16
+
+
+def test_more_distinct_pieces_than_the_table_has_slots(library):
+    """The table of pieces is emptied in time, whatever one text holds, and between texts."""
+    own = bpe.Encoder(bpe.rank_file(open(RANKS, "rb").read()))
+    texts = [" ".join(map(str, range(10**6, 10**6 + 2_300_000))), " ".join(map(str, range(4 * 10**6, 4 * 10**6 + 700_000)))]
+    for text in texts:
+        ids = next(own.encode([text]))
+        assert own.merger.pieces <= bpe.CACHE_ENTRIES and (own.merger.held >= 0).mean() <= 0.5
+        assert own.decode(ids) == text.encode()
+    for at in range(0, len(texts[0]), 4_000_000):  # the library, on stretches between two spaces
+        begin, end = texts[0].find(" ", at), texts[0].find(" ", at + 40_000)
+        assert next(own.encode([texts[0][begin:end]])).tolist() == library.encode_ordinary(texts[0][begin:end])
+
+
+def test_memory_follows_the_batch_not_the_text():
+    import tracemalloc
+
+    own = bpe.Encoder(bpe.rank_file(open(RANKS, "rb").read()))
+    next(own.encode(["warm up"]))
+    peaks = []
+    for words in (400_000, 1_600_000):
+        text = "some words " * words
+        tracemalloc.start()
+        ids = next(own.encode([text]))
+        peaks.append(tracemalloc.get_traced_memory()[1] - 3 * ids.nbytes)  # the ids, their parts and what joins them
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + (20 << 20)
+
+
 def test_digests_and_round_trip(spark, library):
     got = digests(rows_of(spark), RANKS).collect()
     want = []
