@@ -13,7 +13,7 @@ import pytest
 
 from shroud.llm import quality
 from shroud.llm.chat import SCHEMAS, canonical, format_chat, references, tool_turns, violations
-from shroud.llm.html_text import extract, main_text, parse
+from shroud.llm.html_text import MIN_PAGES, extract, parse
 from shroud.llm.simhash import fingerprint
 from shroud.llm.top_k import Index, top_k
 
@@ -21,7 +21,7 @@ from shroud.llm.top_k import Index, top_k
 
 
 def text_of(html):
-    return main_text(parse(html).blocks, set())
+    return parse(html).text()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No &amp; no</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
@@ -87,6 +87,77 @@ def test_text_of_articles_is_not_counted(spark):
     assert got[3] == "Contents\nParagraph of near copies\nSentence 3\nSalt\n3\nA quotation"
 
 
+def test_classes_name_what_an_element_is():
+    article = "<article><h1>T</h1><p>text</p></article>"
+    assert text_of(f'<div class="layout has-sidebar">{article}<div class="sidebar">no</div></div>') == "T\ntext"
+    assert text_of('<div class="post no-comments"><p>text</p></div>') == "text"
+    assert text_of(f'<div id="sidebar">{article}</div>') == "T\ntext"  # it holds the only article
+    assert text_of(f'<div id="sidebar">{article}<p class="ad">no</p></div><p>out') == "T\ntext"
+    assert text_of(f'{article}<div class="related-posts"><article><p>no</p></article></div>') == "T\ntext"
+    assert text_of('<article><div class="entry-header"><h1>T</h1></div><p>x</p><div class="siteFooter">no</div></article>') == "T\nx"
+    assert text_of('<div class="site-header">no</div><div class="adsBox">no</div><div class="shadow">yes</div>') == "yes"
+
+
+def test_reader_comments_in_articles_go():
+    assert text_of('<article><p>text</p></article><article class="comment"><p>no</p></article>') == "text"
+    assert text_of('<article id="comment-12"><p>no</p></article><p>text</p>') == "text"
+    assert text_of('<main><p>text</p><article class="comment-body reply"><p>no</p></article></main>') == "text"
+
+
+def test_inline_elements_end_where_they_end():
+    assert text_of('<p>Hello <span class="ad">x <i>y</span> world</p>') == "Hello world"
+    assert text_of('<p>See the <a class="related" href="/r">earlier report</a> on this.</p>') == "See the earlier report on this."
+    assert text_of('<div>Text <a class="share" href="#">Share</a></div>') == "Text"
+    assert text_of('<p>a <b aria-hidden="true">no</b> b <span hidden>no</span> c</p><p>d <em class="ad">no</p><p>e</p>') == "a b c\nd\ne"
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    took = []
+    for levels in (20_000, 80_000):
+        source = "<div>x" * levels + "</b></td>" * levels
+        begin = time.process_time()
+        page = parse(source)
+        took.append(time.process_time() - begin)
+        assert len(page.blocks) == levels == len(page.tree)
+        assert page.text({page.tree[1][0]}) == "x"
+    assert took[1] < 8 * took[0]
+
+
+def test_counting_equals_plain_subtree_counter(spark):
+    """Against a counter over nested tuples: subtrees compared whole, deleted where they recur with enough texts."""
+    rng = random.Random(4)
+    shared = [("section", [("p", [f"shared {k}"]), ("div", [f"box {k}"])]) for k in range(4)]
+
+    def tree(k):
+        parts = [rng.choice(shared) for _ in range(rng.randrange(3))] + [("div", [f"own {k} {n}"]) for n in range(2)]
+        rng.shuffle(parts)
+        return ("div", parts)
+
+    def written(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(written, node[1]))}</{node[0]}>"
+
+    def texts(node, gone=()):
+        if isinstance(node, str):
+            return [node]
+        return [] if repr(node) in gone else [t for child in node[1] for t in texts(child, gone)]
+
+    def subtrees(node):
+        return set() if isinstance(node, str) else {repr(node)}.union(*(subtrees(c) for c in node[1]))
+
+    pages = {(host, k): tree(f"{host}{k}") for host in "ab" for k in range(8 if host == "a" else 60)}
+    pages["a", 100] = pages["a", 0]  # a copy counts once
+    seen = collections.defaultdict(set)
+    for (host, _), node in pages.items():
+        for s in subtrees(node):
+            seen[host, s].add("\n".join(texts(node)))
+    rows = [(k, f"http://{host}.example/{k}", f"<body>{written(node)}</body>") for (host, k), node in pages.items()]
+    got = {(r.url[7], r.page_id): r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    gone = {host: {s for (h, s), found in seen.items() if h == host and len(found) >= MIN_PAGES} for host in "ab"}
+    assert gone["b"] and got == {(host, k): "\n".join(texts(node, gone[host])) for (host, k), node in pages.items()}
+
+
 # exact top-k
 
 
