@@ -4,13 +4,15 @@ Vectors are integers (floor of 1024 times a component).  Rows are packed into bl
 itself: for each dimension the components are quantised towards zero to ``LEVELS`` levels, and the vectors of one
 level of one dimension are a posting segment.  For a query, segments come in descending order of their quantised
 impact on the score.  After each round the score so far, and bounds on what the open segments and the lost low bits can
-still add or take, prove which vectors may be among the k best; work stops only when those are few (or no segment is
-left), and they are rescored exactly.  The k best of every block meet in one ranking per query.
+still add or take (by the largest open impacts, and by the length of each vector's untold rest times the query's), prove
+which vectors may be among the k best; work stops only when those are a tenth of the block (or no segment is left), and they
+are rescored exactly.  The k best of every block meet in one ranking per query.
 
 Each block of vectors meets each block of queries once (queries are a stated set, about a hundredth of the rows).
-Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without id.  Ids may
+Vectors that are null or hold a null or non-finite component take no part, nor do rows without id; an empty vector scores
+zero with all.  Ids may
 be repeated: a query's own row is left out, another row of the same id is not.  Vectors of different lengths are
-compared as if the shorter one went on with zeros.
+compared as if the shorter one went on with zeros.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +28,16 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SCALE = 1024
-LEVELS = 16
-ROUNDS = 12
+LEVELS = 128
+ROUNDS = 16
 BLOCK = 8192  # vectors in a block
 QUERIES = 512  # queries in a block
+MOST_TASKS = 8192
 
 
 class Index:
-    """Posting segments of one block: for each dimension and quantised level the vectors that have it."""
+    """Posting segments of one block: for each dimension and quantised level the vectors that have it.  Beside each posting
+    stands by how much it lowers the squared length of what the index has not told of its vector yet."""
 
     def __init__(self, vectors: np.ndarray) -> None:
         self.vectors = vectors
@@ -41,8 +45,9 @@ class Index:
         top = int(np.abs(vectors).max(initial=0))
         self.shift = max(0, top.bit_length() - (LEVELS - 1).bit_length())
         level = np.sign(vectors) * (np.abs(vectors) >> self.shift)
+        told = (vectors.astype(float) ** 2 - (vectors - (level << self.shift)).astype(float) ** 2)
         order = np.argsort(level, axis=0, kind="stable")
-        dim, value, first, post = [], [], [], []
+        dim, value, first, post, gain = [], [], [], [], []
         at = 0
         for d in range(dims):
             ranked = level[order[:, d], d]
@@ -51,10 +56,14 @@ class Index:
             value.append(ranked[edge])
             first.append(at + edge)
             post.append(order[:, d])
+            gain.append(told[order[:, d], d])
             at += n
         self.dim, self.value, self.first = np.concatenate(dim), np.concatenate(value), np.concatenate(first)
-        self.post = np.concatenate(post)
+        self.post, self.gain = np.concatenate(post), np.concatenate(gain)
         self.count = np.diff(np.append(self.first, at))
+        self.begin = np.flatnonzero(np.r_[True, self.dim[1:] != self.dim[:-1]])  # first segment of each dimension
+        self.length2 = (vectors.astype(float) ** 2).sum(axis=1)
+        self.last: tuple[int, int] = (0, 0)  # rounds and rescored vectors of the last query
 
     def top(self, query: np.ndarray, k: int, leave: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best vectors (more where scores tie), without place ``leave``."""
@@ -64,24 +73,34 @@ class Index:
         order = np.argsort(-np.abs(impact), kind="stable")
         order = order[impact[order] != 0]
         rounds = np.cumsum(self.count[order]) * ROUNDS // max(1, int(self.count[order].sum()) + 1)
-        score = np.zeros(n)
-        few = max(4 * k, n // 32)
+        score, untold = np.zeros(n), self.length2.copy()
+        open_, low = np.ones(len(impact), bool), lost[self.dim]
+        size = float(np.sqrt((query.astype(float) ** 2).sum()))
+        few = max(4 * k, n // 10)
         maybe = np.arange(n)
         for r in range(ROUNDS):
             part = order[rounds == r]
-            size = self.count[part]
-            index = np.arange(size.sum()) + np.repeat(self.first[part] - (np.cumsum(size) - size), size)
-            score += np.bincount(self.post[index], np.repeat(impact[part], size), n)
-            left = order[rounds > r]
-            up, down = lost.astype(float), lost.astype(float)
-            open_impact, open_dim = impact[left], self.dim[left]
-            np.maximum.at(up, open_dim, np.where(open_impact > 0, open_impact + lost[open_dim], 0))
-            np.maximum.at(down, open_dim, np.where(open_impact < 0, lost[open_dim] - open_impact, 0))
-            floor = score - down.sum()
+            if not len(part):
+                continue
+            part = np.sort(part)  # segments of one dimension that lie side by side are read as one stretch
+            cut = np.flatnonzero(np.diff(part) != 1) + 1
+            heads, tails = part[np.append(0, cut)].tolist(), part[np.append(cut - 1, len(part) - 1)].tolist()
+            reach = [slice(self.first[a], self.first[b] + self.count[b]) for a, b in zip(heads, tails)]
+            post = np.concatenate([self.post[x] for x in reach])
+            score += np.bincount(post, np.repeat(impact[part], self.count[part]), n)
+            untold -= np.bincount(post, np.concatenate([self.gain[x] for x in reach]), n)
+            open_[part] = False
+            up = np.maximum.reduceat(np.where(open_ & (impact > 0), impact + low, low), self.begin)
+            down = np.maximum.reduceat(np.where(open_ & (impact < 0), low - impact, low), self.begin)
+            # two bounds on what is still open: the largest impacts by dimension, and the lengths of the query and of each
+            # vector's untold rest (rounded up: lengths are doubles)
+            rest = size * np.sqrt(np.maximum(untold, 0)) * (1 + 1e-9) + 1
+            floor = score - np.minimum(rest, down.sum())
             if leave >= 0:
                 floor[leave] = -np.inf
             least = np.partition(floor, n - min(k, n))[n - min(k, n)]
-            maybe = np.flatnonzero(score + up.sum() >= least)  # proof: all others are below k vectors
+            maybe = np.flatnonzero(score + np.minimum(rest, up.sum()) >= least)  # proof: all others are below k vectors
+            self.last = (r + 1, len(maybe))
             if len(maybe) <= few:
                 break
         maybe = maybe[maybe != leave]
@@ -95,7 +114,7 @@ class Index:
 def blocks(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(block, dims, ids, vectors): rows that take part, packed; a block's number and a place name a row."""
     fine = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & fine).select(
+    whole = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +123,7 @@ def blocks(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             for at in range(0, batch.num_rows, BLOCK):
                 rows = batch.slice(at, BLOCK)
                 vectors = rows.column(1).to_pylist()
-                dims = max(map(len, vectors))
+                dims = max(1, *map(len, vectors))
                 packed = np.zeros((len(vectors), dims), "<i8")
                 for k, v in enumerate(vectors):
                     packed[k, :len(v)] = v
@@ -168,7 +187,8 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     slots = max(1, packed.count())
     asked = query_blocks(packed, every).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     slotted = packed.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int"))
-    met = slotted.join(asked, "slot").sortWithinPartitions("block")
+    tasks = min(slots, MOST_TASKS)  # named, so that little bytes with much work are not put together
+    met = slotted.repartition(tasks, "slot").join(asked.repartition(tasks, "slot"), "slot").sortWithinPartitions("block")
     found = met.mapInArrow(_search(k), "q_block long, place long, query_id long, vec_id long, score long")
     best = Window.partitionBy("q_block", "place").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
