@@ -8,13 +8,15 @@ errors and do not order.  Every message becomes one line of canonical JSON (sort
 are), with its place as two sort keys, so that a conversation of any size is never gathered in one task.
 
 Null conversations are kept as one conversation without name; null turns stand first; null texts, names and contents
-are "".  Arguments that are null or no JSON object fail validation.  Results without call and calls without result
+are "".  Arguments that are null or no JSON object fail validation; so do NaN and infinite numbers, which JSON does not have,
+and what nests too deep to be read.  Lone surrogates stay as escapes.  An empty table gives no messages.  Results without call and calls without result
 stay, with a status that says so.  Repeated rows stay, one of them linked.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -24,16 +26,33 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+SURROGATE = re.compile("[\ud800-\udfff]")
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return SURROGATE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
+def _no_number(word: str) -> None:
+    raise ValueError(f"{word} is no JSON")
+
+
+def read_arguments(raw: str | None) -> tuple[Any, str | None, set[str], str | None]:
+    """(value, canonical text, references, error) of the arguments of a call."""
+    try:
+        value = json.loads(raw or "", parse_constant=_no_number)
+        return value, canonical(value), references(value), None if isinstance(value, dict) else "no JSON object"
+    except ValueError:
+        return None, None, set(), "no JSON object"
+    except RecursionError:
+        return None, None, set(), "nested too deep"
 
 
 def violations(value: Any, schema: dict, at: str = "$") -> list[str]:
     """What in ``value`` breaks the schema: type, enum, required, properties, additionalProperties, items, bounds."""
-    if isinstance(value, dict) and set(value) == {"$result"}:
+    if at != "$" and isinstance(value, dict) and set(value) == {"$result"}:
         return []  # to be filled from another call
     kind = schema.get("type")
     if kind and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
@@ -75,15 +94,12 @@ def check_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         for batch in batches:
             texts, errors, refers = [], [], []
             for name, raw in zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist()):
-                try:
-                    value = json.loads(raw or "")
-                except ValueError:
-                    value = None
+                value, text, needs, wrong = read_arguments(raw)
                 schema = schemas.get(name or "")
-                found = ["unknown tool"] if schema is None else ["no JSON object"] if not isinstance(value, dict) else violations(value, schema)
-                texts.append(canonical(value) if value is not None else None)
-                errors.append("; ".join(found) or None)
-                refers.append(sorted(references(value)))
+                found = ["unknown tool"] if schema is None else [wrong] if wrong else violations(value, schema)
+                texts.append(text)
+                errors.append(SURROGATE.sub("?", "; ".join(found)) or None)
+                refers.append(sorted(SURROGATE.sub("?", r) for r in needs))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array(refers, pa.list_(pa.string()))],
                                              [*batch.schema.names, "canonical", "error", "refers"])
 
@@ -92,7 +108,8 @@ def check_calls(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def order_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(conv_id, call_id, place, step): where each call stands so that it follows the results it refers to.  A call starts
+    """(conv_id, call_id, place, step, result_turn, lost): where each call stands so that it follows the results it refers to, and
+    whether one of its references finds no earlier call.  A call starts
     at its own turn; a reference lifts it behind the result.  Rounds of one join each, until no call moves."""
     first = results.groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
     keys = ["conv_id", "call_id"]
@@ -103,20 +120,22 @@ def order_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
         "a.conv_id", "a.call_id", "a.turn", "a.refers", "result_turn"))
     links = named.select("conv_id", "call_id", F.col("turn").alias("t"), F.explode("refers").alias("needs"))
     # only a reference to an earlier call orders: no cycle can arise
-    links = stored(links.alias("l").join(named.alias("n"), same("l", "n") & (F.col("l.needs") == F.col("n.call_id")) & (F.col("n.turn") < F.col("l.t"))).select(
-        "l.conv_id", "l.call_id", F.col("l.needs").alias("needs")))
-    now = named.select("conv_id", "call_id", F.col("turn").alias("place"), F.lit(0).alias("step"), "result_turn")
+    links = stored(links.alias("l").join(named.alias("n"), same("l", "n") & (F.col("l.needs") == F.col("n.call_id")) & (F.col("n.turn") < F.col("l.t")), "left").select(
+        "l.conv_id", "l.call_id", F.when(F.col("n.call_id").isNotNull(), F.col("l.needs")).alias("needs")))
+    lost = links.where("needs is null").select("conv_id", "call_id").distinct().withColumn("lost", F.lit(True))
+    links = links.where("needs is not null")
+    now = stored(named.alias("a").join(lost.alias("b"), same("a", "b") & (F.col("a.call_id") == F.col("b.call_id")), "left").select(
+        "a.conv_id", "a.call_id", F.col("a.turn").alias("place"), F.lit(0).alias("step"), "a.result_turn", F.coalesce("b.lost", F.lit(False)).alias("lost")))
     if links.isEmpty():
         return now
-    now = stored(now)
     while True:
         ends = now.select("conv_id", "call_id", F.struct(F.greatest("place", "result_turn").alias("place"), (F.col("step") + 2).alias("step")).alias("end"))
         after = links.alias("l").join(ends.alias("e"), same("l", "e") & (F.col("l.needs") == F.col("e.call_id"))).groupBy(
             F.col("l.conv_id").alias("conv_id"), F.col("l.call_id").alias("call_id")).agg(F.max("end").alias("end"))
         own = F.struct(F.col("n.place").alias("place"), F.col("n.step").alias("step"))
         moved = now.alias("n").join(after.alias("a"), same("n", "a") & (F.col("n.call_id") == F.col("a.call_id")), "left").select(
-            "n.conv_id", "n.call_id", F.greatest(own, F.col("a.end")).alias("at"), "n.result_turn", (F.col("a.end") > own).alias("moves"))
-        moved = stored(moved.select("conv_id", "call_id", F.col("at.place").alias("place"), F.col("at.step").alias("step"), "result_turn", "moves"))
+            "n.conv_id", "n.call_id", F.greatest(own, F.col("a.end")).alias("at"), "n.result_turn", "n.lost", (F.col("a.end") > own).alias("moves"))
+        moved = stored(moved.select("conv_id", "call_id", F.col("at.place").alias("place"), F.col("at.step").alias("step"), "result_turn", "lost", "moves"))
         if moved.where("moves").isEmpty():
             return moved.drop("moves")
         now = moved.drop("moves")
@@ -131,12 +150,12 @@ def format_chat(messages: DataFrame, calls: DataFrame, results: DataFrame, schem
     placed = order_calls(checked, results)
     winners = checked.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "canonical")).alias("w"))
     links = placed.alias("p").join(winners.alias("w"), F.col("p.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("p.call_id") == F.col("w.call_id"))).select(
-        "p.conv_id", "p.call_id", "place", "step", "result_turn", F.col("w.w").alias("w"))
+        "p.conv_id", "p.call_id", "place", "step", "result_turn", "lost", F.col("w.w").alias("w"))
     of = lambda a: F.col(f"{a}.conv_id").eqNullSafe(F.col("l.conv_id")) & (F.col(f"{a}.call_id") == F.col("l.call_id"))
     call = checked.alias("c").join(links.alias("l"), of("c"), "left").select(
         "c.conv_id", F.coalesce("l.place", "c.turn").alias("place"), F.coalesce("l.step", F.lit(0)).alias("step"), "c.turn", F.lit("1call").alias("kind"), "c.call_id",
         F.when(F.col("c.call_id").isNull(), "no id").when(~F.struct("c.turn", "c.canonical").eqNullSafe(F.col("l.w")), "repeated id").when(
-            F.col("c.error").isNotNull(), F.col("c.error")).when(F.col("l.result_turn").isNull(), "no result").otherwise("ok").alias("status"),
+            F.col("c.error").isNotNull(), F.col("c.error")).when(F.col("l.result_turn").isNull(), "no result").when(F.col("l.lost"), "unknown reference").otherwise("ok").alias("status"),
         F.col("c.name").alias("a"), F.col("c.canonical").alias("b"))
     result = results.alias("r").join(links.alias("l"), of("r"), "left").select(
         "r.conv_id", F.greatest("r.turn", "l.place").alias("place"), (F.coalesce("l.step", F.lit(0)) + 1).alias("step"), "r.turn", F.lit("2result").alias("kind"), "r.call_id",
@@ -161,7 +180,8 @@ def _line(kind: str, call_id: str | None, a: str | None, b: str | None) -> str:
     if kind == "message":
         return canonical({"role": a or "", "content": b or ""})
     if kind == "call":
-        return canonical({"role": "assistant", "tool_calls": [{"id": call_id, "type": "function", "function": {"name": a or "", "arguments": json.loads(b) if b else None}}]})
+        function = f'{{"arguments":{b or "null"},"name":{canonical(a or "")}}}'  # the arguments are canonical by now
+        return f'{{"role":"assistant","tool_calls":[{{"function":{function},"id":{canonical(call_id)},"type":"function"}}]}}'
     return canonical({"role": "tool", "tool_call_id": call_id, "content": b or ""})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import json
 import math
+import os
 import random
 import re
 
@@ -15,7 +16,7 @@ from shroud.llm import quality
 from shroud.llm.chat import SCHEMAS, canonical, format_chat, references, tool_turns, violations
 from shroud.llm.html_text import MIN_PAGES, extract, parse
 from shroud.llm.simhash import fingerprint
-from shroud.llm.top_k import Index, top_k
+from shroud.llm.top_k import ROUNDS, Index, top_k
 
 # pages
 
@@ -162,7 +163,7 @@ def test_counting_equals_plain_subtree_counter(spark):
 
 
 def brute_top(rows, k, every):
-    ok = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for a, (q, v) in enumerate(ok):
         if q % every == 0:
@@ -195,6 +196,23 @@ def test_index_stops_on_proof_only():
         assert set(at.tolist()) >= set(np.flatnonzero(exact > sorted(exact.tolist())[-5]).tolist())
 
 
+def test_index_prunes_the_given_embeddings(spark):
+    """On the embeddings of the larger test tables a tenth of the vectors is left for rescoring, proven, before all segments are read."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver test data not present")
+    vectors = np.floor(1024 * np.array([r.embedding for r in spark.read.parquet(path).orderBy("vec_id").select("embedding").collect()], float)).astype(np.int64)
+    index, left, rounds = Index(vectors), [], []
+    for k in range(0, len(vectors), 100):
+        _, score = index.top(vectors[k], 10, k)
+        exact = vectors @ vectors[k]
+        exact[k] = -(1 << 60)
+        assert sorted(score.tolist())[-10:] == sorted(exact.tolist())[-10:]
+        rounds.append(index.last[0])
+        left.append(index.last[1] / len(vectors))
+    assert np.median(left) < 0.1 and np.median(rounds) < ROUNDS
+
+
 # quality rules
 
 
@@ -282,6 +300,62 @@ def test_chat_query_links_every_answer(spark):
     assert format_chat(*tool_turns(df.limit(0)), SCHEMAS).count() == 0
 
 
+def test_odd_arguments_get_a_status(spark):
+    odd = {"surrogate": '{"q": "\\ud800x"}', "nan": '{"q": NaN}', "large": '{"q": 1e999}', "deep": '{"q": ' + "[" * 200_000 + "]" * 200_000 + "}", "whole": '{"$result": "surrogate"}',
+           "self": '{"q": {"$result": "self"}}', "unknown": '{"q": {"$result": "nowhere"}}', "later": '{"q": {"$result": "zz"}}', "zz": '{"q": 1}', "null": None}
+    calls = spark.createDataFrame([(1, k, i, "f", a) for k, (i, a) in enumerate(odd.items())], "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 100 + k, i, "r") for k, i in enumerate(odd)], "conv_id long, turn long, call_id string, content string")
+    messages = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    rows = format_chat(messages, calls, results, {"f": {"type": "object", "required": ["q"], "properties": {"q": {}}}}).collect()
+    status = {r.call_id: r.status for r in rows if r.kind == "call"}
+    assert status == {"surrogate": "ok", "nan": "no JSON object", "large": "no JSON object", "deep": "nested too deep", "whole": "$.q: missing", "self": "unknown reference",
+                      "unknown": "unknown reference", "later": "unknown reference", "zz": "ok", "null": "no JSON object"}
+    lines = {r.call_id: json.loads(r.json) for r in rows if r.kind == "call"}
+    assert lines["surrogate"]["tool_calls"][0]["function"]["arguments"] == {"q": "\ud800x"}
+
+
+def linked_by_hand(calls, results):
+    """{(turn, call_id): (place, step, status)} of one conversation by fixed-point iteration over plain dictionaries."""
+    first = {}
+    for turn, call, needs in sorted(calls):
+        first.setdefault(call, (turn, needs))
+    answer = {}
+    for turn, call in sorted(results):
+        answer.setdefault(call, turn)
+    at = {c: (t, 0) for c, (t, _) in first.items()}
+    for _ in range(len(first) + 1):
+        for c, (t, needs) in first.items():
+            for n in needs:
+                if n in first and first[n][0] < t:
+                    at[c] = max(at[c], (max(at[n][0], answer.get(n, at[n][0])), at[n][1] + 2))
+    out = {}
+    for turn, call, needs in calls:
+        if turn != first[call][0]:
+            status = "repeated id"
+        elif call not in answer:
+            status = "no result"
+        else:
+            status = "ok" if all(n in first and first[n][0] < turn for n in needs) else "unknown reference"
+        out[turn, call] = (*at[call], status)
+    return out
+
+
+def test_linking_equals_a_plain_linker(spark):
+    rng = random.Random(12)
+    want, calls, results = {}, [], []
+    for conv in range(12):
+        names = [f"c{k}" for k in range(6)]
+        mine = [(t, rng.choice(names), sorted(rng.sample([*names, "none"], rng.randrange(3)))) for t in range(10)]
+        back = [(rng.randrange(3, 20), c) for c in names if rng.random() < 0.8]
+        want.update({(conv, *k): v for k, v in linked_by_hand(mine, back).items()})
+        calls += [(conv, t, c, "f", json.dumps({"q": [{"$result": n} for n in needs]})) for t, c, needs in mine]
+        results += [(conv, t, c, "r") for t, c in back]
+    rows = format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string"),
+                       spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string"),
+                       spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), {"f": {"type": "object"}}).collect()
+    assert {(r.conv_id, r.turn, r.call_id): (r.place, r.step, r.status) for r in rows if r.kind == "call"} == want
+
+
 # the pipeline
 
 
