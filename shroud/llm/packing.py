@@ -4,6 +4,10 @@ A document's ids (with a closing id 0) are cut every ``length`` ids; full pieces
 remainders are packed by first-fit decreasing: a tournament tree over the free places of all bins finds the leftmost
 bin that takes an item in log n steps.  Packing runs independently in randomised groups of about ``GROUP`` documents,
 so no task sees more than that, whatever the corpus.  Only lengths and checksums are shuffled, never ids or texts.
+
+Defined results: a null or empty text is the closing id alone.  Ids may be null, repeated or of any type and come back as they
+are; repeated rows are packed each.  Items of one size are taken in order of id (null last), then of document length.  An
+empty table gives no pieces.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -12,8 +16,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,7 @@ from .common import stored
 LENGTH = 1024
 GROUP = 20_000  # documents packed together, about
 CLOSING = 0
+PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def tokenise(df: DataFrame, vocabulary: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,15 +106,15 @@ def pack(tokens: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: st
     tokens = stored(tokens)
     groups = max(1, -(-tokens.count() // group))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([id_col, "doc_tokens"], kind="stable").reset_index(drop=True)
-        total = rows["doc_tokens"].to_numpy()
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows.select([id_col, "doc_tokens"]), [(id_col, "ascending"), ("doc_tokens", "ascending")]))
+        total = rows.column("doc_tokens").to_numpy()
         rest = total % length
         order = np.argsort(-rest, kind="stable")
         order = order[rest[order] > 0]
         bins, offsets = first_fit(rest[order].tolist(), length)
         pieces = -(-total // length)
-        doc = np.repeat(np.arange(len(rows)), pieces)
+        doc = np.repeat(np.arange(len(total)), pieces)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(length, total[doc] - k * length)
         sequence, offset = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
@@ -117,15 +122,13 @@ def pack(tokens: DataFrame, length: int = LENGTH, group: int = GROUP, id_col: st
         sequence[last], offset[last] = bins, offsets
         full = np.flatnonzero(size == length)
         sequence[full] = (max(bins) + 1 if bins else 0) + np.arange(len(full))
-        return pd.DataFrame({
-            id_col: rows[id_col].to_numpy()[doc], "start": k * length, "length": size,
-            "ids_crc32": np.concatenate([np.asarray(c, np.int64) for c in rows["crcs"]]), "doc_tokens": total[doc],
-            "sequence_id": int(key[0]) * (1 << 32) + sequence, "offset": offset})
+        crcs = rows.column("crcs").combine_chunks().flatten()
+        figures = [k * length, size, crcs, total[doc], key[0].as_py() * (1 << 32) + sequence, offset]
+        return pa.table([rows.column(id_col).take(pa.array(doc)), *(pa.array(c) for c in figures)], names=[id_col, *PIECE])
 
     kind = dict(tokens.dtypes)[id_col]
     drawn = tokens.withColumn("pack_group", F.floor(F.rand(42) * groups).cast("long"))
-    return drawn.groupBy("pack_group").applyInPandas(
-        run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return drawn.groupBy("pack_group").applyInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in PIECE))
 
 
 def pack_documents(df: DataFrame, vocabulary: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

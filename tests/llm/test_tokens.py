@@ -165,3 +165,12 @@ def test_packing(spark):
             at += length
         assert at <= 1024
     assert pack_documents(rows_of(spark).limit(0), JSON).count() == 0
+
+
+def test_packing_keeps_ids(spark):
+    """Null, repeated and very large ids come back as they are, and string ids too."""
+    large = 9007199254740993
+    df = spark.createDataFrame([(large, "a b"), (None, "c"), (None, None), (large, "a b"), (-1, "")], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in pack_documents(df, JSON).collect()) == [(-1, 1), (0, 1), (0, 2), (large, 3), (large, 3)]
+    named = df.selectExpr("cast(doc_id as string) doc_id", "text")
+    assert {r.doc_id for r in pack_documents(named, JSON).collect()} == {None, "-1", str(large)}
