@@ -18,6 +18,18 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("k2"), *reversed(cols), F.lit(0x9E37)).alias("k2")]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for helpers that no column of ``df`` has (Spark compares them without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def own_exchange(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` with its long ``keys`` passed through an expression, for the side of a join that was aggregated by them.  Spark
     would read such a side where the aggregate left it, and AQE splits hot partitions of the other side only where

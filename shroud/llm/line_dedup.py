@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import own_exchange, row_key, stored
+from .common import free_names, own_exchange, row_key, stored
 
 MIN_CHARS, MIN_LINES = 100, 3
 BLANK = 0  # hash of lines without a visible character
@@ -201,21 +201,22 @@ def deleted_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return aligned.unionByName(copies)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df``, the text without its deleted lines, and ``__lines``, ``__deleted``: how many lines it had
-    and lost.  Texts that lose nothing stay as they are, nulls too."""
-    gone = deleted_lines(df, id_col, text_col).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("gone").alias("__gone"))
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("__lines", "__deleted")) -> DataFrame:
+    """All columns of ``df``, the text without its deleted lines, and as ``counts`` (names that ``df`` must not have) how many lines
+    it had and lost.  Texts that lose nothing stay as they are, nulls too; an empty table gives an empty one."""
+    h1, h2, lost_lines = free_names(df, "__k1", "__k2", "__gone")
+    gone = deleted_lines(df, id_col, text_col).select(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("gone").alias(lost_lines))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    joined = df.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    joined = df.withColumns({h1: k1, h2: k2}).join(gone, [h1, h2], "left").drop(h1, h2)
     own = df.columns
-    names, place = [*own, "__lines", "__deleted"], own.index(text_col)
+    names, place = [*own, *counts], own.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
                 texts, lines, deleted = [], [], []
-                for text, lost in zip(rows.column(text_col).to_pylist(), rows.column("__gone").to_pylist()):
+                for text, lost in zip(rows.column(text_col).to_pylist(), rows.column(lost_lines).to_pylist()):
                     lines.append((text or "").count("\n") + 1)
                     deleted.append(len(lost or ()))
                     if lost:
@@ -227,7 +228,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(deleted, pa.int64())], names)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{n}` {kinds[n]}" for n in df.columns) + ", __lines long, __deleted long"
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in df.columns) + "".join(f", `{c}` long" for c in counts)
     return joined.mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import own_exchange, row_key, stored
+from .common import free_names, own_exchange, row_key, stored
 from .components import components
 
 SHINGLE = 4
@@ -225,10 +225,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each group: that of least id, then of least row key; all columns."""
+    """One row of each group: that of least id, then of least row key; all columns.  An empty table gives an empty one."""
+    h1, h2 = free_names(df, "__k1", "__k2")
     prints = stored(fingerprints(df, id_col, text_col, shingle))
     winners = groups(prints, max_bits, id_col).groupBy("root").agg(F.min(F.struct(id_col, "k1", "k2")).alias("w")).select(
-        F.col("w.k1").alias("__k1"), F.col("w.k2").alias("__k2"))
+        F.col("w.k1").alias(h1), F.col("w.k2").alias(h2))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    keyed = df.withColumns({"__k1": k1, "__k2": k2})
-    return keyed.join(winners, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*df.columns)
+    keyed = df.withColumns({h1: k1, h2: k2})
+    return keyed.join(winners, [h1, h2], "left_semi").dropDuplicates([h1, h2]).select(*df.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import ROWS_AT_ONCE
-from .common import own_exchange, row_key, stored
+from .common import free_names, own_exchange, row_key, stored
 
 SPAN = 200
 GRAM = 32
@@ -371,23 +371,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         run, f"`{id_col}` {kind}, k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df``, the text without its repeated bytes, and ``__removed``: how many those were.  A code point
-    that loses some of its bytes goes as a whole."""
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: str = "__removed") -> DataFrame:
+    """All columns of ``df``, the text without its repeated bytes, and as ``count`` (a name that ``df`` must not have) how many
+    those were.  A code point that loses some of its bytes goes as a whole.  An empty table gives an empty one."""
+    h1, h2, found_spans = free_names(df, "__k1", "__k2", "__spans")
     keyed = df.select(*row_key(F.col(id_col), F.col(text_col)), F.col(text_col).alias("text"))
     packed = keyed.select(F.lit(0).alias("x"), "k1", "k2", "text").mapInArrow(_packed, "x int, k1 long, k2 long, packed binary")
-    ranges = repeated_ranges(keyed, packed).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    ranges = repeated_ranges(keyed, packed).select(F.col("k1").alias(h1), F.col("k2").alias(h2), F.col("spans").alias(found_spans))
     k1, k2 = row_key(F.col(id_col), F.col(text_col))
-    joined = df.withColumns({"__k1": k1, "__k2": k2}).join(ranges, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    joined = df.withColumns({h1: k1, h2: k2}).join(ranges, [h1, h2], "left").drop(h1, h2)
     own = df.columns
-    place, names = own.index(text_col), [*own, "__removed"]
+    place, names = own.index(text_col), [*own, count]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
                 texts, removed = [], []
-                for text, found in zip(rows.column(text_col).to_pylist(), rows.column("__spans").to_pylist()):
+                for text, found in zip(rows.column(text_col).to_pylist(), rows.column(found_spans).to_pylist()):
                     gone = union_ranges([(x["b"], x["e"]) for x in found or []])
                     if gone:
                         data = text.encode()
@@ -400,7 +401,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return joined.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in df.columns) + ", __removed long")
+    return joined.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in df.columns) + f", `{count}` long")
 
 
 def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

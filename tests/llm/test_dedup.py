@@ -257,3 +257,18 @@ def test_repeated_blocks_against_brute_force(spark):
     rows = [(k, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 14)))) for k in range(80)]
     got = {r.doc_id: r.text for r in dedup_lines(frame(spark, rows)).collect()}
     assert got == dict(zip([i for i, _ in rows], brute_lines([t for _, t in rows])))
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    from shroud.llm.line_dedup import dedup_lines
+    from shroud.llm.simhash import keep_one
+    from shroud.llm.suffix_dedup import cut_repeats
+
+    block = "\n".join(f"a shared line number {k} of some length" for k in range(12))
+    rows = [(k, f"own beginning {k}\n{block}\nown end {k}", f"x{k}", k, "g", k * 2) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k1 string, __K2 int, __gone string, __spans int")
+    clash = ["__k1", "__K2", "__gone", "__spans"]
+    for out in (dedup_lines(df), cut_repeats(df), keep_one(df)):
+        got = {r["doc_id"]: tuple(r[c] for c in clash) for r in out.collect()}
+        assert got and all(got[i] == rows[i][2:] for i in got)
+    assert dedup_lines(df, counts=("n", "m")).columns == [*df.columns, "n", "m"] and cut_repeats(df, count="n").columns == [*df.columns, "n"]
