@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm.common import stored, table
+from shroud.llm.common import free_names, stored, table
 from shroud.llm.line_dedup import dedup_lines
 from shroud.llm.packing import pack_documents
 from shroud.llm.quality import keep_good
@@ -40,7 +40,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: blocks of lines that an earlier document holds go."""
-    return _edited(dedup_lines(docs), "__deleted", docs.columns)
+    total, lost = free_names(docs, "__lines", "__deleted")
+    return _edited(dedup_lines(docs, counts=(total, lost)), lost, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: byte strings that occur more than once go."""
-    return _edited(cut_repeats(docs), "__removed", docs.columns)
+    (lost,) = free_names(docs, "__removed")
+    return _edited(cut_repeats(docs, count=lost), lost, docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
