@@ -55,13 +55,14 @@ def redact_batch(docs: DataFrame, dictionary: DataFrame | None) -> DataFrame:
 
 def redact_stream(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None = None,
                   out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """H1: run the documents stream to completion (availableNow) into parquet; return the output."""
+    """H1: run the documents stream to completion (availableNow) into parquet; return the output.  Cells are read where the
+    documents have them."""
     out = out or fresh_path(spark, "stream-redact")
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").schema
     docs = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_one(sf_dir, "documents"))
-        .select("doc_id", "text", F.lit(None).cast("array<string>").alias("cells"))
     )
+    docs = docs.select("doc_id", "text", (F.col("cells") if "cells" in docs.columns else F.lit(None)).cast("array<string>").alias("cells"))
     by_batch(docs.writeStream, lambda batch: redact_batch(batch, dictionary), out, checkpoint or fresh_path(spark, "stream-checkpoint"))
     return spark.read.parquet(out).drop("batch")
 
