@@ -16,7 +16,7 @@ least one (and reducing each bucket's links to a spanning forest) keeps the comp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,7 @@ SEED = 42
 BUCKET_ROWS = 32_000_000  # fingerprints that a bucket receives, at most about
 ROUND_VARIANTS = 1 << 22  # variants that a bucket holds at once
 PACKED = 1 << 16  # fingerprints in one shuffled row
+PAIRS = 1 << 24  # pairs of bucket and fingerprint that a sender sorts at once
 BLOCK = 1 << 15  # shingles whose bits are counted at once
 
 
@@ -155,6 +156,21 @@ def meet(fp: np.ndarray, radius: int, bits: int, bucket: int) -> tuple[np.ndarra
     return forest(np.concatenate(us), np.concatenate(vs))
 
 
+def scattered(fp: np.ndarray, own: np.ndarray, steps: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, fingerprints) for every fingerprint in each of the buckets ``own ^ step``; no more than ``PAIRS`` pairs at once."""
+    size = max(1, PAIRS // len(steps))
+    steps = steps.astype(np.int32)
+    for at in range(0, len(fp), size):
+        some = fp[at:at + size]
+        to = (own[at:at + size].astype(np.int32)[:, None] ^ steps).reshape(-1)
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        order //= len(steps)  # from places of pairs to places of fingerprints
+        bounds = np.append(np.flatnonzero(np.r_[True, to[1:] != to[:-1]]), len(to)).tolist()
+        for begin, end in zip(bounds, bounds[1:]):
+            yield int(to[begin]), some[order[begin:end]].tobytes()
+
+
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v): links that join all distinct fingerprints ``fp`` within ``max_bits`` bits of one another, directly or
     through others."""
@@ -177,13 +193,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 rows = [(int(b), fp[ball.count[own ^ b] > 0].tobytes()) for b in buckets]
             else:  # many buckets: sort the pairs (bucket, fingerprint) instead of asking each bucket
                 steps = np.flatnonzero(ball.count)
-                to = (own[:, None] ^ steps[None, :]).reshape(-1)
-                who = np.repeat(np.arange(len(fp)), len(steps))
-                order = np.argsort(to, kind="stable")
-                bounds = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0])
-                rows = [(int(to[part[0]]), fp[who[part]].tobytes()) for part in np.split(order, bounds[1:])]
-            for at in range(0, len(rows), 64):
-                some = rows[at:at + 64]
+                rows = scattered(fp, own, steps)
+            rows = iter(rows)
+            while some := list(islice(rows, 64)):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())],
                                                  ["bucket", "packed"])
 

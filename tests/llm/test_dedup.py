@@ -272,3 +272,26 @@ def test_columns_named_like_helpers_are_kept(spark):
         got = {r["doc_id"]: tuple(r[c] for c in clash) for r in out.collect()}
         assert got and all(got[i] == rows[i][2:] for i in got)
     assert dedup_lines(df, counts=("n", "m")).columns == [*df.columns, "n", "m"] and cut_repeats(df, count="n").columns == [*df.columns, "n"]
+
+
+def test_senders_memory_with_many_buckets():
+    """A full batch of fingerprints at 12 label bits: every pair once, and no more held than the bound says."""
+    import tracemalloc
+
+    from shroud.llm.simhash import PACKED, PAIRS, Ball, scattered
+
+    ball = Ball(2, 12)
+    fp = np.random.default_rng(5).integers(0, 1 << 63, PACKED // 2).astype(np.uint64)
+    own, steps = ball.bucket(fp), np.flatnonzero(ball.count)
+    total = check = 0
+    tracemalloc.start()
+    for bucket, packed in scattered(fp, own, steps):
+        got = np.frombuffer(packed, np.uint64)
+        total += len(got)
+        check ^= int(np.bitwise_xor.reduce(got)) ^ bucket
+        if total < 1000:
+            assert ball.count[ball.bucket(got) ^ bucket].all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == len(fp) * len(steps) and peak < 40 * PAIRS  # 0.7 GB
+    assert PAIRS * 8 < 1 << 28
