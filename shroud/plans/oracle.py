@@ -618,6 +618,13 @@ FROM segments s JOIN pairs p ON s.doc_id = p.doc_id WHERE instr(s.text, p.origin
     q["leak_audit"] = with_(base_ctes(), pipeline_ctes(), PAIRS_CTE, REDACT_LITERAL_CTE) + """
 SELECT r.doc_id, r.segment_index, p.original FROM red_literal r JOIN pairs p ON p.doc_id = r.doc_id
 WHERE instr(r.redacted, p.original) > 0"""
+    # the pipeline once more, in a query of its own in which the segments are the rewritten ones
+    again = with_("segments AS (SELECT doc_id, segment_index, redacted AS text FROM rewritten)", pipeline_ctes()) + "\nSELECT doc_id, segment_index, text FROM preds"
+    q["leak_redetect"] = with_(base_ctes(), pipeline_ctes(), PAIRS_CTE, REDACT_LITERAL_CTE,
+                               "rewritten AS MATERIALIZED (SELECT doc_id, segment_index, redacted FROM red_literal)",
+                               "kept_pairs AS MATERIALIZED (SELECT doc_id, original FROM pairs)") + f"""
+SELECT DISTINCT a.doc_id, a.segment_index, a.text AS original FROM ({again}) a
+WHERE EXISTS (SELECT 1 FROM kept_pairs p WHERE p.doc_id = a.doc_id AND p.original = a.text)"""
     q["entity_counts"] = full("SELECT entity_type, count(*) AS n FROM preds GROUP BY entity_type")
     q["entity_summary"] = full("""SELECT entity_type, count(*) AS n FROM preds GROUP BY entity_type
 UNION ALL SELECT 'TOTAL', count(*) FROM preds""")

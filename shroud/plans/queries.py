@@ -340,6 +340,14 @@ def q_leak_audit(spark, sf):
     return _long(R.leak_audit(segments(spark, sf), R.replacement_pairs(preds(spark, sf))), "segment_index")
 
 
+def q_leak_redetect(spark, sf):
+    """All detectors once more, over the rewritten texts."""
+    pairs = stored(R.replacement_pairs(preds(spark, sf)))
+    rewritten = stored(R.redact_literal(segments(spark, sf), pairs).select("doc_id", "segment_index", F.col("redacted").alias("text")))
+    again = H.predictions(H.hybrid_spans(rewritten, dictionary(spark, sf)))
+    return _long(R.leaks_detected(again, pairs), "segment_index")
+
+
 # --- F: aggregations and evaluation ---------------------------------------------
 
 def q_entity_counts(spark, sf):
@@ -474,6 +482,7 @@ QUERIES = {
     "redact_literal": q_redact_literal,
     "redact_spans": q_redact_spans,
     "leak_audit": q_leak_audit,
+    "leak_redetect": q_leak_redetect,
     "entity_counts": q_entity_counts,
     "entity_summary": q_entity_summary,
     "corpus_stats": q_corpus_stats,
