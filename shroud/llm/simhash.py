@@ -5,18 +5,21 @@ bits.  So every fingerprint emits all its variants within ``r`` bits (2,081 for
 fingerprints that meet at a variant are verified and linked.
 
 The shuffle is by a linear bucket of the variant: bit i has a label, and the bucket of a variant is the XOR of the
-labels of its bits.  All variants of one fingerprint that fall in one bucket are the fingerprint and the flips whose
-labels XOR to a known value; so one packed row (bucket, fingerprint) stands for about 33 variants at 64 buckets, and the
-receiver writes them out.  A bucket that would hold too many variants at once is worked through in rounds over
-further label bits.  With more fingerprints there are more buckets; beyond 2,048 buckets every variant is a row of
-its own.  Any two fingerprints at one variant are within ``2 r`` bits of each other, so linking all of them to the
+labels of its bits.  The label of bit i is the unit vector i mod b, so a bucket is b parities and a ball of two bits
+reaches 1 + b + b (b - 1) / 2 of the 2^b buckets (56 of 1,024; 211 of 1,048,576).  All variants of one fingerprint that fall
+in one bucket are the fingerprint and the flips whose labels XOR to a known value; so one packed entry (bucket, fingerprint)
+stands for all of them, and the receiver writes them out.  b grows with the number of distinct fingerprints, one plan at all
+sizes: a bucket receives at most about ``BUCKET_ROWS`` of them, and works through its variants in rounds over further label
+bits.  Any two fingerprints at one variant are within ``2 r`` bits of each other, so linking all of them to the
 least one (and reducing each bucket's links to a spanning forest) keeps the components without emitting all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, islice
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -32,7 +35,8 @@ from .components import components
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
-BUCKET_ROWS = 32_000_000  # fingerprints that a bucket receives, at most about
+BUCKET_ROWS = 1 << 22  # fingerprints that a bucket receives, at most about
+LEAST_BITS = 10  # label bits at the least: 1,024 buckets
 ROUND_VARIANTS = 1 << 22  # variants that a bucket holds at once
 PACKED = 1 << 16  # fingerprints in one shuffled row
 PAIRS = 1 << 24  # pairs of bucket and fingerprint that a sender sorts at once
@@ -74,15 +78,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Ball:
-    """Flip masks of at most ``radius`` bits, grouped by the XOR of the labels of their bits."""
+    """Flip masks of at most ``radius`` bits, grouped by the XOR of the labels of their bits: ``bits`` parities, above
+    them ``more`` drawn bits that split a bucket into rounds."""
 
-    def __init__(self, radius: int, bits: int) -> None:
-        self.bits = bits
+    def __init__(self, radius: int, bits: int, more: int = 0) -> None:
         spread = (np.arange(64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        # six label bits are the bit's own number, which spreads pairs evenly; further ones are drawn
-        label = np.arange(64, dtype=np.int64) | ((spread >> np.uint64(40)).astype(np.int64) << 6)
-        self.label = label & ((1 << bits) - 1)
+        drawn = (spread >> np.uint64(40)).astype(np.int64) & ((1 << more) - 1)
+        self.label = (np.int64(1) << (np.arange(64, dtype=np.int64) % bits)) | (drawn << bits)
         masks, sums = [], []
         for k in range(radius + 1):
             for flips in combinations(range(64), k):
@@ -90,15 +93,37 @@ class Ball:
                 sums.append(int(np.bitwise_xor.reduce(self.label[list(flips)])) if flips else 0)
         order = np.argsort(sums, kind="stable")
         self.masks = np.array(masks, np.uint64)[order]
-        self.count = np.bincount(sums, minlength=1 << bits)
-        self.first = np.cumsum(self.count) - self.count
+        self.steps, self.first, self.count = np.unique(np.array(sums)[order], return_index=True, return_counts=True)
 
     def bucket(self, fp: np.ndarray) -> np.ndarray:
         out = np.zeros(len(fp), np.int64)
         for k in range(64):
-            out ^= np.where((fp >> np.uint64(k)) & np.uint64(1), self.label[k], 0)
+            out ^= ((fp >> np.uint64(k)) & np.uint64(1)).astype(np.int64) * self.label[k]
         return out
 
+    def flips(self, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, count): the run of ``masks`` whose labels XOR to each ``step``; empty if none does."""
+        at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+        return self.first[at], np.where(self.steps[at] == step, self.count[at], 0)
+
+
+@lru_cache(16)
+def ball(radius: int, bits: int, more: int = 0) -> Ball:
+    return Ball(radius, bits, more)
+
+
+def reached(radius: int, bits: int) -> int:
+    """Buckets that the variants of one fingerprint lie in."""
+    return len(ball(radius, bits).steps)
+
+
+def label_bits(n: int, radius: int) -> int:
+    """Label bits for ``n`` distinct fingerprints: the fewest with which a bucket receives ``BUCKET_ROWS`` or less on average."""
+    bits = LEAST_BITS
+    while bits < 30 and n * reached(radius, bits) > BUCKET_ROWS << bits:
+        bits += 1
+    return bits
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of every node to the least node of its component."""
@@ -118,19 +143,18 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def meet(fp: np.ndarray, radius: int, bits: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the fingerprints that meet at a variant of this bucket."""
-    per = sum(len(list(combinations(range(64), k))) for k in range(radius + 1)) / (1 << bits)
+    variants = len(fp) * sum(comb(64, k) for k in range(radius + 1)) / reached(radius, bits)
     more = 0
-    while len(fp) * per / (1 << more) > ROUND_VARIANTS and more < 12:
+    while variants / (1 << more) > ROUND_VARIANTS and more < 12:
         more += 1
-    ball = Ball(radius, bits + more)
-    own = ball.bucket(fp)
+    flips = ball(radius, bits, more)
+    own = flips.bucket(fp)
     us, vs = [], []
     for sub in range(1 << more):
-        want = own ^ (bucket | (sub << bits))
-        count = ball.count[want]
+        first, count = flips.flips(own ^ (bucket | (sub << bits)))
         upto = np.cumsum(count)
         owner = np.repeat(np.arange(len(fp)), count)
-        variant = fp[owner] ^ ball.masks[np.arange(len(owner)) + np.repeat(ball.first[want] - (upto - count), count)]
+        variant = fp[owner] ^ flips.masks[np.arange(len(owner)) + np.repeat(first - (upto - count), count)]
         # sort by the high bits of a mix, with the place in the low bits; then look exactly where high bits agree
         low = np.uint64((1 << max(1, len(owner)).bit_length()) - 1)
         mixed = variant * np.uint64(0x9E3779B97F4A7C15)
@@ -178,24 +202,13 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if 2 * radius != max_bits:
         raise ValueError("max_bits must be even: half of it is the radius of a ball")
     distinct = stored(prints.select("fp").where("fp is not null").distinct())
-    n = distinct.count()
-    bits = 6
-    while n * min(1.0, 2081 / (1 << bits)) > BUCKET_ROWS:
-        bits += 1
+    bits = label_bits(distinct.count(), radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ball = Ball(radius, bits)
-        reached = [np.flatnonzero(ball.count[np.arange(1 << bits) ^ b]) for b in range(1 << bits)] if bits <= 8 else None
+        flips = ball(radius, bits)
         for fp in _gathered(batches):
-            own = ball.bucket(fp)
-            if reached is not None:
-                buckets = np.unique(np.concatenate([reached[b] for b in np.unique(own)]))
-                rows = [(int(b), fp[ball.count[own ^ b] > 0].tobytes()) for b in buckets]
-            else:  # many buckets: sort the pairs (bucket, fingerprint) instead of asking each bucket
-                steps = np.flatnonzero(ball.count)
-                rows = scattered(fp, own, steps)
-            rows = iter(rows)
-            while some := list(islice(rows, 64)):
+            rows = scattered(fp, flips.bucket(fp), flips.steps)
+            while some := list(islice(rows, 4096)):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.binary())],
                                                  ["bucket", "packed"])
 

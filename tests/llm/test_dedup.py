@@ -97,11 +97,44 @@ def test_balls_meet_in_every_bucket_size(bits, monkeypatch):
     ball = simhash.Ball(2, bits)
     own = ball.bucket(fp)
     for b in range(1 << bits):
-        u, v = simhash.meet(fp[ball.count[own ^ b] > 0], 2, bits, b)
+        u, v = simhash.meet(fp[ball.flips(own ^ b)[1] > 0], 2, bits, b)
         links += [(place[int(x)], place[int(y)]) for x, y in zip(u, v)]
     near = [(a, b) for a in range(len(fp)) for b in range(a) if int(np.bitwise_count(fp[a] ^ fp[b])) <= 4]
     assert union(len(fp), links) == union(len(fp), near)
     assert sum(ball.count) == 1 + 64 + 64 * 63 // 2
+    assert len(ball.steps) == 1 + bits + bits * (bits - 1) // 2
+
+
+def test_a_bucket_receives_a_bounded_share_at_every_size():
+    """No size at which the plan changes: more fingerprints make more buckets, and what one fingerprint sends stays small."""
+    before = 0
+    for n in (0, 1, 10**5, 10**7, 10**8, 10**9, 10**10, 5 * 10**10):
+        bits = simhash.label_bits(n, 2)
+        share = simhash.reached(2, bits) / (1 << bits)
+        assert bits >= before and n * share <= simhash.BUCKET_ROWS and share < 0.06
+        assert 8 * simhash.reached(2, bits) < 2048 + 8
+        before = bits
+
+
+@pytest.mark.parametrize("rows_a_bucket", [1 << 22, 40])
+def test_links_with_more_buckets(spark, rows_a_bucket, monkeypatch):
+    """The links of a table do not depend on the number of buckets (10 label bits, or as many as 40 fingerprints a bucket ask for)."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", rows_a_bucket)
+    rng = np.random.default_rng(3)
+    prints = set()
+    for base in rng.integers(0, 2**63, 400, dtype=np.uint64):
+        for _ in range(4):
+            x = int(base)
+            for f in rng.integers(0, 64, rng.integers(0, 6)):
+                x ^= 1 << int(f)
+            prints.add(x)
+    fp = np.array(sorted(prints), np.uint64)
+    assert (simhash.label_bits(len(fp), 2) > simhash.LEAST_BITS) == (rows_a_bucket == 40)
+    place = {int(x): k for k, x in enumerate(fp.view(np.int64))}
+    got = simhash.links(spark.createDataFrame([(x,) for x in place], "fp long").repartition(3)).collect()
+    links = [(place[r.u], place[r.v]) for r in got]
+    near = [(a, a + 1 + int(b)) for a in range(len(fp)) for b in np.flatnonzero(np.bitwise_count(fp[a + 1:] ^ fp[a]) <= 4)]
+    assert union(len(fp), links) == union(len(fp), near) and len(near) > 500
 
 
 def test_components(spark):
@@ -274,24 +307,25 @@ def test_columns_named_like_helpers_are_kept(spark):
     assert dedup_lines(df, counts=("n", "m")).columns == [*df.columns, "n", "m"] and cut_repeats(df, count="n").columns == [*df.columns, "n"]
 
 
-def test_senders_memory_with_many_buckets():
-    """A full batch of fingerprints at 12 label bits: every pair once, and no more held than the bound says."""
+@pytest.mark.parametrize("bits", [10, 20])
+def test_senders_memory_with_many_buckets(bits):
+    """A full batch of fingerprints: every pair once, and no more held than the bound says."""
     import tracemalloc
 
     from shroud.llm.simhash import PACKED, PAIRS, Ball, scattered
 
-    ball = Ball(2, 12)
+    ball = Ball(2, bits)
     fp = np.random.default_rng(5).integers(0, 1 << 63, PACKED // 2).astype(np.uint64)
-    own, steps = ball.bucket(fp), np.flatnonzero(ball.count)
+    own = ball.bucket(fp)
     total = check = 0
     tracemalloc.start()
-    for bucket, packed in scattered(fp, own, steps):
+    for bucket, packed in scattered(fp, own, ball.steps):
         got = np.frombuffer(packed, np.uint64)
         total += len(got)
         check ^= int(np.bitwise_xor.reduce(got)) ^ bucket
         if total < 1000:
-            assert ball.count[ball.bucket(got) ^ bucket].all()
+            assert ball.flips(ball.bucket(got) ^ bucket)[1].all()
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert total == len(fp) * len(steps) and peak < 40 * PAIRS  # 0.7 GB
+    assert total == len(fp) * len(ball.steps) and peak < 40 * PAIRS  # 0.7 GB
     assert PAIRS * 8 < 1 << 28
