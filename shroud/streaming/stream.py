@@ -27,7 +27,7 @@ from shroud.functions.surrogate import salt_sql, surrogate_sql
 from shroud.operators.detect import detect_regex, explode_spans
 from shroud.operators.hybrid import hybrid_spans, predictions
 from shroud.operators.redact import rebuild_sql, redact_spans
-from shroud.session import delete_path, fresh_path, paths_under, stored
+from shroud.session import dealt, delete_path, fresh_path, paths_under, stored
 from shroud.sources import segments as S
 
 
@@ -48,7 +48,7 @@ def by_batch(writer: DataStreamWriter, change: Callable[[DataFrame], DataFrame],
 def redact_batch(docs: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     """(doc_id, segment_index, redacted) of documents (doc_id, text, cells), by all layers.  The predictions are read
     twice (pairs and spans), so they are stored."""
-    segments = S.segment_all(docs).select("doc_id", "segment_index", "text")
+    segments = S.segment_all(dealt(docs)).select("doc_id", "segment_index", "text")
     found = stored(predictions(hybrid_spans(segments, dictionary)), "predictions")
     return redact_spans(segments, found).select("doc_id", F.col("segment_index").cast("long").alias("segment_index"), "redacted")
 
