@@ -58,6 +58,7 @@ def redact_stream(spark: SparkSession, sf_dir: str, dictionary: DataFrame | None
     """H1: run the documents stream to completion (availableNow) into parquet; return the output.  Cells are read where the
     documents have them."""
     out = out or fresh_path(spark, "stream-redact")
+    dictionary = None if dictionary is None else stored(dictionary, "dictionary")  # every batch reads it
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").schema
     docs = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_one(sf_dir, "documents"))
