@@ -62,3 +62,60 @@ def test_a_filter_of_any_size_gives_the_same_spans(spark, monkeypatch):
     assert D.EntryFilter(bits, lengths).stretches("x Ann Lee, Customer#12, été Corp " + "word " * 50) == [(2, "Ann Lee"), (6, "Lee"), (24, "été")]
     monkeypatch.setattr(D, "FILTER_BITS", 64)
     assert sorted(tuple(r) for r in D.join_gazetteer(segs, entries).collect()) == want
+
+
+def test_row_guards_hold_wherever_a_rule_matches():
+    """A guard may let a text pass for nothing, but never holds back one with a match; what the engines read differently has none."""
+    rnd = random.Random(7)
+    parts = ["a@b.co", "123-45-6789", "1.2.3.4", "4111111111111111", "DOB:", "born", "1/2/1990", "Jan 3, 1999", "+1 (212) 555-1234", "212-555", "1234",
+             "\x0b", "\x1c", " ", "x12", "123456789", "1980", "12 Oak Street", "French", "4111 1111 1111 1111", "+1 212 555 0199", "2001-02-03", "_", "-", "."]
+    texts = D.pa.array(["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 8))) for _ in range(3000)])
+    rules = [(p, ic) for _, p, ic in P.REGEX_PATTERNS] + [(r[1], False) for r in P.SCORED_RECOGNIZERS]
+    for pattern, ignore_case in rules:
+        guard = D.row_guard(pattern, ignore_case)
+        exact = D.regex.compile(P.spaced_pattern(pattern), D.regex.I if ignore_case else 0).search
+        assert guard and {k for k, t in enumerate(texts.to_pylist()) if exact(t)} <= {k for k, _ in D.Texts(texts).holding(guard)}
+    assert [D.row_guard(p) for p in ("a$", "^a", "(a)\\1", "a++", "(?=a)a", "\\Za", "[^a]b", "a{2000}", "a{,2}b")] == [""] * 9
+
+
+def test_rules_run_only_over_rows_that_their_guard_leaves(monkeypatch):
+    """Before, each rule was tried on each text."""
+    ran = []
+    spaced = P.spaced_pattern
+
+    class Counting:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, text):
+            ran.append((self.pattern.pattern, text))
+            return self.pattern.finditer(text)
+
+    compiled = D.regex.compile
+    rules = {spaced(r[1]) for r in P.SCORED_RECOGNIZERS}
+    monkeypatch.setattr(D.regex, "compile", lambda p, *flags: Counting(compiled(p, *flags)) if p in rules else compiled(p, *flags))
+    texts = D.Texts(D.pa.array(["Customer#000000001 of 1985", "ssn 123456789", None, "Customer 123456789"] * 50))
+    D.scored_finder()()(texts)
+    assert len(ran) == 50 and [s[0][:4] for s in texts.spans if s] == [(4, 13, "US_SSN", "123456789")] * 50
+
+
+def test_dictionary_hits_of_a_batch_are_those_of_each_text(monkeypatch):
+    """Texts are joined for their tokens, in blocks; nothing crosses from one text to the next, entries with line feeds included."""
+    gazetteer = D.Gazetteer([("Ann\nLee", "PERSON", 10), ("Ann", "PERSON", 10), ("été", "ORG", 11), ("\U0001d518x y", "ORG", 11)])
+    texts = ["Ann", "Lee", None, "", "Ann\nLee", "\U0001d518x y Annx été", "été"]
+    want = [["Ann"], [], [], [], ["Ann", "Ann\nLee"], ["\U0001d518x y", "été"], ["été"]]
+    for size in (1, 6, 1 << 20):
+        monkeypatch.setattr(D, "JOIN_CHARACTERS", size)
+        batch = D.Texts(D.pa.array(texts))
+        gazetteer.find(batch)
+        assert [[s[3] for s in found] for found in batch.spans] == want
+        assert all(t[s[0]:s[1]] == s[3] for t, found in zip(texts, batch.spans) for s in found)
+
+
+def test_texts_are_those_of_all_segments(spark):
+    rows = [(1, " a\n\n\x1f\nb \n ", ["c", " ", None, "é"]), (2, None, ["x"]), (3, "", None), (4, " \né\r", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cells array<string>")
+    want = sorted(tuple(r) for r in S.segment_all(docs).select("doc_id", "segment_index", "text").collect())
+    assert sorted(tuple(r) for r in S.segment_texts(docs).collect()) == want and len(want) == 5
+    plan = S.segment_texts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and "cell_index" not in plan
