@@ -7,7 +7,7 @@ from conftest import seg_df
 from pyspark.sql import functions as F
 
 from shroud.functions import patterns as P
-from shroud.functions.text import luhn_passes
+from shroud.functions.text import luhn_check_digit_sql, luhn_passes
 from shroud.operators import detect as D
 from shroud.session import stored
 from shroud.sources import corpus as C
@@ -119,3 +119,63 @@ def test_texts_are_those_of_all_segments(spark):
     assert sorted(tuple(r) for r in S.segment_texts(docs).collect()) == want and len(want) == 5
     plan = S.segment_texts(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert "named_struct" not in plan and "cell_index" not in plan
+
+
+def test_planted_text_keeps_within_what_the_jvm_compiles(spark):
+    """Above 8,000 bytes of code a method is interpreted for good; the check digit alone took it there."""
+    import contextlib
+    import io
+    import re
+
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for made in (C.planted_documents, C.planted_truth):
+            with contextlib.redirect_stdout(io.StringIO()) as shown:
+                made(spark, SF).explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_check_digit(spark):
+    rnd = random.Random(11)
+    numbers = [4 * 10**14, 999999999999999, *(rnd.randrange(10**14, 10**15) for _ in range(300))]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", F.expr(luhn_check_digit_sql("n")).alias("d"))
+    assert all(luhn_passes(f"{r.n}{r.d}") for r in df.collect())
+    assert spark.sql(f"SELECT {luhn_check_digit_sql('cast(null as bigint)')} AS d").first().d is None
+
+
+def test_prose_is_read_once_for_all_rules_of_a_layer(monkeypatch):
+    """Before, every rule's guard read every row, and the words of a context every row that any guard had refused."""
+    read = []
+
+    def counting(name):
+        exact = getattr(D.pc, name)
+        monkeypatch.setattr(D.pc, name, lambda column, *args, **options: (read.append(len(column)), exact(column, *args, **options))[1])
+
+    finders = [f() for f in (D.regex_finder(), D.scored_finder())]
+    texts = ["so it goes"] * 998 + ["a@b.co, SSN 123456789, +1 212 555 0199", "123-45-6789 born 1980"]
+    counting("match_substring_regex")
+    counting("match_substring")
+    for find, want in zip(finders, ([["EMAIL", "PHONE"], ["SSN"]], [["EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN"], ["DATE_TIME"]])):
+        read.clear()
+        batch = D.Texts(D.pa.array(texts))
+        find(batch)
+        assert [sorted(s[2] for s in found) for found in batch.spans[-2:]] == want and not any(batch.spans[:-2])
+        assert sum(read) < 1100
+    assert D.any_guard(["a", ""]) == D.any_guard([f"{c}{{999}}" for c in "abcdefgh" * 100]) == "" and D.any_guard(["(?i)a", "b"]) == "(?:(?i)a)|(?:b)"
+
+
+def test_only_tokens_shaped_like_first_tokens_are_looked_up():
+    asked = []
+    gazetteer = D.Gazetteer([("Ann Lee", "PERSON", 10), ("été", "ORG", 11), ("w" * 80, "ORG", 11)])
+    whole = "Ann and Bob saw Amy Lee, été, étude " + "w" * 80 + " " + "w" * 90
+    starts, ends, _ = D.tokens_known(whole, lambda t: asked.append(t) or t in gazetteer.lengths, gazetteer.shapes)
+    assert sorted(asked) == sorted(["Ann", "Amy", "été", "w" * 80, "w" * 90])
+    assert [whole[a:b] for a, b in zip(starts, ends)] == ["Ann", "été", "w" * 80]
+    assert [whole[a:b] for a, b in zip(*D.tokens_known(whole, gazetteer.lengths.__contains__)[:2])] == ["Ann", "été", "w" * 80]
+    empty = D.Gazetteer([])
+    empty.find(batch := D.Texts(D.pa.array(["Ann"])))
+    assert batch.spans == [[]]
