@@ -67,3 +67,28 @@ def test_luhn_of_many_texts():
     texts = ["", "4111111111111111", "4111111111111112", "4111 1111 1111 1111", "35٣٠١١١٣٣٣٠٠٠٠٠٦", "0" * 12, "0" * 13, "²" * 13]
     texts += ["".join(rnd.choice("0123456789") for _ in range(rnd.randrange(20))) for _ in range(400)]
     assert luhn_passing(texts).tolist() == [luhn_passes(t) for t in texts] and any(luhn_passing(texts)) and not len(luhn_passing([]))
+
+
+def test_literal_queries_detect_once(spark):
+    """Before, pairs were made twice: for all documents, and once more for the blocks of long ones."""
+    from shroud.plans.queries import QUERIES
+
+    for name in ("leak_audit", "replacement_hits", "replace_first", "redact_literal"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+
+
+def test_evaluation_detects_once(spark):
+    """Before, the plan of the metrics held the detectors twice: for the types and for the AGGREGATE row."""
+    from shroud.operators.evaluate import eval_metrics
+    from shroud.plans.queries import QUERIES
+
+    for name in ("eval_metrics", "eval_annotated", "eval_report"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+    kind = "doc_id long, segment_index int, start int, end int, entity_type string, text string"
+    none = spark.createDataFrame([], kind)
+    assert [tuple(r)[:4] for r in eval_metrics(none, none).collect()] == [("AGGREGATE", None, None, None)]
+    odd = spark.createDataFrame([(0, 0, 0, 3, "AGGREGATE", "Ann"), (0, 0, 4, 6, None, "Bo")], kind)
+    got = sorted((tuple(r)[:4] for r in eval_metrics(odd, odd).collect()), key=str)
+    assert got == sorted([("AGGREGATE", 1, 0, 0), (None, 0, 1, 1), ("AGGREGATE", 1, 1, 1)], key=str)
