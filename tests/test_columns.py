@@ -92,3 +92,29 @@ def test_evaluation_detects_once(spark):
     odd = spark.createDataFrame([(0, 0, 0, 3, "AGGREGATE", "Ann"), (0, 0, 4, 6, None, "Bo")], kind)
     got = sorted((tuple(r)[:4] for r in eval_metrics(odd, odd).collect()), key=str)
     assert got == sorted([("AGGREGATE", 1, 0, 0), (None, 0, 1, 1), ("AGGREGATE", 1, 1, 1)], key=str)
+
+
+def test_values_of_a_column_are_those_of_to_pylist():
+    from shroud.functions.text import values_of
+
+    columns = [D.pa.array(["a", None, "é", ""]), D.pa.array(["x"], D.pa.large_string()), D.pa.array([1, 2**60 + 1]), D.pa.array([2**60 + 1, None]), D.pa.array([True, None]),
+               D.pa.array([], D.pa.int32()), D.pa.array([0.5, None]), D.pa.array(["p", "q", None, "r"]).slice(1, 2)]
+    for column in columns:
+        got = values_of(column)
+        assert got == column.to_pylist() and [type(v) for v in got] == [type(v) for v in column.to_pylist()]
+
+
+def test_a_value_that_recurs_is_judged_once():
+    """Before, every span's text was stripped and lowered by itself."""
+    judged = []
+
+    class Text(str):
+        def strip(self):
+            judged.append(str(self))
+            return str(self).strip()
+
+    texts = D.Texts(D.pa.array(["x"] * 6))
+    words = [Text(w) for w in ["the Company", "Ann", " QX ", "the Company", "1980", " QX "]]
+    kinds = [texts.kind(*k) for k in (("ORG", "gazetteer", 11), ("PERSON", "gazetteer", 10), ("DATE_OF_BIRTH", "scored", 25), ("EMAIL", "regex", 0))]
+    texts.add(range(6), [0] * 6, [1] * 6, words, [kinds[0], kinds[1], kinds[1], kinds[0], kinds[2], kinds[3]], 1.0)
+    assert H.keeps(texts).tolist() == [False, True, False, False, False, True] and len(judged) == 4
