@@ -36,3 +36,12 @@ def test_hot_text_is_detected_once_and_given_to_all(spark):
     got = sorted(tuple(r) for r in explode_spans(detect_distinct(segs, counted)).collect())
     assert ran.value == 102  # the distinct texts
     assert got == sorted(tuple(r) for r in explode_spans(detect_regex(segs)).collect())
+
+
+def test_corpus_stats_stores_nothing(spark, monkeypatch):
+    """Before, all predictions were written to be read once."""
+    from shroud.plans import queries
+
+    monkeypatch.setattr(queries, "stored", None)
+    got = queries.q_corpus_stats(spark, "/root/testdata/sf0.001").first()
+    assert got.n_documents > 0 and got.n_segments > got.n_documents and got.n_unique_values > 0
